@@ -41,6 +41,12 @@ def entropy(s: Column) -> Column:
 def encode(s: Column, alphabet: str, max_len: int | None = None) -> Column:
     """Index sequence over an alphabet, unknown characters are 1; ``max_len`` is the fixed model width."""
     text = s if max_len is None else F.substring(s, 1, max_len)
+    if alphabet.isascii():  # constant-time lookup by code point
+        slots = [1] * 128
+        for i, ch in enumerate(alphabet):
+            slots[ord(ch)] = i + 2
+        table = F.array(*[F.lit(v) for v in slots])
+        return F.transform(chars(text), lambda c: F.coalesce(F.get(table, F.ascii(c)), F.lit(1)))
     at = lambda c: F.instr(F.lit(alphabet), c)
     return F.transform(chars(text), lambda c: F.when(at(c) > 0, at(c) + 1).otherwise(F.lit(1)))
 
