@@ -232,6 +232,8 @@ def split_literals(prob: float = 0.05, seed: int = 42):
     """
     import zlib
 
+    literal = LITERAL
+
     @F.pandas_udf("string")
     def split(text: pd.Series, key: pd.Series) -> pd.Series:
         def one(js, k):
@@ -243,7 +245,7 @@ def split_literals(prob: float = 0.05, seed: int = 42):
                 cut = 1 + draw % (len(body) - 1)
                 return f"{q}{body[:cut]}{q}+{q}{body[cut:]}{q}"
 
-            return None if js is None else LITERAL.sub(repl, js)
+            return None if js is None else literal.sub(repl, js)
 
         return pd.Series([one(js, k) for js, k in zip(text, key)])
 

@@ -82,7 +82,7 @@ def main(argv):
         try:
             status, n, note = compare(spark, con, sf_dir, fn, sqls.get(name))
         except Exception as e:  # report and go on to the next query
-            status, n, note = "ERROR", -1, str(e)[:1500]
+            status, n, note = "ERROR", -1, str(e)[:300].replace("\n", " ") + " ... " + str(e).strip()[-300:].replace("\n", " ")
         bad += status not in ("ok", "rows")
         print(f"{status:8} {name:40} rows={n:<7} {time.time() - start:5.1f}s {note}", flush=True)
     print("failures:", bad)
