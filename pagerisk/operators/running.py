@@ -46,7 +46,7 @@ def int_bucket(value: str | Column, width: int = 1 << 17) -> Column:
 
 def time_bucket(ts: str | Column, seconds: int = 3600) -> Column:
     t = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(F.unix_micros(t) / F.lit(seconds * 1_000_000)).cast("long")
+    return F.floor(F.unix_micros(t.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
 
 
 def running_totals(
