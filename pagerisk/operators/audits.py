@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from pagerisk.operators.align import by_head, present
 
-ONE = F.lit(1)
 
 
 def class_counts(df: DataFrame, keys: Sequence[str] = ("split",)) -> DataFrame:
     """Size, positives, negatives and positive ratio."""
-    c = df.groupBy(*keys).agg(F.count(ONE).alias("n"), F.sum(F.col("label").cast("long")).alias("pos"))
+    c = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("pos"))
     return c.select("*", (F.col("n") - F.col("pos")).alias("neg"), (F.col("pos") / F.col("n")).alias("pos_ratio"))
 
 
@@ -59,9 +58,9 @@ def sample_lists(df: DataFrame, keys: Sequence[str], value: str, n: int, name: s
 def coverage(canon: DataFrame, preds: DataFrame) -> DataFrame:
     """Ids, positives and prevalence per model, and the union of ids over models."""
     per_id = preds.groupBy("model", "id").agg(F.max("label").alias("label"))
-    per_model = per_id.groupBy("model").agg(F.count(ONE).alias("ids"), F.sum("label").alias("pos"))
+    per_model = per_id.groupBy("model").agg(F.count(F.lit(1)).alias("ids"), F.sum("label").alias("pos"))
     union = preds.agg(F.count_distinct("id").alias("ids"), F.lit(None).cast("bigint").alias("pos")).withColumn("model", F.lit("_union"))
-    size = canon.agg(F.count(ONE).alias("ids"), F.sum("label").cast("long").alias("pos")).withColumn("model", F.lit("_canonical"))
+    size = canon.agg(F.count(F.lit(1)).alias("ids"), F.sum("label").cast("long").alias("pos")).withColumn("model", F.lit("_canonical"))
     rows = per_model.unionByName(union).unionByName(size)
     return rows.withColumn("prevalence", F.col("pos") / F.col("ids"))
 
@@ -116,13 +115,13 @@ def missing_and_extra(canon: DataFrame, preds: DataFrame, models: Sequence[str])
 def intersection_prevalence(canon: DataFrame, preds: DataFrame, models: Sequence[str]) -> DataFrame:
     """Prevalence over canonical ids all the given models cover."""
     wide = by_head(preds, models).filter(present(models) == len(models)).select("id")
-    return canon.join(wide, "id", "left_semi").agg(F.count(ONE).alias("ids"), F.avg("label").alias("prevalence"))
+    return canon.join(wide, "id", "left_semi").agg(F.count(F.lit(1)).alias("ids"), F.avg("label").alias("prevalence"))
 
 
 def duplicate_histogram(preds: DataFrame) -> DataFrame:
     """How many ids per model occur once, twice, ..."""
-    per_id = preds.groupBy("model", "id").agg(F.count(ONE).alias("duplicate_count"))
-    return per_id.groupBy("model", "duplicate_count").agg(F.count(ONE).alias("ids"))
+    per_id = preds.groupBy("model", "id").agg(F.count(F.lit(1)).alias("duplicate_count"))
+    return per_id.groupBy("model", "duplicate_count").agg(F.count(F.lit(1)).alias("ids"))
 
 
 def union_inflation(canon: DataFrame, preds: DataFrame, limit: float = 1.05) -> DataFrame:
@@ -143,7 +142,7 @@ def combinations(preds: DataFrame, heads: Sequence[str]) -> DataFrame:
     """Ids per combination of present heads, joined by ``+`` in head order."""
     wide = by_head(preds, heads)
     combo = F.concat_ws("+", *[F.when(F.col(h).isNotNull(), F.lit(h)) for h in heads])
-    return wide.groupBy(combo.alias("combo")).agg(F.count(ONE).alias("ids"))
+    return wide.groupBy(combo.alias("combo")).agg(F.count(F.lit(1)).alias("ids"))
 
 
 def missing_causes(canon: DataFrame, preds: DataFrame, base: Sequence[str], derived: Sequence[str]) -> DataFrame:
@@ -153,7 +152,7 @@ def missing_causes(canon: DataFrame, preds: DataFrame, base: Sequence[str], deri
     cause = F.concat_ws("+", *[F.when(F.col(h).isNotNull(), F.lit(h)).otherwise(F.lit("_")) for h in base])
     entry = [F.struct(F.lit(d).alias("model"), F.col(d).isNull().alias("gone")) for d in derived]
     long = wide.select(cause.alias("cause"), F.inline(F.array(*entry))).filter("gone")
-    return long.groupBy("model", "cause").agg(F.count(ONE).alias("ids"))
+    return long.groupBy("model", "cause").agg(F.count(F.lit(1)).alias("ids"))
 
 
 def head_gap_breakdown(canon: DataFrame, preds: DataFrame, head: str, other: str, raw: Sequence[str]) -> DataFrame:
@@ -164,7 +163,7 @@ def head_gap_breakdown(canon: DataFrame, preds: DataFrame, head: str, other: str
     any_raw = F.greatest(*[F.col(c).isNotNull().cast("int") for c in raw], F.lit(0)) == 1
     has_other = F.col(other).isNotNull()
     return j.agg(
-        F.count(ONE).alias("canonical"),
+        F.count(F.lit(1)).alias("canonical"),
         F.count_if(~gap).alias("covered"),
         F.count_if(gap).alias("missing"),
         F.count_if(gap & has_other).alias("missing_with_other"),
@@ -191,7 +190,7 @@ def gap_summary(missing: DataFrame, pages: DataFrame, text: str, key: str = "id"
     found = pages.select(key, F.col(text).alias("_text"), F.lit(True).alias("_found"))
     j = missing.join(found, key, "left")
     kind = gap_class(F.coalesce("_found", F.lit(False)), F.col("_text"), short)
-    cells = j.select("split", kind.alias("gap")).groupBy("split", "gap").agg(F.count(ONE).alias("ids"))
+    cells = j.select("split", kind.alias("gap")).groupBy("split", "gap").agg(F.count(F.lit(1)).alias("ids"))
     both = cells.unionByName(cells.groupBy("gap").agg(F.sum("ids").alias("ids")).withColumn("split", F.lit("combined")))
     total = F.sum("ids").over(Window.partitionBy("split"))
     return both.withColumn("pct", F.col("ids") * 100.0 / total)
@@ -207,12 +206,12 @@ def novelty(base: DataFrame, augmented: DataFrame, key: str = "id") -> DataFrame
 
     b, a = digests(base), digests(augmented)
     both = a.join(b.withColumn("in_base", F.lit(1)), "h", "left")
-    counts = both.agg(F.count(ONE).alias("aug_distinct"), F.sum(F.coalesce("in_base", F.lit(0))).alias("identical_lines"))
+    counts = both.agg(F.count(F.lit(1)).alias("aug_distinct"), F.sum(F.coalesce("in_base", F.lit(0))).alias("identical_lines"))
     over = ids(augmented).join(ids(base).withColumn("in_base", F.lit(1)), key, "left").agg(
-        F.count(ONE).alias("aug_ids"), F.sum(F.coalesce("in_base", F.lit(0))).alias("id_overlap"))
-    ratio = F.col("identical_lines") / F.greatest(ONE, F.col("aug_distinct"))
+        F.count(F.lit(1)).alias("aug_ids"), F.sum(F.coalesce("in_base", F.lit(0))).alias("id_overlap"))
+    ratio = F.col("identical_lines") / F.greatest(F.lit(1), F.col("aug_distinct"))
     advice = F.when(ratio > 0.98, "drop_as_redundant").when(ratio > 0.9, "regenerate_more_diverse").otherwise("keep")
-    one = counts.withColumn("_k", ONE).join(over.withColumn("_k", ONE), "_k").drop("_k")
+    one = counts.withColumn("_k", F.lit(1)).join(over.withColumn("_k", F.lit(1)), "_k").drop("_k")
     return one.select("*", ratio.alias("identical_ratio"), (1 - ratio).alias("novelty_ratio"), advice.alias("recommendation"))
 
 
@@ -226,7 +225,7 @@ def head_anomalies(preds: DataFrame, keys: Sequence[str] = ("model", "split"), h
 def retrain_plan(rows: DataFrame, hard: str, max_fraction: float = 0.30) -> DataFrame:
     """Class weights and the cap on hard negatives."""
     pos = F.sum(F.col("label").cast("long"))
-    c = rows.agg(F.count(ONE).alias("total"), pos.alias("positives"), F.count_if(F.col(hard)).alias("hard_negatives"))
+    c = rows.agg(F.count(F.lit(1)).alias("total"), pos.alias("positives"), F.count_if(F.col(hard)).alias("hard_negatives"))
     neg = F.col("total") - F.col("positives")
     ratio = F.col("positives") / F.col("total")
     both = (ratio > 0) & (ratio < 1)
@@ -281,12 +280,12 @@ def manifest(df: DataFrame, keys: Sequence[str] = ("split",), key: str = "id") -
     """Counts and an order-free fingerprint of the ids of each split."""
     h = fingerprint60(F.col(key))
     return df.groupBy(*keys).agg(
-        F.count(ONE).alias("n"), F.sum(F.col("label").cast("long")).alias("pos"), F.bit_xor(h).alias("ids_hash"))
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("pos"), F.bit_xor(h).alias("ids_hash"))
 
 
 def dataset_drift(full: DataFrame, used: DataFrame) -> DataFrame:
     """Full table against the union of splits."""
-    f = full.groupBy("id").agg(F.max("label").alias("label"), F.count(ONE).alias("copies"))
+    f = full.groupBy("id").agg(F.max("label").alias("label"), F.count(F.lit(1)).alias("copies"))
     u = used.select("id").distinct().withColumn("used", F.lit(True))
     j = f.join(u, "id", "full")
     inside, taken = F.col("copies").isNotNull(), F.col("used").isNotNull()
@@ -330,8 +329,8 @@ def uplift(rows: DataFrame, refined: DataFrame, threshold: float) -> DataFrame:
     pos = F.col("label") == 1
     c = j.agg(*[F.count_if(cond).alias(n) for n, cond in {
         "base_tp": before & pos, "base_fp": before & ~pos, "new_tp": after & pos, "new_fp": after & ~pos}.items()])
-    base = F.col("base_tp") / F.greatest(ONE, F.col("base_tp") + F.col("base_fp"))
-    new_p = F.col("new_tp") / F.greatest(ONE, F.col("new_tp") + F.col("new_fp"))
+    base = F.col("base_tp") / F.greatest(F.lit(1), F.col("base_tp") + F.col("base_fp"))
+    new_p = F.col("new_tp") / F.greatest(F.lit(1), F.col("new_tp") + F.col("new_fp"))
     return c.select("*", base.alias("base_precision"), new_p.alias("refined_precision"), (new_p - base).alias("uplift"))
 
 
@@ -340,7 +339,7 @@ def modality_counts(rows: DataFrame, flags: Sequence[str], keys: Sequence[str] =
     entry = [F.struct(F.lit(f).alias("modality"), F.col(f).alias("has")) for f in flags]
     long = rows.select(*keys, "label", F.inline(F.array(*entry))).filter("has")
     return long.groupBy("modality", *keys).agg(
-        F.count(ONE).alias("total"), F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
 
 
 def ambiguous(preds: DataFrame, n: int, keys: Sequence[str] = ("label",)) -> DataFrame:
@@ -356,5 +355,5 @@ def last_n(df: DataFrame, order: str, n: int = 200) -> DataFrame:
 def needs_enrichment(df: DataFrame, markers: Sequence[str]) -> DataFrame:
     """Whole-table test whether enrichment must run: any row without a marker, or no rows with one."""
     some = F.coalesce(*[F.col(m).cast("string") for m in markers]).isNotNull()
-    return df.agg(F.count(ONE).alias("rows"), F.count_if(some).alias("enriched")).withColumn(
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(some).alias("enriched")).withColumn(
         "needed", (F.col("rows") > 0) & (F.col("enriched") < F.col("rows")))

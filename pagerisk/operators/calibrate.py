@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pagerisk.functions.mathx import clamp, logit, sigmoid, temper
 from pagerisk.operators import metrics as m
-from pagerisk.operators.fusion import fit_by
+from pagerisk.operators.fusion import constants, fit_by
 from pagerisk.operators.joins import settled
 
 PLATT_EPS = 1e-6
@@ -34,7 +34,7 @@ def per_model(values: dict[str, float], key: Column, default: float) -> Column:
 def fit_platt(val: DataFrame, key: str = "model", max_iter: int = 100, tol: float = 1e-6) -> dict[str, tuple[float, float]]:
     """Slope and intercept of a logistic curve on the logit, per model, all models in the same passes."""
     rows = val.select(key, "label", logit(F.col("prob"), PLATT_EPS).alias("z"))
-    fits = fit_by(rows, key, ["z"], max_iter=max_iter, tol=tol, floor=0.0)
+    fits = fit_by(rows, key, ["z"], max_iter=max_iter, tol=tol, floor=0.0)["logistic"]
     return {k: (w[0], w[1]) for k, w in fits.items()}
 
 
@@ -50,20 +50,21 @@ def fit_temperature(val: DataFrame, key: str = "model", lo: float = 0.05, hi: fl
     Every pass evaluates a grid of temperatures for all models in one
     aggregate and keeps the cells around the best point.
     """
-    rows = settled(val.select(key, "label", logit(F.col("prob")).alias("z")), "temperature")
-    spans = {r[0]: (lo, hi) for r in rows.select(key).distinct().collect()}
+    keys = sorted((r[0] for r in val.select(key).distinct().collect()), key=str)
+    place = F.array_position(F.array(*[F.lit(q) for q in keys]), F.col(key)).cast("int") - 1
+    rows = settled(val.select(place.alias("_k"), "label", logit(F.col("prob")).alias("z")), "temperature")
+    spans = [(lo, hi)] * len(keys)
     for _ in range(passes):
-        grids = {k: np.linspace(a, b, points) for k, (a, b) in spans.items()}
-        losses = []
-        for i in range(points):
-            x = F.col("z") / per_model({k: g[i] for k, g in grids.items()}, F.col(key), 1.0)
-            # log(1 + exp(-|x|)) form: no overflow on either side
-            losses.append(F.avg(F.greatest(x, F.lit(0.0)) - x * F.col("label") + F.log1p(F.exp(-F.abs(x)))).alias(f"l{i}"))
-        for r in rows.groupBy(key).agg(*losses).collect():
+        grids = [np.linspace(a, b, points) for a, b in spans]
+        # Array constants keep the compiled code the same in every pass; the loss is
+        # max(x, 0) - x * y + log(1 + exp(-|x|)), which cannot overflow.
+        x = [f"(z / get({constants(g[i] for g in grids)}, _k))" for i in range(points)]
+        losses = [F.expr(f"avg(greatest({e}, 0D) - {e} * label + log1p(exp(-abs({e}))))").alias(f"l{i}") for i, e in enumerate(x)]
+        for r in rows.groupBy("_k").agg(*losses).collect():
             best = int(np.argmin([r[f"l{i}"] for i in range(points)]))
-            g = grids[r[key]]
-            spans[r[key]] = (g[max(0, best - 1)], g[min(points - 1, best + 1)])
-    return {k: float((a + b) / 2) for k, (a, b) in spans.items()}
+            g = grids[r["_k"]]
+            spans[r["_k"]] = (g[max(0, best - 1)], g[min(points - 1, best + 1)])
+    return {q: float((a + b) / 2) for q, (a, b) in zip(keys, spans)}
 
 
 def apply_temperature(df: DataFrame, fits: dict[str, float], key: str = "model") -> DataFrame:

@@ -15,7 +15,6 @@ from pagerisk.operators.quantiles import quantile_grid
 # Relative inference cost of each head.
 HEAD_COSTS = {"url_head": 1.0, "text_head": 5.0, "js_charcnn": 8.0, "js_charcnn_aug": 8.0, "js_codet5p": 60.0, "fusion": 2.0}
 MIDPOINT_GAP = 1e-6
-ONE = F.lit(1)
 
 
 def cascade_thresholds(val: DataFrame, score: str = "prob", precision: float = 0.99, benign_precision: float = 0.995, mode: str = "first") -> tuple[float, float]:
@@ -29,7 +28,7 @@ def cascade_thresholds(val: DataFrame, score: str = "prob", precision: float = 0
     )
     curve = m.score_curve(val.select(F.inline(side)), ["side"])
     target = F.when(F.col("side") == "hi", F.lit(precision)).otherwise(F.lit(benign_precision))
-    ok = F.when(m.PRECISION >= target, F.col("score"))
+    ok = F.when(m.precision_at() >= target, F.col("score"))
     pick = F.max(ok) if mode == "first" else F.min(ok)
     cut = {r.side: r.t for r in curve.groupBy("side").agg(F.coalesce(pick, F.lit(1.0)).alias("t")).collect()}
     hi, lo = cut.get("hi", 1.0), 1.0 - cut.get("lo", 1.0)
@@ -53,10 +52,10 @@ def resolution(rows: DataFrame, lo: float, hi: float, keys: Sequence[str] = ())
     done = resolved(F.col("prob"), lo, hi)
     pos = F.col("label") == 1
     c = rows.groupBy(*keys).agg(
-        F.count(ONE).alias("n"), F.avg((F.col("prob") >= hi).cast("double")).alias("accepted_bad"),
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("prob") >= hi).cast("double")).alias("accepted_bad"),
         F.avg((F.col("prob") <= lo).cast("double")).alias("accepted_benign"), F.avg(done.cast("double")).alias("resolved_overall"),
-        (F.count_if(done & pos) / F.greatest(ONE, F.count_if(pos))).alias("resolved_bad"),
-        (F.count_if(done & ~pos) / F.greatest(ONE, F.count_if(~pos))).alias("resolved_benign"))
+        (F.count_if(done & pos) / F.greatest(F.lit(1), F.count_if(pos))).alias("resolved_bad"),
+        (F.count_if(done & ~pos) / F.greatest(F.lit(1), F.count_if(~pos))).alias("resolved_benign"))
     return c.withColumns({f"escalated_{k}": 1 - F.col(f"resolved_{k}") for k in ("overall", "bad", "benign")})
 
 
@@ -82,16 +81,16 @@ def single_band(rows: DataFrame, first: str, fused: str, points: int = 50, targe
     step = (span.hi - span.lo) / (points - 1)
     edges = [span.lo + i * step for i in range(points - 1)] + [span.hi]
     cells = rows.groupBy(m.bin_index(F.col(first), edges).alias("cell"), F.col(fused).alias("score")).agg(
-        F.count(ONE).alias("n"), F.sum(F.col("label").cast("long")).alias("pos"))
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("pos"))
     passed = cells.select(F.explode(F.sequence(F.lit(0), F.col("cell"))).alias("cut"), "score", "n", "pos")
     per = passed.groupBy("cut", "score").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     run = m.running_totals(per, ["cut"], ["score"], m.score_bucket("score"), ["n", "pos"], descending=True)
     cum_n, cum_pos = F.col("before_n") + F.col("n"), F.col("before_pos") + F.col("pos")
-    reach = F.when(cum_pos / F.greatest(ONE, F.col("total_pos")) >= target, F.col("score"))
+    reach = F.when(cum_pos / F.greatest(F.lit(1), F.col("total_pos")) >= target, F.col("score"))
     out = run.groupBy("cut").agg(
         F.first("total_n").alias("passed"), F.first("total_pos").alias("passed_pos"),
         F.coalesce(F.max_by(cum_pos / cum_n, reach), F.lit(0.0)).alias("precision_at_target"))
-    totals = rows.agg(F.count(ONE).alias("n"), F.sum("label").alias("pos")).first()
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).first()
     thr = F.get(F.array(*[F.lit(e) for e in edges]), F.col("cut"))
     return out.select(thr.alias("threshold"), (F.col("passed") / F.lit(totals.n)).alias("pass_rate"),
                       (F.col("passed_pos") / F.lit(max(1, totals.pos))).alias("retained_recall"), "precision_at_target")
@@ -130,12 +129,12 @@ def band_search(
     ``passing[i]`` is the cost paid by rows that pass the first i+1 stages.
     """
     names = list(stages)
-    totals = rows.agg(F.count(ONE).alias("n"), F.sum("label").alias("pos")).first()
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).first()
     n, pos = totals.n or 0, totals.pos or 0
     hit, is_pos = F.col(final) >= threshold, F.col("label") == 1
     axes = [f"_i{k}" for k in range(len(names))]
     cells = rows.groupBy(*[m.bin_index(F.col(s), stages[s]).alias(a) for s, a in zip(names, axes)]).agg(
-        F.count(ONE).alias("n"), F.count_if(hit & is_pos).alias("tp"), F.count_if(hit & ~is_pos).alias("fp"))
+        F.count(F.lit(1)).alias("n"), F.count_if(hit & is_pos).alias("tp"), F.count_if(hit & ~is_pos).alias("fp"))
     grid = suffix_counts(cells, axes, ["n", "tp", "fp"])
     # Pass counts of the first stages come from the same table, at grid position 0 of nothing: sum over later axes.
     out = grid
@@ -150,7 +149,7 @@ def band_search(
     cut = [F.get(F.array(*[F.lit(float(v)) for v in stages[s]]), F.col(a)).alias(f"t{k + 1}") for k, (s, a) in enumerate(zip(names, axes))]
     return out.select(
         *cut,
-        (F.col("tp") / F.lit(max(1, pos))).alias("recall"), (F.col("tp") / F.greatest(ONE, F.col("tp") + F.col("fp"))).alias("precision"),
+        (F.col("tp") / F.lit(max(1, pos))).alias("recall"), (F.col("tp") / F.greatest(F.lit(1), F.col("tp") + F.col("fp"))).alias("precision"),
         (F.col("fp") / F.lit(max(1, n - pos))).alias("fpr"), *[r.alias(f"pass{k + 1}") for k, r in enumerate(rates)], cost.alias("expected_cost"))
 
 

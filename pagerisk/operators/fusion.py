@@ -26,66 +26,79 @@ def average(wide: DataFrame, heads: Sequence[str]) -> DataFrame:
     return wide.withColumn("prob", unit(mean_of(*[F.col(h) for h in heads])))
 
 
-def _residual(p: Column, y: Column, loss: str, gamma: float, weights: tuple[float, float]) -> Column:
+def _residual(p: str, loss: str, gamma: float, weights: tuple[float, float]) -> str:
+    """Gradient factor of a loss, as SQL text over the score ``p`` and the label ``y``."""
+    gap = f"({p} - y)"
     if loss == "focal":
-        return (p - y) * (F.pow(1 - p, F.lit(gamma)) * y + F.pow(p, F.lit(gamma)) * (1 - y))
+        return f"{gap} * (pow(1 - {p}, {gamma!r}D) * y + pow({p}, {gamma!r}D) * (1 - y))"
     if loss == "squared":
-        return (p - y) * p * (1 - p) * 2
+        return f"{gap} * {p} * (1 - {p}) * 2"
     if loss == "weighted":
-        return (p - y) * (F.lit(weights[1]) * y + F.lit(weights[0]) * (1 - y))
-    return p - y
+        return f"{gap} * ({weights[1]!r}D * y + {weights[0]!r}D * (1 - y))"
+    return gap
+
+
+def constants(values) -> str:
+    """Numbers as an SQL array."""
+    return "array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")"
 
 
 def fit_by(
-    df: DataFrame, key: str, features: Sequence[str], label: str = "label", loss: str = "logistic", gamma: float = 2.0,
+    df: DataFrame, key: str, features: Sequence[str], label: str = "label", losses: Sequence[str] = ("logistic",), gamma: float = 2.0,
     weights: tuple[float, float] = (1.0, 1.0), max_iter: int = 200, tol: float = 1e-6, ridge: float = 1e-6, floor: float = 1e-8,
-) -> dict[str, list[float]]:
-    """Newton fits of a logistic model, one per key value, all in the same passes.
+) -> dict[str, dict[str, list[float]]]:
+    """Newton fits of a logistic model, for every key value and loss in the same passes.
 
-    Each pass sums the loss gradient and the logistic Hessian ((k+1)^2 numbers
-    per key); the driver solves the small systems. Returns coefficients with
-    the intercept last.
+    Each pass sums the loss gradients and logistic Hessians ((k+1)^2 numbers
+    per key and loss); the driver solves the small systems. Returns
+    ``{loss: {key: coefficients, intercept last}}``.
+
+    Coefficients enter the plan as array constants, so every pass reuses the
+    code compiled for the first one; SQL text keeps building the plan cheap.
     """
-    rows = settled(df.select(key, F.col(label).cast("double").alias("y"), *[F.col(f).cast("double").alias(f) for f in features]), "newton")
+    keys = sorted((r[0] for r in df.select(key).distinct().collect()), key=str)
+    if not keys:
+        return {s: {} for s in losses}
+    place = F.array_position(F.array(*[F.lit(q) for q in keys]), F.col(key)).cast("int") - 1
+    rows = settled(df.select(place.alias("_k"), F.col(label).cast("double").alias("y"), *[F.col(f).cast("double").alias(f) for f in features]), "newton")
     k = len(features) + 1
-    x = [F.col(f) for f in features] + [F.lit(1.0)]
-    keys = [r[0] for r in rows.select(key).distinct().collect()]
-    w = {q: np.zeros(k) for q in keys}
-    active = set(keys)
+    x = [f"`{f}`" for f in features] + ["1D"]
+    w = {s: np.zeros((len(keys), k)) for s in losses}
+    active = list(losses)
     for _ in range(max_iter):
         if not active:
             break
-
-        def coef(i):
-            out = F.lit(0.0)
-            for q in sorted(active, key=str):
-                out = F.when(F.col(key) == q, F.lit(float(w[q][i]))).otherwise(out)
-            return out
-
-        z = coef(k - 1)
-        for i in range(k - 1):
-            z = z + coef(i) * x[i]
-        p = sigmoid(z)
-        p = clamp(p, floor, 1 - floor) if floor else p
-        step_rows = rows.filter(F.col(key).isin(list(active))).withColumn("_p", p)
-        p = F.col("_p")
-        r = _residual(p, F.col("y"), loss, gamma, weights)
-        sums = [F.sum(x[i] * r).alias(f"g{i}") for i in range(k)]
-        sums += [F.sum(x[i] * x[j] * p * (1 - p)).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
-        for row in step_rows.groupBy(key).agg(*sums).collect():
-            g = np.array([row[f"g{i}"] for i in range(k)])
-            h = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) + ridge * np.eye(k)
-            step = np.linalg.solve(h, g)
-            w[row[key]] = w[row[key]] - step
-            if np.max(np.abs(step)) < tol:
-                active.discard(row[key])
-    return {q: [float(v) for v in c] for q, c in w.items()}
-
-
-def fit_logistic(df: DataFrame, features: Sequence[str], **options) -> list[float]:
+        scores, sums = [], []
+        for s in active:
+            z = " + ".join(f"get({constants(w[s][:, i])}, _k) * {x[i]}" for i in range(k))
+            p = f"(tanh(({z}) / 2D) + 1D) / 2D"
+            scores.append(f"greatest({floor!r}D, least({1 - floor!r}D, {p})) AS p_{s}")
+            r = _residual(f"p_{s}", s, gamma, weights)
+            sums += [f"sum({x[i]} * ({r})) AS {s}_g{i}" for i in range(k)]
+            sums += [f"sum({x[i]} * {x[j]} * p_{s} * (1 - p_{s})) AS {s}_h{i}_{j}" for i in range(k) for j in range(i, k)]
+        scored = rows.selectExpr("*", *scores)
+        sums = [F.expr(e) for e in sums]
+        moved = dict.fromkeys(active, 0.0)
+        for row in scored.groupBy("_k").agg(*sums).collect():
+            for s in active:
+                g = np.array([row[f"{s}_g{i}"] for i in range(k)])
+                h = np.array([[row[f"{s}_h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) + ridge * np.eye(k)
+                step = np.linalg.solve(h, g)
+                w[s][row["_k"]] -= step
+                moved[s] = max(moved[s], float(np.max(np.abs(step))))
+        active = [s for s in active if moved[s] >= tol]
+    return {s: {q: [float(v) for v in w[s][i]] for i, q in enumerate(keys)} for s in losses}
+
+
+def fit_losses(df: DataFrame, features: Sequence[str], losses: Sequence[str] = LOSSES, **options) -> dict[str, list[float]]:
+    """One fit per loss over all rows, in the same passes."""
+    fits = fit_by(df.withColumn("_all", F.lit("all")), "_all", features, losses=losses, **options)
+    return {s: fits[s].get("all", [0.0] * (len(features) + 1)) for s in losses}
+
+
+def fit_logistic(df: DataFrame, features: Sequence[str], loss: str = "logistic", **options) -> list[float]:
     """One fit over all rows."""
-    fits = fit_by(df.withColumn("_all", F.lit("all")), "_all", features, **options)
-    return fits.get("all", [0.0] * (len(features) + 1))
+    return fit_losses(df, features, (loss,), **options)[loss]
 
 
 def linear_score(features: Sequence[str], coef: Sequence[float]) -> Column:
@@ -108,7 +121,7 @@ def compare_losses(val: DataFrame, features: Sequence[str], losses: Sequence[str
     """Fit each loss on the rows and rank them by PR, then Brier."""
     share = val.agg(F.avg("label")).first()[0] or 0.5
     weights = (0.5 / max(1e-9, 1 - share), 0.5 / max(1e-9, share))
-    fits = {s: fit_logistic(val, features, loss=s, weights=weights) for s in losses}
+    fits = fit_losses(val, features, losses, weights=weights)
     entries = F.array(*[F.struct(F.lit(s).alias("loss"), linear_score(features, c).alias("prob")) for s, c in fits.items()])
     scored = val.select("label", F.inline(entries))
     ranks = m.score_curve(scored, ["loss"]).groupBy("loss").agg(m.roc_auc_expr().alias("roc_auc"), m.pr_auc_step_expr().alias("pr_auc"))
@@ -130,7 +143,7 @@ def out_of_fold(df: DataFrame, features: Sequence[str], k: int = 5, seed: int =
     n_folds = (placed.agg(F.max("fold")).first()[0] or 0) + 1
     others = F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda f: f != F.col("fold"))
     train = placed.select("label", *features, F.explode(others).alias("held_out"))
-    fits = fit_by(train.withColumn("held_out", F.col("held_out").cast("string")), "held_out", features, **options)
+    fits = fit_by(train.withColumn("held_out", F.col("held_out").cast("string")), "held_out", features, **options)["logistic"]
     score = F.lit(None).cast("double")
     for f, coef in fits.items():
         score = F.when(F.col("fold") == int(f), linear_score(features, coef)).otherwise(score)
@@ -290,9 +303,9 @@ def score_table(model, rows: DataFrame, name: str, split: str | None = None) ->
     return out if split is None else out.withColumn("split", F.lit(split))
 
 
-def batch_scorer(make_predict, batch_size: int = 1024):
-    """An external model through Spark's batch prediction function."""
+def batch_scorer(make_predict, width: int, batch_size: int = 1024):
+    """An external model over feature arrays of a given width, through Spark's batch prediction function."""
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql.types import DoubleType
 
-    return predict_batch_udf(make_predict, return_type=DoubleType(), batch_size=batch_size)
+    return predict_batch_udf(make_predict, return_type=DoubleType(), batch_size=batch_size, input_tensor_shapes=[[width]])

@@ -49,30 +49,42 @@ def score_curve(
     )
 
 
-def _neg(total: str, positive: str) -> Column:
-    return F.col(total) - F.col(positive)
+def total_negatives() -> Column:
+    return F.col("tot_n") - F.col("tot_pos")
 
 
-TOT_NEG = _neg("tot_n", "tot_pos")
-CUM_NEG = _neg("cum_n", "cum_pos")
-TWO_CLASSES = (F.col("tot_pos") > 0) & (F.col("tot_n") > F.col("tot_pos"))
-PRECISION = F.col("cum_pos") / F.col("cum_n")
-RECALL = F.col("cum_pos") / F.when(F.col("tot_pos") > 0, F.col("tot_pos"))
-FPR = CUM_NEG / F.when(TOT_NEG > 0, TOT_NEG)
+def negatives_above() -> Column:
+    return F.col("cum_n") - F.col("cum_pos")
+
+
+def two_classes() -> Column:
+    return (F.col("tot_pos") > 0) & (F.col("tot_n") > F.col("tot_pos"))
+
+
+def precision_at() -> Column:
+    return F.col("cum_pos") / F.col("cum_n")
+
+
+def recall_at() -> Column:
+    return F.col("cum_pos") / F.when(F.col("tot_pos") > 0, F.col("tot_pos"))
+
+
+def fpr_at() -> Column:
+    return negatives_above() / F.when(total_negatives() > 0, total_negatives())
 
 
 def with_rates(curve: DataFrame) -> DataFrame:
     """Precision, recall (= TPR) and FPR at each distinct score."""
-    return curve.select("*", PRECISION.alias("precision"), RECALL.alias("recall"), FPR.alias("fpr"))
+    return curve.select("*", precision_at().alias("precision"), recall_at().alias("recall"), fpr_at().alias("fpr"))
 
 
 def roc_auc_expr() -> Column:
     """Mann-Whitney area with half credit for ties."""
-    below = TOT_NEG - CUM_NEG
+    below = total_negatives() - negatives_above()
     ties = F.col("n") - F.col("pos")
     won = F.sum(F.col("pos").cast("double") * (below + ties / F.lit(2.0)))
-    pairs = F.first("tot_pos").cast("double") * F.first(TOT_NEG)
-    return F.when(F.first(TWO_CLASSES), won / pairs)
+    pairs = F.first("tot_pos").cast("double") * F.first(total_negatives())
+    return F.when(F.first(two_classes()), won / pairs)
 
 
 def pr_auc_step_expr() -> Column:
@@ -86,21 +98,21 @@ def pr_auc_step_expr() -> Column:
 
 def average_precision_expr() -> Column:
     """Each recall gain weighted by the precision at the cut itself."""
-    return F.when(F.first("tot_pos") > 0, F.sum(F.col("pos") * PRECISION) / F.first("tot_pos"))
+    return F.when(F.first("tot_pos") > 0, F.sum(F.col("pos") * precision_at()) / F.first("tot_pos"))
 
 
 def _first_cut(target: float, value: Column) -> Column:
-    reached = F.when(TWO_CLASSES & (RECALL >= F.lit(target)), F.col("score"))
+    reached = F.when(two_classes() & (recall_at() >= F.lit(target)), F.col("score"))
     return F.max_by(value, reached)
 
 
 def fpr_at_tpr_expr(target: float) -> Column:
     """FPR at the highest score whose TPR reaches ``target``."""
-    return F.when(F.first(TWO_CLASSES), _first_cut(target, FPR))
+    return F.when(F.first(two_classes()), _first_cut(target, fpr_at()))
 
 
 def threshold_at_tpr_expr(target: float) -> Column:
-    return F.when(F.first(TWO_CLASSES), _first_cut(target, F.col("score")))
+    return F.when(F.first(two_classes()), _first_cut(target, F.col("score")))
 
 
 def rank_sum_auc(preds: DataFrame, keys: Sequence[str] = BY_MODEL) -> DataFrame:
@@ -230,7 +242,7 @@ def precision_threshold(
     ``first`` stops at the highest qualifying score; ``max_coverage`` takes the
     lowest one. When no cut qualifies the threshold is 1.
     """
-    ok = F.when(PRECISION >= target, F.col("score"))
+    ok = F.when(precision_at() >= target, F.col("score"))
     pick = F.max(ok) if mode == "first" else F.min(ok)
     return curve.groupBy(*keys).agg(F.coalesce(pick, F.lit(1.0)).alias("threshold"))
 

@@ -11,7 +11,6 @@ from pagerisk.functions import urls as u
 from pagerisk.operators.predictions import keep_one
 from pagerisk.operators.running import hash_ranked, int_bucket, ranked
 
-ONE = F.lit(1)
 
 
 def first_seen(rows: DataFrame, key: str = "url", order: Sequence[str] = ("source_rank", "pos")) -> DataFrame:
@@ -56,7 +55,7 @@ def allocation(available: dict[str, int], bad: Sequence[str], benign: str, size:
 
 def source_counts(rows: DataFrame) -> DataFrame:
     """Rows per source and label."""
-    return rows.groupBy("source", "label").agg(F.count(ONE).alias("n"))
+    return rows.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def allocate(rows: DataFrame, bad: Sequence[str], benign: str, size: int, ratio: float) -> DataFrame:

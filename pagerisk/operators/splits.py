@@ -12,7 +12,6 @@ from pagerisk.operators.joins import salted_join, settled
 from pagerisk.operators.quantiles import quantiles
 from pagerisk.operators.running import hash_bucket, hash_ranked, int_bucket, ranked, running_totals, time_bucket
 
-ONE = F.lit(1)
 MICROS = 1_000_000
 
 
@@ -68,7 +67,7 @@ def group_overlap(splits: DataFrame, group: str) -> DataFrame:
 def counts_after(df: DataFrame, ts: str, label: str = "label") -> DataFrame:
     """for every distinct time, rows and positives strictly after it, and its index among the times."""
     per = df.groupBy(F.col(ts).alias("t")).agg(
-        F.count(ONE).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"), F.lit(1).cast("long").alias("one"))
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"), F.lit(1).cast("long").alias("one"))
     run = running_totals(per, [], ["t"], time_bucket("t"), ["n", "pos", "one"], descending=True)
     return run.select("t", F.col("before_n").alias("n_after"), F.col("before_pos").alias("pos_after"),
                       (F.col("total_one") - F.col("before_one") - 1).alias("idx"))
@@ -99,7 +98,7 @@ def cutoff_for_ratio(
     share = F.col("pos_after") / F.when(F.col("n_after") > 0, F.col("n_after"))
     err = F.abs(F.coalesce(share, F.lit(0.0)) - target)
     late = F.col(ts) > initial
-    start = df.agg((F.count_if(late & (F.col("label") == 1)) / F.greatest(ONE, F.count_if(late))).alias("r")).first().r
+    start = df.agg((F.count_if(late & (F.col("label") == 1)) / F.greatest(F.lit(1), F.count_if(late))).alias("r")).first().r
     err0 = abs(start - target)
     ok = (F.col("n_after") >= max(1, min_total)) & (F.col("pos_after") >= max(1, min_pos)) & (err < err0)
     rank = F.struct((err > tol).alias("far"), F.when(err > tol, err).otherwise(F.lit(0.0)).alias("err"), F.col("turn"))
@@ -107,7 +106,7 @@ def cutoff_for_ratio(
 
 
 def group_stats(df: DataFrame, group: str, label: str = "label") -> DataFrame:
-    return df.groupBy(group).agg(F.count(ONE).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
 
 
 def val_groups(df: DataFrame, group: str, val_frac: float, seed: int = 42) -> DataFrame:
@@ -117,7 +116,7 @@ def val_groups(df: DataFrame, group: str, val_frac: float, seed: int = 42) -> Da
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string")))
     order = stats.withColumns({"_kind": kind, "_digest": digest})
     run = running_totals(order, [], ["_kind", "_digest", group], F.col("_kind") * 65536 + hash_bucket("_digest"), ["n"])
-    target = F.greatest(ONE, F.bround(F.lit(val_frac) * F.col("total_n")))
+    target = F.greatest(F.lit(1), F.bround(F.lit(val_frac) * F.col("total_n")))
     return run.select(group, (F.col("before_n") < target).alias("in_val"))
 
 
@@ -175,8 +174,8 @@ def val_groups_for_ratio(
     the order-based form ``val_groups`` is used.
     """
     stats = settled(group_stats(df, group), "group-stats")
-    shapes = stats.groupBy("n", "pos").agg(F.count(ONE).alias("groups"))
-    size = shapes.agg(F.count(ONE).alias("shapes"), F.sum("groups").alias("groups"), F.sum(F.col("n") * F.col("groups")).alias("rows")).first()
+    shapes = stats.groupBy("n", "pos").agg(F.count(F.lit(1)).alias("groups"))
+    size = shapes.agg(F.count(F.lit(1)).alias("shapes"), F.sum("groups").alias("groups"), F.sum(F.col("n") * F.col("groups")).alias("rows")).first()
     if (size.shapes or 0) > MAX_SHAPES or (size.groups or 0) * val_frac > MAX_STEPS:
         return val_groups(df, group, val_frac, seed)
     rows = [(r.n, r.pos, r.groups) for r in shapes.orderBy("n", "pos").collect()]
@@ -227,7 +226,7 @@ def stratified_split(df: DataFrame, test_frac: float, val_frac: float, seed: int
 
 def guarded_split(splits: DataFrame, val_frac: float, min_pos_val: int = 1, min_pos_test: int = 1, seed: int = 42, key: str = "id") -> DataFrame:
     """Keep the split unless val or test lacks positives; then split again by class, keeping the test share."""
-    c = splits.agg(F.count(ONE).alias("n"), F.count_if(F.col("split") == "test").alias("test"),
+    c = splits.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "test").alias("test"),
                    *[F.count_if((F.col("split") == s) & (F.col("label") == 1)).alias(f"{s}_pos") for s in ("val", "test")]).first()
     if c.val_pos >= max(1, min_pos_val) and c.test_pos >= max(1, min_pos_test):
         return splits

@@ -108,7 +108,7 @@ FITS_SQL = "WITH RECURSIVE " + WIDE_CTE + ", v AS (SELECT dom AS x, label FROM w
 @query("j8_logistic_losses", FITS_SQL + " UNION ALL ".join(f" SELECT '{s}' AS loss, (SELECT count(*) FROM v) AS n, round(a, 3) AS slope, round(b, 3) AS intercept FROM it_{s} WHERE i = 200" for s in fu.LOSSES))
 def _(t):
     rows = t.wide().filter("split = 'val' AND dom IS NOT NULL").select("label", "dom")
-    fits = {s: fu.fit_logistic(rows, ["dom"], loss=s, weights=(0.75, 2.0)) for s in fu.LOSSES}
+    fits = fu.fit_losses(rows, ["dom"], weights=(0.75, 2.0))
     out = rows.agg(F.count(F.lit(1)).alias("n")).select("n", F.explode(F.array(*[F.lit(s) for s in fu.LOSSES])).alias("loss"))
     for i, c in enumerate(("slope", "intercept")):
         out = out.withColumn(c, F.round(cal.per_model({s: w[i] for s, w in fits.items()}, F.col("loss"), 0.0), 3))

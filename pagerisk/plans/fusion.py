@@ -144,6 +144,6 @@ def _(t):
     import sys
 
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    score = fu.batch_scorer(_linear_model)
+    score = fu.batch_scorer(_linear_model, 3)
     x = F.array("l_quantity", "l_discount", "l_tax")
     return t("lineitem").select("l_orderkey", "l_linenumber", F.round(score(x), 5).alias("prob"))

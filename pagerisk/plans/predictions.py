@@ -16,7 +16,12 @@ from pagerisk.sources import jsonl
 from pagerisk.sources import predictions as src
 
 HEAD_COLUMNS = ", ".join(f"round({h}, 6) AS {h}" for h in HEADS)
-ROUND_HEADS = [r6(h, h) for h in HEADS]
+
+
+def round_heads():
+    return [r6(h, h) for h in HEADS]
+
+
 WITH_PREDS, WITH_WIDE, WITH_DUP = "WITH " + PREDS_CTE, "WITH " + WIDE_CTE, "WITH " + DUP_CTE
 
 
@@ -167,7 +172,7 @@ def _(t):
 
 @query("d1_inner_alignment", WITH_WIDE + " SELECT id, label, round(url, 6) AS url, round(text, 6) AS text, round(coalesce(js, 0e0), 6) AS js, round(dom, 6) AS dom FROM wide WHERE text IS NOT NULL AND dom IS NOT NULL AND url IS NOT NULL")
 def _(t):
-    return al.inner_align(t.gold(), t.preds(), HEADS, ["url", "text", "dom"]).select("id", "label", *ROUND_HEADS)
+    return al.inner_align(t.gold(), t.preds(), HEADS, ["url", "text", "dom"]).select("id", "label", *round_heads())
 
 
 COVERAGE = """cov AS (SELECT id, label, split, coalesce(url, 5e-1) AS url, coalesce(text, 5e-1) AS text, coalesce(js, 5e-1) AS js, coalesce(dom, 5e-1) AS dom FROM wide
@@ -176,7 +181,7 @@ COVERAGE = """cov AS (SELECT id, label, split, coalesce(url, 5e-1) AS url, coale
 
 @query("d2_coverage_alignment", WITH_WIDE + ", " + COVERAGE + f" SELECT id, label, {HEAD_COLUMNS} FROM cov")
 def _(t):
-    return al.coverage_align(t.gold(), t.preds(), HEADS, min_heads=3).select("id", "label", *ROUND_HEADS)
+    return al.coverage_align(t.gold(), t.preds(), HEADS, min_heads=3).select("id", "label", *round_heads())
 
 
 @query("d3_alignment_by_name", WITH_WIDE + ", " + COVERAGE + """ SELECT 'coverage_max' AS strategy, count(*) AS n FROM cov
@@ -198,7 +203,7 @@ def _(t):
 
 @query("d5_common_ids", WITH_WIDE + f" SELECT id, label, {HEAD_COLUMNS} FROM wide WHERE text IS NOT NULL AND js IS NOT NULL AND dom IS NOT NULL")
 def _(t):
-    return al.common_ids(t.preds(), HEADS).select("id", "label", *ROUND_HEADS)
+    return al.common_ids(t.preds(), HEADS).select("id", "label", *round_heads())
 
 
 @query("d6_calibrated_else_raw", WITH_PREDS + """ SELECT id, model, split, round(CASE WHEN model IN ('text', 'dom') THEN 9e-1 * prob + 5e-2 ELSE prob END, 6) AS prob,
@@ -235,7 +240,7 @@ def _(t):
 
 @query("d13_explain_id", WITH_WIDE + f""" SELECT id, {HEAD_COLUMNS}, CASE WHEN url IS NOT NULL AND text IS NOT NULL AND js IS NULL THEN 'fusion_alignment_excluded_or_bug' ELSE 'unknown' END AS cause_guess FROM wide WHERE id = 7""")
 def _(t):
-    return al.explain_id(t.preds(), 7, HEADS, ["url", "text"], "js").select("id", *ROUND_HEADS, "cause_guess")
+    return al.explain_id(t.preds(), 7, HEADS, ["url", "text"], "js").select("id", *round_heads(), "cause_guess")
 
 
 @query("d14_append_missing", WITH_PREDS + """ SELECT id, label, round(prob, 6) AS prob, model FROM preds WHERE model = 'js'

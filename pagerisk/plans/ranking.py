@@ -198,7 +198,7 @@ def _(t):
 SELECT model, split, round(score, 6) AS score, cum_pos::BIGINT AS tp, (cum_n - cum_pos)::BIGINT AS fp, round(recall, 6) AS recall, round(precision, 6) AS precision FROM rates""")
 def _(t):
     return m.with_rates(m.score_curve(t.preds())).select(
-        *KEYS, r6("score", "score"), F.col("cum_pos").alias("tp"), m.CUM_NEG.alias("fp"), r6("recall", "recall"), r6("precision", "precision"))
+        *KEYS, r6("score", "score"), F.col("cum_pos").alias("tp"), m.negatives_above().alias("fp"), r6("recall", "recall"), r6("precision", "precision"))
 
 
 @query("f4_lagged_rates", WITH_CURVE + ", " + PR_STEP + """
