@@ -124,3 +124,30 @@ def hash_ranked(
     tmp = df.withColumn("_digest", digest)
     out = ranked(tmp, keys, ["_digest", key], hash_bucket("_digest"), name)
     return out.drop("_digest")
+
+
+def lagged(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    bucket: Column,
+    columns: Sequence[str],
+    prefix: str = "prev_",
+) -> DataFrame:
+    """Values of the previous row in order, even when one key owns most rows.
+
+    ``lag`` runs inside each bucket; the first row of a bucket takes the last
+    row of the nearest earlier bucket that has any.
+    """
+    keys = list(keys)
+    part = [*keys, _BUCKET]
+    cut = df.withColumn(_BUCKET, bucket)
+    inside = Window.partitionBy(*part).orderBy(*order)
+    row = F.struct(*columns)
+    local = cut.select("*", F.lag(row).over(inside).alias("_prev"), F.row_number().over(inside).alias("_rn"))
+    ends = cut.groupBy(*part).agg(F.max_by(row, F.struct(*order)).alias("_last"))
+    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(_BUCKET)
+    before = ends.select(*part, F.lag("_last").over(across).alias("_edge"))
+    joined = local.join(before, part)
+    prev = F.when(F.col("_rn") == 1, F.col("_edge")).otherwise(F.col("_prev"))
+    return joined.select(*df.columns, *[prev[c].alias(f"{prefix}{c}") for c in columns])
