@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagerisk.functions.mathx import mean_of
 from pagerisk.operators import metrics as m
+from pagerisk.operators.joins import settled
 from pagerisk.operators.predictions import keep_one
 from pagerisk.operators.quantiles import quantile_grid
 
@@ -75,7 +76,7 @@ def single_band(rows: DataFrame, first: str, fused: str, points: int = 50, targe
     Rows are counted per (cell, fused score); only those counts are repeated
     for the cuts they pass.
     """
-    span = rows.agg(F.min(first).alias("lo"), F.max(first).alias("hi")).first()
+    span = rows.agg(F.min(first).alias("lo"), F.max(first).alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).first()
     if span.lo is None:
         raise ValueError("no rows to sweep")
     step = (span.hi - span.lo) / (points - 1)
@@ -90,10 +91,9 @@ def single_band(rows: DataFrame, first: str, fused: str, points: int = 50, targe
     out = run.groupBy("cut").agg(
         F.first("total_n").alias("passed"), F.first("total_pos").alias("passed_pos"),
         F.coalesce(F.max_by(cum_pos / cum_n, reach), F.lit(0.0)).alias("precision_at_target"))
-    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).first()
     thr = F.get(F.array(*[F.lit(e) for e in edges]), F.col("cut"))
-    return out.select(thr.alias("threshold"), (F.col("passed") / F.lit(totals.n)).alias("pass_rate"),
-                      (F.col("passed_pos") / F.lit(max(1, totals.pos))).alias("retained_recall"), "precision_at_target")
+    return out.select(thr.alias("threshold"), (F.col("passed") / F.lit(span.n)).alias("pass_rate"),
+                      (F.col("passed_pos") / F.lit(max(1, span.pos))).alias("retained_recall"), "precision_at_target")
 
 
 def best_single_band(table: DataFrame, target: float = 0.95) -> DataFrame:
@@ -101,10 +101,11 @@ def best_single_band(table: DataFrame, target: float = 0.95) -> DataFrame:
     return table.filter(F.col("retained_recall") >= target).orderBy("pass_rate", F.desc("threshold")).limit(1)
 
 
-def read_grid(df: DataFrame, value: str, n: int) -> list[float]:
-    """A quantile grid as at most n numbers for the plan."""
-    row = quantile_grid(df.select(F.col(value).alias("v")), [], "v", n).first()
-    return list(row.grid) if row else [0.0]
+def read_grids(df: DataFrame, columns: Sequence[str], n: int) -> dict[str, list[float]]:
+    """The quantile grids of several columns from one pass, at most n numbers each."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("stage"), F.col(c).alias("v")) for c in columns])))
+    grids = {r.stage: list(r.grid) for r in quantile_grid(long, ["stage"], "v", n).collect()}
+    return {c: grids.get(c, [0.0]) for c in columns}
 
 
 def suffix_counts(cells: DataFrame, axes: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -129,14 +130,15 @@ def band_search(
     ``passing[i]`` is the cost paid by rows that pass the first i+1 stages.
     """
     names = list(stages)
-    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).first()
-    n, pos = totals.n or 0, totals.pos or 0
     hit, is_pos = F.col(final) >= threshold, F.col("label") == 1
     axes = [f"_i{k}" for k in range(len(names))]
     cells = rows.groupBy(*[m.bin_index(F.col(s), stages[s]).alias(a) for s, a in zip(names, axes)]).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(hit & is_pos).alias("tp"), F.count_if(hit & ~is_pos).alias("fp"))
+        F.count(F.lit(1)).alias("n"), F.count_if(is_pos).alias("pos"), F.count_if(hit & is_pos).alias("tp"), F.count_if(hit & ~is_pos).alias("fp"))
+    cells = settled(cells, "cascade-cells")
+    totals = cells.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).first()
+    n, pos = totals.n or 0, totals.pos or 0
     grid = suffix_counts(cells, axes, ["n", "tp", "fp"])
-    # Pass counts of the first stages come from the same table, at grid position 0 of nothing: sum over later axes.
+    # Pass counts of the first stages: the same cells summed over the later axes.
     out = grid
     for depth in range(1, len(names)):
         head = axes[:depth]
@@ -155,13 +157,13 @@ def band_search(
 
 def two_band(rows: DataFrame, url: str, cheap: str, fused: str, threshold: float, costs: dict[str, float], cheap_cost: float, grid: int = 25) -> DataFrame:
     """K4: url cut, then cheap-mean cut, then the fused decision."""
-    stages = {url: read_grid(rows, url, grid), cheap: read_grid(rows, cheap, grid)}
+    stages = read_grids(rows, [url, cheap], grid)
     return band_search(rows, stages, fused, threshold, costs["url_head"], [cheap_cost, costs["js_codet5p"] + costs["fusion"]])
 
 
 def three_band(rows: DataFrame, url: str, cheap: str, heavy: str, fused: str, threshold: float, costs: dict[str, float], cheap_cost: float, grid: int = 15) -> DataFrame:
     """K5: one more cut on the heavy head."""
-    stages = {c: read_grid(rows, c, grid) for c in (url, cheap, heavy)}
+    stages = read_grids(rows, [url, cheap, heavy], grid)
     return band_search(rows, stages, fused, threshold, costs["url_head"], [cheap_cost, costs["js_codet5p"], costs["fusion"]])
 
 

@@ -38,7 +38,7 @@ def tfidf(docs: DataFrame, tokens: str, size: int = 500, key: str = "id") -> Dat
     )
     counts = settled(counts, "term-counts")
     vocab = settled(vocabulary(counts, size), "vocabulary")
-    total = docs.filter(F.size(tokens) > 0).count()
+    total = counts.select(key).distinct().count()
     idf = F.log(F.lit(1.0 + total) / (1.0 + F.col("df"))) + 1.0
     raw = counts.join(vocab, "term").select(key, "term", "idx", (F.col("n") / F.col("len") * idf).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key))) + 1e-12  # at most ``size`` rows per document

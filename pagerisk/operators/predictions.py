@@ -78,11 +78,16 @@ def model_of_folder(folder: Column) -> Column:
     return out
 
 
+def order_key(order: Sequence[str]) -> Column:
+    """One ordering value; a single column stays primitive, which lets Spark aggregate by hash."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool = False) -> DataFrame:
     """first (or last) row per key as a partial aggregate, safe when one key owns most rows."""
     rest = [c for c in df.columns if c not in keys]
     pick = F.max_by if last else F.min_by
-    best = pick(F.struct(*rest), F.struct(*order))
+    best = pick(F.struct(*rest), order_key(order))
     return df.groupBy(*keys).agg(best.alias("r")).select(*keys, "r.*")
 
 
@@ -102,7 +107,7 @@ def aggregate_duplicates(preds: DataFrame, order: Sequence[str], keys: Sequence[
     return preds.groupBy(*keys).agg(
         F.avg("prob").alias("prob"),
         F.avg(logit(F.col("prob"))).alias("logit"),
-        F.min_by("label", F.struct(*order)).alias("label"),
+        F.min_by("label", order_key(order)).alias("label"),
         F.count(F.lit(1)).alias("duplicate_count"),
     )
 

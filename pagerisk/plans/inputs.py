@@ -52,11 +52,11 @@ rates AS (SELECT *, cum_pos::DOUBLE / cum_n AS precision, cum_pos::DOUBLE / tot_
 )
 
 DUP_CTE = """dup AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
-  l_partkey, l_suppkey, l_extendedprice,
+  ('0x' || substr(md5(concat_ws('|', l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT))), 1, 15))::BIGINT AS pos,
   l_quantity / 5e1 AS url, least(1e0, l_discount * 1e1) AS text, least(1e0, l_tax * 125e-1) AS js FROM lineitem),
-dup_preds AS (SELECT id, label, 'url' AS model, url AS prob, l_partkey, l_suppkey, l_extendedprice FROM dup
-  UNION ALL SELECT id, label, 'text', text, l_partkey, l_suppkey, l_extendedprice FROM dup
-  UNION ALL SELECT id, label, 'js', js, l_partkey, l_suppkey, l_extendedprice FROM dup)"""
+dup_preds AS (SELECT id, label, 'url' AS model, url AS prob, pos FROM dup
+  UNION ALL SELECT id, label, 'text', text, pos FROM dup
+  UNION ALL SELECT id, label, 'js', js, pos FROM dup)"""
 
 
 class Tables:
@@ -87,15 +87,15 @@ class Tables:
         )
 
     def dup_preds(self) -> DataFrame:
-        """Predictions with repeated ids, from lineitem."""
+        """Predictions with repeated ids, from lineitem; ``pos`` orders the copies of an id."""
         base = self("lineitem").selectExpr(
             "l_orderkey * 10 + l_linenumber AS id",
             "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label",
-            "l_partkey", "l_suppkey", "l_extendedprice",
+            "CAST(conv(substr(md5(concat_ws('|', l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT))), 1, 15), 16, 10) AS BIGINT) AS pos",
             "l_quantity / 5e1 AS url", "least(1e0, l_discount * 1e1) AS text", "least(1e0, l_tax * 125e-1) AS js",
         )
         entries = ", ".join(f"named_struct('model', '{h}', 'prob', {h})" for h in ("url", "text", "js"))
-        return base.selectExpr("id", "label", f"inline(array({entries}))", "l_partkey", "l_suppkey", "l_extendedprice")
+        return base.selectExpr("id", "label", f"inline(array({entries}))", "pos")
 
 
 def r6(column, name: str):

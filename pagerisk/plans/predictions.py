@@ -281,17 +281,17 @@ def _(t):
 # --- duplicates and orientation --------------------------------------------
 
 @query("e22_duplicate_aggregation", WITH_DUP + """, q AS (SELECT *, greatest(1e-12, least(1e0 - 1e-12, prob)) AS s FROM dup_preds)
-SELECT model, id, round(avg(prob), 6) AS prob, round(avg(ln(s / (1e0 - s))), 5) AS logit, arg_min(label, (l_partkey, l_suppkey, l_extendedprice)) AS label, count(*) AS duplicate_count FROM q GROUP BY model, id""")
+SELECT model, id, round(avg(prob), 6) AS prob, round(avg(ln(s / (1e0 - s))), 5) AS logit, arg_min(label, pos) AS label, count(*) AS duplicate_count FROM q GROUP BY model, id""")
 def _(t):
-    return pr.aggregate_duplicates(t.dup_preds(), ["l_partkey", "l_suppkey", "l_extendedprice"]).select(
+    return pr.aggregate_duplicates(t.dup_preds(), ["pos"]).select(
         "model", "id", r6("prob", "prob"), F.round("logit", 5).alias("logit"), "label", "duplicate_count")
 
 
-@query("f5_keep_first", WITH_DUP + """, k AS (SELECT *, row_number() OVER (PARTITION BY model, id ORDER BY l_partkey, l_suppkey, l_extendedprice) AS f,
- row_number() OVER (PARTITION BY model, id ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS l FROM dup_preds)
+@query("f5_keep_first", WITH_DUP + """, k AS (SELECT *, row_number() OVER (PARTITION BY model, id ORDER BY pos) AS f,
+ row_number() OVER (PARTITION BY model, id ORDER BY pos DESC) AS l FROM dup_preds)
 SELECT 'first' AS kept, model, id, label, round(prob, 6) AS prob FROM k WHERE f = 1 UNION ALL SELECT 'last', model, id, label, round(prob, 6) FROM k WHERE l = 1""")
 def _(t):
-    order = ["l_partkey", "l_suppkey", "l_extendedprice"]
+    order = ["pos"]
     preds = t.dup_preds()
     first = pr.keep_one(preds, ["model", "id"], order).withColumn("kept", F.lit("first"))
     last = pr.keep_one(preds, ["model", "id"], order, last=True).withColumn("kept", F.lit("last"))
