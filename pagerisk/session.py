@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+# Scratch folders of local sessions that name no shared folder, by application.
+_LOCAL: dict[str, str] = {}
+
 RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -32,13 +35,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     A cluster must name that folder. Only a local master, as in tests, gets a
     scratch folder of its own when the setting is missing.
     """
+    context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        base = _LOCAL.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="spark-")
+        _LOCAL[context.applicationId] = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
