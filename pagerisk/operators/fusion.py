@@ -6,6 +6,7 @@ import itertools
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, StandardScaler, VectorAssembler
@@ -68,28 +69,76 @@ def fit_by(
     for _ in range(max_iter):
         if not active:
             break
-        scores, sums = [], []
-        for s in active:
-            z = " + ".join(f"get({constants(w[s][:, i])}, _k) * {x[i]}" for i in range(k))
-            p = f"(tanh(({z}) / 2D) + 1D) / 2D"
-            scores.append(f"greatest({floor!r}D, least({1 - floor!r}D, {p})) AS p_{s}")
-            r = _residual(f"p_{s}", s, gamma, weights)
-            sums += [f"sum({x[i]} * ({r})) AS {s}_g{i}" for i in range(k)]
-            sums += [f"sum({x[i]} * {x[j]} * p_{s} * (1 - p_{s})) AS {s}_h{i}_{j}" for i in range(k) for j in range(i, k)]
-        scored = rows.selectExpr("*", *scores)
-        sums = [F.expr(e) for e in sums]
+        if len(active) * k * (k + 3) // 2 > MAX_SQL_SUMS:
+            totals = _wide_sums(rows, features, {s: w[s] for s in active}, gamma, weights, floor)
+        else:
+            totals = _narrow_sums(rows, x, {s: w[s] for s in active}, gamma, weights, floor)
         moved = dict.fromkeys(active, 0.0)
-        for row in scored.groupBy("_k").agg(*sums).collect():
-            for s in active:
-                g = np.array([row[f"{s}_g{i}"] for i in range(k)])
-                h = np.array([[row[f"{s}_h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) + ridge * np.eye(k)
-                step = np.linalg.solve(h, g)
-                w[s][row["_k"]] -= step
-                moved[s] = max(moved[s], float(np.max(np.abs(step))))
+        for (s, i), (g, h) in totals.items():
+            step = np.linalg.solve(h + ridge * np.eye(k), g)
+            w[s][i] -= step
+            moved[s] = max(moved[s], float(np.max(np.abs(step))))
         active = [s for s in active if moved[s] >= tol]
     return {s: {q: [float(v) for v in w[s][i]] for i, q in enumerate(keys)} for s in losses}
 
 
+MAX_SQL_SUMS = 15  # beyond this many sums a pass takes them on Arrow batches, not as one SQL expression each
+
+
+def _narrow_sums(rows: DataFrame, x: Sequence[str], w: dict, gamma: float, weights: tuple[float, float], floor: float) -> dict:
+    """Gradient and Hessian per (loss, key) as plain SQL aggregates."""
+    k = len(x)
+    scores, sums = [], []
+    for s in w:
+        z = " + ".join(f"get({constants(w[s][:, i])}, _k) * {x[i]}" for i in range(k))
+        p = f"(tanh(({z}) / 2D) + 1D) / 2D"
+        scores.append(f"greatest({floor!r}D, least({1 - floor!r}D, {p})) AS p_{s}")
+        r = _residual(f"p_{s}", s, gamma, weights)
+        sums += [f"sum({x[i]} * ({r})) AS {s}_g{i}" for i in range(k)]
+        sums += [f"sum({x[i]} * {x[j]} * p_{s} * (1 - p_{s})) AS {s}_h{i}_{j}" for i in range(k) for j in range(i, k)]
+    out = {}
+    for row in rows.selectExpr("*", *scores).groupBy("_k").agg(*[F.expr(e) for e in sums]).collect():
+        for s in w:
+            g = np.array([row[f"{s}_g{i}"] for i in range(k)])
+            out[s, row["_k"]] = g, np.array([[row[f"{s}_h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+    return out
+
+
+def _wide_sums(rows: DataFrame, features: Sequence[str], w: dict, gamma: float, weights: tuple[float, float], floor: float) -> dict:
+    """The same sums for many features: NumPy per batch, one row per sum and partition, added up by Spark."""
+    names, k = list(features), len(features) + 1
+
+    def residual(p, y, loss):
+        if loss == "focal":
+            return (p - y) * ((1 - p) ** gamma * y + p**gamma * (1 - y))
+        if loss == "squared":
+            return (p - y) * p * (1 - p) * 2
+        if loss == "weighted":
+            return (p - y) * (weights[1] * y + weights[0] * (1 - y))
+        return p - y
+
+    def partial(batches):
+        acc = {}
+        for b in batches:
+            place, y = b["_k"].to_numpy(), b["y"].to_numpy()
+            full = np.column_stack([b[names].to_numpy(dtype=float), np.ones(len(b))])
+            for s, coef in w.items():
+                for i in np.unique(place):
+                    at = place == i
+                    xs, ys = full[at], y[at]
+                    p = np.clip(0.5 * (1 + np.tanh(0.5 * (xs @ coef[i]))), floor, 1 - floor)
+                    both = np.concatenate([xs.T @ residual(p, ys, s), (xs.T @ (xs * (p * (1 - p))[:, None])).ravel()])
+                    acc[s, int(i)] = acc.get((s, int(i)), 0.0) + both
+        for (s, i), v in acc.items():
+            yield pd.DataFrame({"loss": s, "_k": i, "pos": np.arange(v.size), "value": v})
+
+    parts = rows.mapInPandas(partial, "loss STRING, _k INT, pos INT, value DOUBLE")
+    found: dict = {}
+    for r in parts.groupBy("loss", "_k", "pos").agg(F.sum("value").alias("value")).collect():
+        found.setdefault((r.loss, r["_k"]), np.zeros(k + k * k))[r.pos] = r.value
+    return {q: (v[:k], v[k:].reshape(k, k)) for q, v in found.items()}
+
+
 def fit_losses(df: DataFrame, features: Sequence[str], losses: Sequence[str] = LOSSES, **options) -> dict[str, list[float]]:
     """One fit per loss over all rows, in the same passes."""
     fits = fit_by(df.withColumn("_all", F.lit("all")), "_all", features, losses=losses, **options)

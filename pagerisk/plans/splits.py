@@ -57,13 +57,13 @@ def _(t):
     return sp.percentile_cutoff(t("events"), "ts", 80.0).select(F.round("cutoff_us", 0).alias("cutoff_us"))
 
 
-@query("i2_cutoff_both_classes", G + ", " + WALK + " SELECT t AS cutoff FROM wk WHERE pos_after >= 900 AND n_after > pos_after ORDER BY turn LIMIT 1")
+@query("i2_cutoff_both_classes", G + ", " + WALK + f" SELECT coalesce((SELECT t FROM wk WHERE pos_after >= 900 AND n_after > pos_after ORDER BY turn LIMIT 1), {CUT_SQL}) AS cutoff")
 def _(t):
     return sp.cutoff_with_both_classes(t.gold(), "ts", cut(), min_pos=900)
 
 
 @query("i3_cutoff_for_ratio", G + ", " + WALK + f""", e0 AS (SELECT abs(avg(label) - 23e-2) AS e FROM gold WHERE ts > {CUT_SQL}), er AS (SELECT wk.*, abs(pos_after::DOUBLE / n_after - 23e-2) AS err FROM wk WHERE n_after >= 100 AND pos_after >= 10)
-SELECT t AS cutoff FROM er, e0 WHERE err < e ORDER BY err > 2e-3, CASE WHEN err > 2e-3 THEN err ELSE 0 END, turn LIMIT 1""")
+SELECT coalesce((SELECT t FROM er, e0 WHERE err < e ORDER BY err > 2e-3, CASE WHEN err > 2e-3 THEN err ELSE 0 END, turn LIMIT 1), {CUT_SQL}) AS cutoff""")
 def _(t):
     return sp.cutoff_for_ratio(t.gold(), "ts", cut(), 0.23, 0.002, min_pos=10, min_total=100)
 

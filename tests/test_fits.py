@@ -55,6 +55,16 @@ def test_slow_losses_follow_numpy_step_by_step(heads):
         assert got[loss] == pytest.approx(list(want[loss]), rel=1e-6, abs=1e-6)
 
 
+def test_wide_sums_equal_narrow_sums(heads, monkeypatch):
+    _, _, df = heads
+    monkeypatch.setattr(fu, "MAX_SQL_SUMS", 1000)
+    narrow = fu.fit_losses(df, ["a", "b", "c"], max_iter=4)
+    monkeypatch.setattr(fu, "MAX_SQL_SUMS", 0)
+    wide = fu.fit_losses(df, ["a", "b", "c"], max_iter=4)
+    for loss in fu.LOSSES:
+        assert wide[loss] == pytest.approx(narrow[loss], rel=1e-9, abs=1e-9)
+
+
 def long(df):
     return df.select("id", "label", F.inline(F.array(*[F.struct(F.lit(h).alias("model"), F.col(h).alias("prob")) for h in "abc"])))
 
