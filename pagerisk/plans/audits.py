@@ -237,7 +237,7 @@ def _(t):
 
 
 @query("g10_ambiguous_examples", WITH_PREDS + """, k AS (SELECT *, row_number() OVER (PARTITION BY model, label ORDER BY abs(prob - 5e-1), id) AS rank FROM preds)
-SELECT model, label, id, round(prob, 6) AS prob, rank FROM k WHERE rank <= 12""")
+SELECT model, label, id, round(prob, 6) AS prob, rank::INTEGER AS rank FROM k WHERE rank <= 12""")
 def _(t):
     return au.ambiguous(t.preds(), 12, ["model", "label"]).select("model", "label", "id", r6("prob", "prob"), "rank")
 

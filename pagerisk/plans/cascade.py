@@ -138,7 +138,7 @@ def _(t):
     return ca.with_threshold(t.preds(), settled(known, "thresholds")).select("id", "model", "thr", (F.col("prob") >= F.col("thr")).alias("flagged"))
 
 
-@query("d19_threshold_grid", "WITH " + PREDS_CTE + ", e AS (SELECT unnest(range(0, 11)) AS i) SELECT model, i AS cell, count(*) AS n, sum(label)::BIGINT AS pos FROM preds JOIN e ON prob >= i / 1e1 GROUP BY ALL")
+@query("d19_threshold_grid", "WITH " + PREDS_CTE + ", e AS (SELECT unnest(range(0, 11)) AS i) SELECT model, i::INTEGER AS cell, count(*) AS n, sum(label)::BIGINT AS pos FROM preds JOIN e ON prob >= i / 1e1 GROUP BY ALL")
 def _(t):
     edges = [i / 10.0 for i in range(11)]
     cells = t.preds().groupBy("model", m.bin_index(F.col("prob"), edges).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))

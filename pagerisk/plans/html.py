@@ -40,7 +40,7 @@ def ctx(url="url"):
  CASE WHEN v = 1 THEN ('0x' || substr(md5('a|b|c'), 1, 15))::BIGINT END AS form_css_sig_hash64 FROM (SELECT page_id, url, page_id % 4 AS v FROM pages)""")
 def _(t):
     cols = hm.form_columns(F.col("page"), *ctx())
-    return hm.with_parsed(pages(t)).select("page_id", *[(c.cast("long") if k.startswith(("num_", "form_login", "onsubmit", "top_")) else c).alias(k) for k, c in cols.items()])
+    return hm.with_parsed(pages(t)).select("page_id", *[c.alias(k) for k, c in cols.items()])
 
 
 @query("c9_first_login_form", """SELECT page_id, CASE WHEN v = 1 THEN true END AS first_login_method_get, CASE WHEN v = 1 THEN true END AS first_login_cross_origin, CASE WHEN v = 1 THEN starts_with(url, 'http:') END AS first_login_proto_mismatch,
@@ -125,14 +125,14 @@ def _(t):
 def _(t):
     c = hm.icon_columns(F.col("page"), F.col("url"))
     logos = F.array_join(F.transform(c["logo_candidates"], lambda x: F.concat_ws(" ", x.url, x.score.cast("string"), x.from_alt.cast("string"))), ";")
-    return hm.with_parsed(pages(t)).select("page_id", c["fav_rel_count"].cast("long").alias("fav_rel_count"), c["favicon_url"].alias("favicon_url"), c["fav_cross_origin"].alias("fav_cross_origin"), logos.alias("logos"))
+    return hm.with_parsed(pages(t)).select("page_id", c["fav_rel_count"].alias("fav_rel_count"), c["favicon_url"].alias("favicon_url"), c["fav_cross_origin"].alias("fav_cross_origin"), logos.alias("logos"))
 
 
 @query("m1_html_features", H_CTE + """ SELECT page_id, CASE WHEN v = 1 THEN 1 WHEN v = 2 THEN 2 ELSE 0 END AS top_form_count, v = 3 AS has_meta_refresh, trim(regexp_replace(regexp_extract(html, '(?is)<script[^>]*>(.*?)</script>', 1), '\\s+', ' ', 'g')) AS js_text,
  trim(regexp_replace(""" + ENTITIES.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + """, '\\s+', ' ', 'g')) AS text_title FROM h""")
 def _(t):
     f = hm.html_features(pages(t))
-    return f.select("page_id", F.col("top_form_count").cast("long").alias("top_form_count"), "has_meta_refresh", F.trim(F.regexp_replace("js_text", r"\s+", " ")).alias("js_text"), "text_title")
+    return f.select("page_id", "top_form_count", "has_meta_refresh", F.trim(F.regexp_replace("js_text", r"\s+", " ")).alias("js_text"), "text_title")
 
 
 @query("b7_cheap_feature_vector", """SELECT page_id, length(url)::DOUBLE AS url_len, contains(url, '?')::INT::DOUBLE AS has_at, 0e0 AS js_entropy, CASE WHEN v = 1 THEN 1e0 ELSE 0e0 END AS num_pw, (v = 3)::INT::DOUBLE AS has_meta_refresh, 74 AS width FROM (SELECT *, page_id % 4 AS v FROM pages)""")

@@ -94,7 +94,7 @@ def _(t):
 @query("c19_key_listener_rollup", """SELECT l.doc_id, CASE WHEN lang = 'de' THEN 2 ELSE 0 END AS key_listeners_total, lang = 'de' AND toxic = 1 AS key_listener_pw FROM labels l JOIN documents d ON d.doc_id = l.doc_id""")
 def _(t):
     rows = docs(t).join(t("labels"), "doc_id")
-    return rows.select("doc_id", *[(c.cast("long") if k.endswith("total") else c).alias(k) for k, c in sc.key_listener_rollup(sc.heuristics(F.col("js"))["js_keylog_listeners"], F.col("toxic")).items()])
+    return rows.select("doc_id", *[c.alias(k) for k, c in sc.key_listener_rollup(sc.heuristics(F.col("js"))["js_keylog_listeners"], F.col("toxic")).items()])
 
 
 @query("c20_title", "WITH " + TITLE_CTE + " SELECT page_id, title, title[:256] AS capped FROM tt")
@@ -136,7 +136,7 @@ def _(t):
     return docs(t).select("doc_id", F.md5(split(F.col("js"), F.col("doc_id").cast("string"))).alias("split_md5"))
 
 
-@query("c33_compact_registration", """SELECT s_suppkey, floor(s_acctbal)::BIGINT AS tls_not_before_days, s_nationkey::BIGINT AS tls_san_count, s_suppkey * 10 AS rdap_age_days, s_nationkey + 1 AS rdap_ns_count,
+@query("c33_compact_registration", """SELECT s_suppkey, floor(s_acctbal)::BIGINT AS tls_not_before_days, s_nationkey::BIGINT AS tls_san_count, s_suppkey * 10 AS rdap_age_days, (s_nationkey + 1)::BIGINT AS rdap_ns_count,
  ('0x' || substr(md5(s_name || CASE WHEN s_nationkey < 8 THEN ' WhoisGuard' ELSE ' Inc' END), 1, 15))::BIGINT AS rdap_registrar_hash64, s_nationkey < 8 AS rdap_has_privacy FROM supplier""")
 def _(t):
     rows = t("supplier").selectExpr("s_suppkey", "concat(s_name, CASE WHEN s_nationkey < 8 THEN ' WhoisGuard' ELSE ' Inc' END) AS registrar", "s_suppkey * 10 AS created", "s_nationkey + 1 AS ns", "floor(s_acctbal) AS cert", "s_nationkey AS sans")

@@ -18,6 +18,12 @@ import duckdb
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP",
+}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for path in glob.glob(f"{sf_dir}/*.parquet"):
@@ -62,8 +68,9 @@ def compare(spark, con, sf_dir, fn, sql):
         only_got = [r for r in got if r not in want][:3]
         only_want = [r for r in want if r not in got][:3]
         return "VALUES", len(got), f"{len(got)} vs {len(want)} {got_cols}\n    spark {only_got}\n    sql   {only_want}"
-    types = [type(v).__name__ for v in (got[0] if got else ())]
-    return "ok", len(got), "" if got else "EMPTY " + str(types)
+    sql_types = {r[0]: r[1] for r in con.execute("DESCRIBE " + sql).fetchall()}
+    odd = [(c, s, sql_types[c]) for c, s in df.dtypes if TYPES.get(s, s) != sql_types[c]]
+    return "ok", len(got), (f"types {odd}" if odd else "") + ("" if got else " EMPTY")
 
 
 def main(argv):
