@@ -6,6 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagerisk.llm.fingerprints import edited_fingerprints
+from pagerisk.llm.language import identify_languages
+from pagerisk.llm.mixing import MIX_CTE, label_weights, mix
+from pagerisk.llm.packing import pack_documents
+from pagerisk.llm.tokens import token_counts
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -26,11 +32,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("op6_token_counts")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pagerisk.llm.tokens import token_counts
-
     return token_counts(table(spark, sf_dir, "documents"), limit=1024)
 
 
+@query("op1_fingerprints")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op5_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+MIX_SQL = f"WITH {MIX_CTE}\nSELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM mixed"
+
+
+@query("op8_mixing", MIX_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), quality=label_weights(table(spark, sf_dir, "labels")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
