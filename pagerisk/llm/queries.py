@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pagerisk.llm.fingerprints import edited_fingerprints
 from pagerisk.llm.language import identify_languages
 from pagerisk.llm.mixing import MIX_CTE, label_weights, mix
+from pagerisk.llm.neighbours import nearest
 from pagerisk.llm.packing import pack_documents
 from pagerisk.llm.tokens import token_counts
 
@@ -40,6 +41,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query("op3_hilbert_neighbours")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 @query("op5_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
