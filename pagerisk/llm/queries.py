@@ -12,6 +12,8 @@ from pagerisk.llm.language import identify_languages
 from pagerisk.llm.mixing import MIX_CTE, label_weights, mix
 from pagerisk.llm.neighbours import nearest
 from pagerisk.llm.packing import pack_documents
+from pagerisk.llm.quality import score_quality
+from pagerisk.llm.substrings import remove_repeats
 from pagerisk.llm.tokens import token_counts
 from pagerisk.llm.warc import archive_pages
 
@@ -53,6 +55,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+@query("op4_repeated_strings")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op5_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
@@ -61,6 +68,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_SQL = f"WITH {MIX_CTE}\nSELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM mixed"
 
 
+@query("op7_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op8_mixing", MIX_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), quality=label_weights(table(spark, sf_dir, "labels")))
@@ -73,7 +85,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_sql(words: int, percent: int, source: str = "documents") -> str:
-    return rf"""WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM {source}),
+    return rf"""WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM {source}),
 sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct([array_to_string(w[i:i + {words - 1}], ' ') FOR i IN range(1, greatest(len(w) - {words - 2}, 2))]) END AS s FROM worded),
 tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
 shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS i FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id
