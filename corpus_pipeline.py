@@ -1,16 +1,69 @@
-"""From raw documents to packed training sequences: the stages of a corpus, one operator each."""
+"""From raw documents to packed training sequences: the stages of a corpus, one operator each.
+
+Every stage but the last takes and returns the columns of ``documents``; each
+result is written as Parquet and read again as the next one's input.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagerisk.llm.common import settle
+from pagerisk.llm.jaccard import similar_groups
+from pagerisk.llm.language import identify_languages
+from pagerisk.llm.mixing import label_weights, mix
+from pagerisk.llm.packing import pack_documents
+from pagerisk.llm.substrings import remove_repeats
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+#: A language has to have the larger share of the likelihood.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter or without a clear language go; a missing language is filled in. NULL texts go."""
+    named = identify_languages(docs, carry=("text", "lang", "source", "n_chars"))
+    kept = named.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that share 80 % of their five-word shingles, directly or through others, the smallest doc_id stays."""
+    gone = similar_groups(docs, words=5, percent=80).filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(settle(gone, "near-duplicates"), "doc_id", "left_anti").select(*COLUMNS)
 
-ORACLE_SQL = None
 
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of 50-byte strings of smaller documents are cut out; characters cut in half go, and documents of which nothing is left."""
+    cut = remove_repeats(docs, keep="text", carry=("lang", "source")).filter("n_removed = 0 OR kept <> ''")
+    return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("bigint").alias("n_chars"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents occur as often as the mix of sources takes them: not at all, once or twice."""
+    weights = label_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    taken = mix(docs, quality=weights).groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    both = docs.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")))
+    return both.select("d.*", F.explode(F.sequence(F.lit(1), F.col("t.copies").cast("int"))).alias("copy")).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("language", language), ("near_duplicates", near_duplicates), ("repeated_strings", repeated_strings), ("mixture", mixture), ("packing", packing),
+]
+
+#: The trees of the language stage are beyond SQL; tests hold each stage against a plain version.
+ORACLE_SQL = None
 
-def run(spark, sf_dir: str):
-    """Apply all stages to the documents of ``sf_dir``; each result is written as Parquet and read again."""
-    from pagerisk.llm.common import settle
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")

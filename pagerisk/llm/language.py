@@ -204,8 +204,8 @@ def train(docs: DataFrame, max_grams: int = MAX_GRAMS) -> tuple[list[str], np.nd
     return langs, grams[order].astype(np.int64), counts[order]
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], name: str) -> DataFrame:
-    """lang_pred and score of every text: doc_id, held_out, lang_pred, score.
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], name: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """lang_pred and score of every text: doc_id, held_out, lang_pred, score, and the columns named in ``carry`` as they are.
 
     ``score`` is the winner's share of the likelihoods of all languages. Texts
     that are NULL or have no letter, and all texts if nothing was learned, are
@@ -230,20 +230,23 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], na
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
                 "lang_pred": pa.array(names.tolist(), pa.string()), "score": pa.array(share, pa.float64()),
+                **{c: batch.column(c) for c in carry},
             })
 
-    rows = docs.select("doc_id", "held_out", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return rows.mapInArrow(score, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    kinds = dict(docs.select(*carry).dtypes)
+    rows = docs.select("doc_id", "held_out", "text", *[c for c in carry if c != "text"], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    return rows.mapInArrow(score, "doc_id bigint, held_out boolean, lang_pred string, score double" + "".join(f", `{c}` {kinds[c]}" for c in carry))
 
 
-def identify_languages(docs: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
+def identify_languages(docs: DataFrame, max_grams: int = MAX_GRAMS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Learn from three quarters of the labelled documents and predict the language of all.
 
     A row is held out if crc32 of its doc_id as text leaves 2 when divided by 4;
     rows without doc_id are neither held out nor learned from. Empty tables give
     empty results; repeated rows are learned and predicted as often as they occur.
+    ``carry`` names columns that are returned as they are.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), *[c for c in carry if c not in ("text", "lang")])
     model = train(rows.filter(fold != 2), max_grams)
-    return predict(rows.withColumn("held_out", F.coalesce(fold == 2, F.lit(False))), model, "language")
+    return predict(rows.withColumn("held_out", F.coalesce(fold == 2, F.lit(False))), model, "language", carry)

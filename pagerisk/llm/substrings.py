@@ -177,26 +177,30 @@ def repeats_in_range(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], dat
     return out
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every byte covered by a LENGTH-byte string that also starts in a document with a smaller doc_id.
 
     Texts are UTF-8 bytes, NULL is empty, strings do not cross documents and are
     judged on the input. Returns doc_id, n_bytes, n_removed, n_spans (maximal
-    removed runs) and kept_sha256; with ``keep_text`` also kept, the bytes left.
+    removed runs) and kept_sha256; with ``keep`` also kept, the bytes left ("bytes")
+    or their text without characters cut in half ("text"), and the columns named in ``carry`` as they are.
     Rows of one doc_id do not remove one another; rows without doc_id count as
     the largest id. Other columns are ignored, an empty table gives no rows.
     """
     parts = shuffle_parts(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kinds = dict(docs.select(*carry).dtypes)
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("binary")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), carried.alias("carried"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("shard", F.pmod("row", F.lit(parts)).cast("int"))
     cuts = range_cuts(parts)
 
-    def with_notes(notes: DataFrame | None, columns: list[str]) -> DataFrame:
+    def with_notes(notes: DataFrame | None, columns: list[str], more: tuple[str, ...] = ()) -> DataFrame:
         """Text rows of a shard in ascending order of doc_id, behind the notes for the shard."""
-        texts = rows.select("shard", F.lit(1).alias("kind"), F.coalesce("doc_id", F.lit(_LAST)).alias("order"), "doc_id", "row", "text", *[F.lit(None).cast("binary").alias(c) for c in columns])
+        texts = rows.select("shard", F.lit(1).alias("kind"), F.coalesce("doc_id", F.lit(_LAST)).alias("order"), "doc_id", "row", "text", *[F.lit(None).cast("binary").alias(c) for c in columns], *more)
         if notes is not None:
             texts = notes.select(
                 "shard", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("order"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("row"), F.lit(None).cast("string").alias("text"), *columns,
+                *[F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in more],
             ).union(texts)
         return texts.repartitionById(parts, "shard").sortWithinPartitions("shard", "kind", "order")
 
@@ -391,7 +395,12 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 "doc_id": texts.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
                 "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(hashes, pa.string()),
             }
-            yield pa.RecordBatch.from_pydict(out | ({"kept": pa.array(kept, pa.binary())} if keep_text else {}))
-
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_text
-    return with_notes(spans, ["blob"]).mapInArrow(cut, schema)
+            if keep:
+                out["kept"] = pa.array(kept, pa.binary()) if keep == "bytes" else pa.array([k.decode(errors="ignore") for k in kept], pa.string())
+            for k, c in enumerate(carry):
+                out[c] = texts.column("carried").field(k)
+            yield pa.RecordBatch.from_pydict(out)
+
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + {None: "", "bytes": ", kept binary", "text": ", kept string"}[keep]
+    schema += "".join(f", `{c}` {kinds[c]}" for c in carry)
+    return with_notes(spans, ["blob"], ("carried",) if carry else ()).mapInArrow(cut, schema)

@@ -88,9 +88,11 @@ def test_removal(spark, monkeypatch, seed, piece, parts):
     monkeypatch.setattr(substrings, "PIECE", piece)
     try:
         docs = spark.createDataFrame([(*r, "en", "s", 0, 1, "k", "r") for r in rows], DOCS)
-        got = remove_repeats(docs, keep_text=True).collect()
+        got = remove_repeats(docs, keep="bytes").collect()
         assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=str) == brute(rows)
         assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
+        texts = [tuple(r) for r in remove_repeats(docs, keep="text", carry=("lang", "n_chars")).select("doc_id", "kept", "lang", "n_chars").collect()]
+        assert sorted(texts, key=str) == sorted(((r["doc_id"], r["kept"].decode(errors="ignore"), "en", 0) for r in got), key=str)
         assert remove_repeats(docs.limit(0)).count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
