@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,10 @@ from pagerisk.llm.common import mix64, settle, shuffle_parts, slices, utf8
 from pagerisk.llm.components import connected
 from pagerisk.llm.shingles import shingle_sets
 
-#: Counters of the frequency sketch, nodes compared in one group, sizes that may be light.
-COUNTERS, GROUP, LIGHT_MOST = 1 << 20, 1024, 40
+#: Counters of the frequency sketch (a power of two up to 2^24), nodes compared in one group, sizes that may be light.
+COUNTERS, GROUP, LIGHT_MOST = 1 << 22, 1024, 40
+#: Lists up to this length count what each pair of sets shares in them; longer ones form groups around a center.
+SHORT_LIST = 64
 _TEXT_BYTES = 4 << 20
 
 
@@ -154,9 +157,14 @@ def light_links(docs: DataFrame, words: int, percent: int, boundary: int) -> Dat
 
 
 def meetings(docs: DataFrame, words: int, percent: int, sketch: np.ndarray, boundary: int) -> DataFrame:
-    """(center, node): sets that meet in an inverted list, and the smallest node of that list. Only heavy sets and those near the boundary.
-
-    A task sends its postings in a few large rows, cut by ranges of shingle hashes; of equal sets it sends the smallest id.
+    """(center, node): sets that meet in inverted lists and may be similar. Only heavy sets and those near the boundary.
+
+    A long list ties its sets to the smallest node in it. Sets that meet in short
+    lists only are counted pair by pair: with c common shingles in both prefixes,
+    the last at places p and q of sets of n and m, they share at most
+    c + min(n - p, m - q) shingles, and most pairs fall short of similarity by that.
+    A task sends its postings in a few large rows, cut by ranges of shingle
+    hashes; of equal sets it sends the smallest id.
     """
     parts = shuffle_parts(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(frequency_classes(sketch))
@@ -165,7 +173,7 @@ def meetings(docs: DataFrame, words: int, percent: int, sketch: np.ndarray, boun
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, first = held.value, _Firsts()
         for batch in slices(batches, "text", 4 * _TEXT_BYTES):
-            ids, tokens, owners, nodes = batch.column("doc_id").to_pylist(), [], [], []
+            ids, tokens, owners, places, nodes = batch.column("doc_id").to_pylist(), [], [], [], []
             for doc_id, own in zip(ids, _sets(batch, words), strict=True):
                 if len(own) < least or doc_id is None:
                     continue
@@ -176,54 +184,77 @@ def meetings(docs: DataFrame, words: int, percent: int, sketch: np.ndarray, boun
                 rank = classes[(own >> np.uint64(40)).astype(np.int64) % COUNTERS]
                 order = np.argsort(rank, kind="stable")[:length]  # within a class by hash, as the set is sorted
                 tokens.append(own[order])
+                places.append(np.arange(1, length + 1, dtype=np.uint32))
                 owners.append(np.full(length, len(nodes), np.uint32))
-                nodes.append((doc_id, mark))
+                nodes.append((doc_id, mark, len(own)))
             if not nodes:
                 continue
-            token, owner = np.concatenate(tokens), np.concatenate(owners)
+            token, owner, place = map(np.concatenate, (tokens, owners, places))
             order = np.argsort(token)
-            token, owner = token[order], owner[order]
-            cuts = np.searchsorted(token, (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)) if parts > 1 else []
+            token, owner, place = token[order], owner[order], place[order]
+            cuts = np.searchsorted(token, np.array([(i << 64) // parts for i in range(1, parts)], np.uint64))
             bounds = [0, *cuts, len(token)]
-            table = np.array(nodes, np.int64).reshape(-1, 2)
+            table = np.array(nodes, np.int64).reshape(-1, 3)
             for part, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
                 if hi > lo:
                     used, own_rows = np.unique(owner[lo:hi], return_inverse=True)
                     yield pa.RecordBatch.from_pydict({
-                        "part": pa.array([part], pa.int32()), "tokens": [token[lo:hi].tobytes()], "owners": [own_rows.astype("<u4").tobytes()], "nodes": [table[used].tobytes()],
+                        "part": pa.array([part], pa.int32()), "tokens": [token[lo:hi].tobytes()], "owners": [own_rows.astype("<u4").tobytes()],
+                        "places": [place[lo:hi].tobytes()], "nodes": [table[used].tobytes()],
                     })
 
+    names = ["a", "b", "long", "n", "m", "p", "q"]
+
+    def block(a: np.ndarray, b: np.ndarray, long: bool, *rest: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(a), 50_000):
+            part = slice(lo, lo + 50_000)
+            more = [pa.array(x[part].astype(np.int64)) for x in rest] or [pa.nulls(len(a[part]), pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(a[part]), pa.array(b[part]), pa.array(np.full(len(a[part]), long)), *more], names)
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, ids, marks = [], [], []
+        tokens, places, tables = [], [], []
         for batch in batches:
-            for t, o, n in zip(batch.column("tokens"), batch.column("owners"), batch.column("nodes"), strict=True):
-                table = np.frombuffer(n.as_buffer(), np.int64).reshape(-1, 2)
-                owner = np.frombuffer(o.as_buffer(), "<u4")
+            for t, o, p, n in zip(*(batch.column(c) for c in ("tokens", "owners", "places", "nodes")), strict=True):
                 tokens.append(np.frombuffer(t.as_buffer(), np.uint64))
-                ids.append(table[owner, 0])
-                marks.append(table[owner, 1])
-        token, node, mark = map(np.concatenate, (tokens, ids, marks))
-        _, first, count = np.unique(np.sort(token), return_index=True, return_counts=True)
-        often = np.sort(token)[first[count > 1]]
-        at = np.minimum(np.searchsorted(often, token), max(0, len(often) - 1))
-        keep = often[at] == token if len(often) else np.zeros(len(token), bool)
-        token, node, mark = token[keep], node[keep], mark[keep]
-        order = np.lexsort((node, mark, token))
-        token, node, mark = token[order], node[order], mark[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (mark[1:] != mark[:-1])  # the smallest id of each set in each list
-        token, node = token[new], node[new]
-        if not len(token):
+                places.append(np.frombuffer(p.as_buffer(), "<u4"))
+                tables.append(np.frombuffer(n.as_buffer(), np.int64).reshape(-1, 3)[np.frombuffer(o.as_buffer(), "<u4")])
+        token, place, table = np.concatenate(tokens), np.concatenate(places), np.concatenate(tables)
+        every = np.sort(token)
+        often = np.unique(every[1:][every[1:] == every[:-1]])
+        if not len(often):
             return
+        keep = often[np.minimum(np.searchsorted(often, token), len(often) - 1)] == token
+        token, place, (node, mark, size) = token[keep], place[keep], table[keep].T
+        order = np.lexsort((node, mark, token))
+        order = order[np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (mark[order][1:] != mark[order][:-1])])]  # the smallest id of each set in each list
+        order = order[np.lexsort((node[order], token[order]))]
+        token, place, node, size = token[order], place[order], node[order], size[order]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        center = np.repeat(np.minimum.reduceat(node, starts), np.diff([*starts, len(token)]))
-        far = center != node
-        pairs = np.unique(np.stack([center[far], node[far]], axis=1), axis=0)
-        for lo in range(0, len(pairs), 50_000):
-            yield pa.RecordBatch.from_pydict({"center": pa.array(pairs[lo : lo + 50_000, 0]), "node": pa.array(pairs[lo : lo + 50_000, 1])})
-
-    postings = docs.mapInArrow(scan, "part int, tokens binary, owners binary, nodes binary")
-    return postings.groupBy("part").applyInArrow(meet, "center bigint, node bigint").distinct()
+        lengths = np.diff([*starts, len(token)])
+        far = np.repeat(lengths > SHORT_LIST, lengths)
+        center = np.repeat(node[starts], lengths)
+        far &= center != node
+        if far.any():
+            pairs = np.unique(np.stack([center[far], node[far]], axis=1), axis=0)
+            yield from block(pairs[:, 0], pairs[:, 1], True)
+        for length in range(2, SHORT_LIST + 1):
+            rows = starts[lengths == length]
+            i, j = np.triu_indices(length, 1)
+            for lo in range(0, len(rows), max(1, 500_000 // len(i))):
+                at = rows[lo : lo + max(1, 500_000 // len(i)), None]
+                a, b = (at + i).ravel(), (at + j).ravel()
+                close = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+                a, b = a[close], b[close]
+                yield from block(node[a], node[b], False, size[a], size[b], place[a], place[b])
+
+    postings = docs.mapInArrow(scan, "part int, tokens binary, owners binary, places binary, nodes binary")
+    met = postings.groupBy("part").applyInArrow(meet, "a bigint, b bigint, long boolean, n bigint, m bigint, p bigint, q bigint")
+    pairs = met.groupBy("a", "b").agg(
+        F.max("long").alias("long"), F.count("n").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"), F.max("p").alias("p"), F.max("q").alias("q"),
+    )
+    shared = F.col("c") + F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q"))
+    possible = F.lit(100) * shared >= F.lit(percent) * (F.col("n") + F.col("m") - shared)
+    return pairs.filter(F.col("long") | possible).select(F.col("a").alias("center"), F.col("b").alias("node"))
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -283,24 +314,25 @@ def heavy_links(docs: DataFrame, met: DataFrame, words: int, percent: int, group
     seats = dealt.select("node", F.struct("center", "tiles", "tile").alias("seat")).withColumnRenamed("node", "doc_id")
     texts = docs.join(seats.groupBy("doc_id").agg(F.collect_list("seat").alias("seats")), "doc_id")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", _TEXT_BYTES):
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "seats": batch.column("seats"), "shingles": pa.array([s.tobytes() for s in _sets(batch, words)], pa.binary()),
-            })
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packer = zstandard.ZstdCompressor(level=3)
+            packed = [packer.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "seats": batch.column("seats"), "packed": pa.array(packed, pa.binary())})
 
-    sets = texts.select("doc_id", "seats", "text").mapInArrow(scan, "doc_id bigint, seats array<struct<center: bigint, tiles: int, tile: int>>, shingles binary")
-    placed = sets.select("doc_id", "shingles", F.inline("seats")).select(
-        "doc_id", "shingles", "center", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"),
-    ).select("doc_id", "shingles", "center", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+    # A text is compressed once and is then a third of its set of hashes; each group makes the sets anew.
+    folded = texts.select("doc_id", "seats", "text").mapInArrow(fold, "doc_id bigint, seats array<struct<center: bigint, tiles: int, tile: int>>, packed binary")
+    placed = folded.select("doc_id", "packed", F.inline("seats")).select(
+        "doc_id", "packed", "center", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"),
+    ).select("doc_id", "packed", "center", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[int, tuple[int, np.ndarray]] = {}
+        unpacker, found = zstandard.ZstdDecompressor(), {}
         for batch in batches:
-            for doc_id, tile, raw in zip(batch.column("doc_id").to_pylist(), batch.column("tile").to_pylist(), batch.column("shingles"), strict=True):
-                rows[doc_id] = tile, np.frombuffer(raw.as_buffer(), np.uint64).copy()
-        ids = np.array(sorted(rows), np.int64)
-        sets = [rows[i][1] for i in ids]
+            texts = pa.array([unpacker.decompress(p.as_py()).decode() for p in batch.column("packed")], pa.large_string())
+            found.update(zip(batch.column("doc_id").to_pylist(), shingle_sets(*utf8(texts), words), strict=True))
+        ids = np.array(sorted(found), np.int64)
+        sets = [found[i] for i in ids]
         n = np.array([len(s) for s in sets], np.float64)
         shared = overlaps(sets, sets)
         alike = 100 * shared >= percent * (n[:, None] + n[None, :] - shared)
