@@ -67,7 +67,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     new = np.concatenate([[True], at[1:] != at[:-1]])
     first = starts[new]
     last = starts[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
-    return hashes[at[new]], first, last
+    # Smallest hashes are small: scrambled again, they fill all ranges evenly.
+    return mix64(hashes[at[new]] + np.uint64(1)), first, last
 
 
 def range_cuts(parts: int) -> np.ndarray:
@@ -161,18 +162,19 @@ def repeats_in_range(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], dat
     while len(firsts) > 1:
         firsts = [merge_smallest(*firsts[i : i + 2]) if i + 1 < len(firsts) else firsts[i] for i in range(0, len(firsts), 2)]
     keys, docs, places = firsts[0]
+    words = [np.ndarray((len(data) - LENGTH + 1,), "<u8", data, k, (1,)) for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]]
     out = []
     for own, own_docs, own_places in lists:
         at = np.searchsorted(keys, own)
         found = own_docs > docs[at]
-        other = places[at]
-        for w in np.flatnonzero(found):  # equal hashes are told apart by their bytes
-            if not np.array_equal(data[own_places[w] : own_places[w] + LENGTH], data[other[w] : other[w] + LENGTH]):
-                text = data[own_places[w] : own_places[w] + LENGTH].tobytes()
-                found[w] = any(
-                    d < own_docs[w] and data[p : p + LENGTH].tobytes() == text
-                    for k2, d2, p2 in lists for d, p in zip(d2[k2 == own[w]], p2[k2 == own[w]], strict=True)
-                )
+        hit = np.flatnonzero(found)
+        here, there = own_places[hit], places[at[hit]]
+        for w in hit[~np.logical_and.reduce([v[here] == v[there] for v in words])]:  # equal hashes of different strings: compare bytes
+            text = data[own_places[w] : own_places[w] + LENGTH].tobytes()
+            found[w] = any(
+                d < own_docs[w] and data[p : p + LENGTH].tobytes() == text
+                for k2, d2, p2 in lists for d, p in zip(d2[k2 == own[w]], p2[k2 == own[w]], strict=True)
+            )
         out.append(found)
     return out
 
@@ -192,7 +194,7 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
     carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("binary")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), carried.alias("carried"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("shard", F.pmod("row", F.lit(parts)).cast("int"))
-    cuts = range_cuts(parts)
+    cuts, string_cuts = range_cuts(parts), range_cuts(4 * parts)
 
     def with_notes(notes: DataFrame | None, columns: list[str], more: tuple[str, ...] = ()) -> DataFrame:
         """Text rows of a shard in ascending order of doc_id, behind the notes for the shard."""
@@ -278,7 +280,7 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
                 yield spans_row(shard, *_windows_to_spans(row[of][found], (start[of] + step)[found]))
             left = np.add.reduceat(~found, begin) > 0 if len(count) else np.zeros(0, bool)
             order = np.flatnonzero(left)[np.argsort(value[left])]
-            bounds = [0, *np.searchsorted(value[order], cuts), len(order)]
+            bounds = [0, *np.searchsorted(value[order], string_cuts), len(order)]
             for part, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
                 if hi > lo:
                     chosen = order[lo:hi]
@@ -333,32 +335,54 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
     found = settle(with_notes(repeated, ["hashes"]).mapInArrow(search, sent_schema), "repeated-strings")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, blobs, docs_, row_ids, starts, sizes = [], [], [], [], [], []
+        # Whole strings first: of equal ones only that of the smallest document is looked into.
+        sent, best = [], {}
         for batch in batches:
-            shards += batch.column("shard").to_pylist()
-            for column, into, kind in (("blob", blobs, np.uint8), ("docs", docs_, "<i8"), ("row_ids", row_ids, "<i8"), ("starts", starts, "<i8"), ("sizes", sizes, "<u2")):
-                into += [np.frombuffer(v.as_buffer(), kind).copy() for v in batch.column(column)]
-        data = np.concatenate(blobs)
-        hashes = window_hashes(data)
-        lists, where, base = [], [], 0
-        for blob, doc, size in zip(blobs, docs_, sizes, strict=True):
-            size = size.astype(np.int64)
+            for shard, *columns in zip(*(batch.column(c) for c in ("shard", "blob", "docs", "row_ids", "starts", "sizes")), strict=True):
+                blob = columns[0].as_py()
+                doc, row, start, size = (np.frombuffer(v.as_buffer(), kind).astype(np.int64) for v, kind in zip(columns[1:], ("<i8", "<i8", "<i8", "<u2"), strict=True))
+                ends = np.cumsum(size)
+                texts = [blob[lo:hi] for lo, hi in zip((ends - size).tolist(), ends.tolist(), strict=True)]
+                for text, d in zip(texts, doc.tolist(), strict=True):
+                    known = best.get(text)
+                    if known is None or d < known[0]:
+                        best[text] = d, len(sent)
+                sent.append((shard.as_py(), texts, doc, row, start, size))
+        # Distinct strings, listed by the row that sent the smallest document's; places are those in the joined bytes.
+        by_sender: dict[int, list[bytes]] = {}
+        for text, (_, sender) in best.items():
+            by_sender.setdefault(sender, []).append(text)
+        data = np.frombuffer(b"".join(t for texts in by_sender.values() for t in texts), np.uint8)
+        hashes, lists, order_of, base = window_hashes(data), [], [], 0
+        for texts in by_sender.values():
+            size = np.array([len(t) for t in texts], np.int64)
             count = size - LENGTH + 1
-            begin = base + np.cumsum(size) - size
-            of = np.repeat(np.arange(len(count)), count)
-            step = np.arange(int(count.sum())) - (np.cumsum(count) - count)[of]
-            place = begin[of] + step
+            before = np.cumsum(count) - count
+            place = np.arange(int(count.sum())) + np.repeat(base + np.cumsum(size) - size - before, count)
             order = np.argsort(hashes[place])
-            lists.append((hashes[place][order], doc[of][order], place[order]))
-            where.append((of[order], step[order]))
-            base += len(blob)
-        out: dict[int, list] = {}
-        for shard, hit, (of, step), row, start in zip(shards, repeats_in_range(lists, data), where, row_ids, starts, strict=True):
-            if hit.any():
-                out.setdefault(shard, []).append((row[of[hit]], start[of[hit]] + step[hit]))
-        for shard, hits in out.items():
-            row, start, end = _windows_to_spans(*(np.concatenate(x) for x in zip(*hits, strict=True)))
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "blob": [np.stack([row, start, end]).astype("<i8").tobytes()]})
+            lists.append((hashes[place][order], np.repeat(np.array([best[t][0] for t in texts], np.int64), count)[order], place[order]))
+            order_of.append(order)
+            base += int(size.sum())
+        hits: dict[bytes, np.ndarray] = {}
+        for texts, order, found_sorted in zip(by_sender.values(), order_of, repeats_in_range(lists, data), strict=True):
+            found = np.empty(len(order), bool)
+            found[order] = found_sorted
+            at = 0
+            for t in texts:
+                n = len(t) - LENGTH + 1
+                if found[at : at + n].any():
+                    hits[t] = np.flatnonzero(found[at : at + n])
+                at += n
+        for shard, texts, doc, row, start, size in sent:
+            whole = doc > np.array([best[t][0] for t in texts], np.int64)
+            spans = [(row[whole], start[whole], start[whole] + size[whole])]
+            for k in np.flatnonzero(~whole):
+                if texts[k] in hits:
+                    at = start[k] + hits[texts[k]]
+                    spans.append(_windows_to_spans(np.full(len(at), row[k]), at))
+            blob = np.concatenate([np.stack(x) for x in spans], axis=1)
+            if blob.shape[1]:
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "blob": [blob.astype("<i8").tobytes()]})
 
     crossed = found.filter("part >= 0").groupBy("part").applyInArrow(merge, "shard int, blob binary")
     spans = settle(found.filter("part < 0").select("shard", "blob").union(crossed), "repeated-spans")
