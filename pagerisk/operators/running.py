@@ -44,6 +44,38 @@ def int_bucket(value: str | Column, width: int = 1 << 17) -> Column:
     return F.floor(v / F.lit(width)).cast("long")
 
 
+def even_bucket(df: DataFrame, column: str, rows: int = 1 << 17, most: int = 4096) -> Column:
+    """A monotone bucket with about ``rows`` rows each, from quantiles of the data.
+
+    ``most`` bounds the list of cuts, not the rows: beyond ``rows * most`` rows
+    the buckets grow. Values may be sparse; the bucket is found by binary search.
+    """
+    n = df.count()
+    parts = min(most, -(-n // rows))
+    if parts < 2:
+        return F.lit(0)
+    cuts = df.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
+    cuts = sorted(set(cuts))
+    known, steps = F.array(*map(F.lit, cuts)), []
+    step = 1 << max(0, len(cuts).bit_length() - 1)
+    while step:
+        steps.append(F.lit(step))
+        step >>= 1
+
+    def walk(at: Column, by: Column) -> Column:
+        ahead = at + by
+        return F.when((ahead <= len(cuts)) & (F.element_at(known, F.least(ahead, F.lit(len(cuts)))) < F.col(column)), ahead).otherwise(at)
+
+    return F.coalesce(F.aggregate(F.array(*steps), F.lit(0), walk), F.lit(0)) if cuts else F.lit(0)
+
+
+def place_bucket(df: DataFrame, column: str) -> Column:
+    """Bucket of a reading position: the file block of (file, block, row), else even buckets of a number."""
+    if df.schema[column].dataType.typeName() == "struct":
+        return F.struct(F.col(f"{column}.file"), F.col(f"{column}.block"))
+    return even_bucket(df, column)
+
+
 def time_bucket(ts: str | Column, seconds: int = 3600) -> Column:
     t = F.col(ts) if isinstance(ts, str) else ts
     return F.floor(F.unix_micros(t.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")

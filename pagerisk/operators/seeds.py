@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagerisk.functions import urls as u
+from pagerisk.operators.joins import settled
 from pagerisk.operators.predictions import keep_one
-from pagerisk.operators.running import hash_ranked, int_bucket, ranked
-
+from pagerisk.operators.running import even_bucket, hash_ranked, place_bucket, ranked
 
 
 def first_seen(rows: DataFrame, key: str = "url", order: Sequence[str] = ("source_rank", "pos")) -> DataFrame:
@@ -18,13 +18,15 @@ def first_seen(rows: DataFrame, key: str = "url", order: Sequence[str] = ("sourc
     return keep_one(rows, [key], order)
 
 
-def limit_per_source(rows: DataFrame, limits: dict[str, int], pos: str = "pos") -> DataFrame:
-    """The first n rows of each source by position; sources without a limit stay whole."""
-    r = ranked(rows, ["source"], [pos], int_bucket(pos))
-    cap = F.lit(None).cast("long")
-    for source, n in limits.items():
-        cap = F.when(F.col("source") == source, F.lit(n)).otherwise(cap)
-    return r.filter(cap.isNull() | (F.col("rank") <= cap)).drop("rank_of")
+def limit_per_source(rows: DataFrame, limits: dict[str, int] | DataFrame, pos: str = "pos") -> DataFrame:
+    """The first n rows of each source by position; sources without a limit stay whole.
+
+    ``limits`` by source name, or as a table (source, quota).
+    """
+    r = ranked(rows, ["source"], [pos], place_bucket(rows, pos)).drop("rank_of")
+    if isinstance(limits, dict):
+        limits = rows.sparkSession.createDataFrame(list(limits.items()), "source STRING, quota BIGINT")
+    return r.join(limits.select("source", "quota"), "source", "left").filter("quota IS NULL OR rank <= quota").select(*r.columns)
 
 
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
@@ -32,25 +34,23 @@ def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
     return hash_ranked(rows, key, seed, name="place").drop("place_of")
 
 
-def half_even(x: float) -> int:
-    return round(x)
+def allocation(counts: DataFrame, bad: Sequence[str], benign: str, size: int, ratio: float) -> DataFrame:
+    """Rows to take from each source, (source, quota), for a target size and share of bad rows.
 
-
-def allocation(available: dict[str, int], bad: Sequence[str], benign: str, size: int, ratio: float) -> dict[str, int]:
-    """Rows per source for a target size: the bad share goes to the two bad feeds in proportion, slack is filled, the rest is benign."""
-    ratio = min(max(ratio, 0.0), 1.0)
-    want = half_even(size * ratio)
-    first, second = bad
-    have = {s: available.get(s, 0) for s in (*bad, benign)}
-    total = max(have[first] + have[second], 1)
-    take = {first: min(half_even(want * have[first] / total), have[first])}
-    take[second] = min(want - take[first], have[second])
-    slack = want - take[first] - take[second]
-    more = min(max(slack, 0), have[first] - take[first])
-    take[first] += more
-    take[second] += min(slack - more, have[second] - take[second])
-    take[benign] = min(max(size - want, 0), have[benign])
-    return take
+    ``counts`` has one row per source (source, n). Any number of bad sources
+    share the bad rows in proportion: the quota of each is the rounded running
+    share up to it less that before it, so quotas add up and none exceeds its
+    source. A want beyond all bad rows takes them all; the rest is benign.
+    """
+    want = round(size * min(max(ratio, 0.0), 1.0))
+    place = F.array_position(F.array(*map(F.lit, bad)), F.col("source"))
+    whole = Window.partitionBy(F.lit(0))  # one row per bad source
+    until = whole.orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    shared = counts.withColumn("_place", place).filter("_place > 0").withColumns({"_all": F.sum("n").over(whole), "_until": F.sum("n").over(until)})
+    upto = lambda n: F.bround(F.least(F.lit(want), F.col("_all")) * (n / F.greatest(F.col("_all"), F.lit(1)))).cast("long")
+    quotas = shared.select("source", (upto(F.col("_until")) - upto(F.col("_until") - F.col("n"))).alias("quota"))
+    rest = counts.filter(F.col("source") == benign).select("source", F.least(F.lit(max(size - want, 0)).cast("long"), F.col("n")).alias("quota"))
+    return quotas.unionByName(rest)
 
 
 def source_counts(rows: DataFrame) -> DataFrame:
@@ -59,28 +59,26 @@ def source_counts(rows: DataFrame) -> DataFrame:
 
 
 def allocate(rows: DataFrame, bad: Sequence[str], benign: str, size: int, ratio: float) -> DataFrame:
-    """The first rows of each source up to its allocation. Only one count per source reaches the driver."""
-    available = {r.source: r["count"] for r in rows.filter(F.col("source").isin(*bad, benign)).groupBy("source").count().collect()}
-    return limit_per_source(rows, allocation(available, bad, benign, size, ratio))
+    """The first rows of each source up to its allocation."""
+    counts = rows.filter(F.col("source").isin(*bad, benign)).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return limit_per_source(rows, allocation(counts, bad, benign, size, ratio))
 
 
-def fair_share(
-    rows: DataFrame, existing: DataFrame | None, sources: int, limit: int, refill: int = 500, rounds: int = 6
-) -> DataFrame:
+def fair_share(rows: DataFrame, existing: DataFrame | None, sources: int, limit: int, refill: int = 500) -> DataFrame:
     """Up to ``limit`` unseen URLs, an equal first chunk per source, then refills in turns.
 
-    ``rows``: url, source, source_rank, pos. The round follows from the rank in
-    the source, a URL goes to the earliest (round, source, rank), and the
-    global rank in that order is cut at the limit.
+    ``rows``: url, source, source_rank, pos. The turn follows from the rank in
+    the source, a URL goes to the earliest (turn, source, rank), and the
+    global rank in that order is cut at the limit, the only bound there is.
     """
     fresh = rows if existing is None else rows.join(existing.select("url").distinct(), "url", "left_anti")
     chunk = max(1, limit // sources)
-    r = ranked(fresh, ["source"], ["pos"], int_bucket("pos"))
+    r = ranked(fresh, ["source"], ["pos"], place_bucket(rows, "pos"))
     turn = F.when(F.col("rank") <= chunk, 0).otherwise(1 + F.floor((F.col("rank") - chunk - 1) / F.lit(refill)))
-    timed = r.withColumn("turn", turn.cast("long")).filter(F.col("turn") <= rounds).drop("rank_of")
+    timed = r.withColumn("turn", turn.cast("long")).drop("rank_of")
     order = (F.col("turn") * sources + F.col("source_rank")) * F.lit(1 << 40) + F.col("rank")
-    unique = keep_one(timed.withColumn("_order", order), ["url"], ["_order"])
-    out = ranked(unique, [], ["_order"], int_bucket("_order"), "place")
+    unique = settled(keep_one(timed.withColumn("_order", order), ["url"], ["_order"]), "fair-share")
+    out = ranked(unique, [], ["_order"], even_bucket(unique, "_order"), "place")
     return out.filter(F.col("place") <= limit).drop("_order", "place_of", "rank")
 
 
@@ -96,7 +94,8 @@ def unseen_sites(sites: DataFrame, existing: DataFrame, n: int) -> DataFrame:
     pair = F.array(*[F.struct(F.lit(i).alias("try"), u.canonical(F.concat(F.lit(f"{s}://"), "domain", F.lit("/"))).alias("url")) for i, s in enumerate(("https", "http"))])
     tries = sites.select("domain", "rank", F.inline(pair)).join(existing.select("url").distinct(), "url", "left_anti")
     first = tries.groupBy("domain").agg(F.min_by("url", "try").alias("url"), F.min("rank").alias("rank"))
-    r = ranked(first, [], ["rank"], int_bucket("rank"), "place")
+    first = settled(first, "unseen-sites")
+    r = ranked(first, [], ["rank", "domain"], even_bucket(first, "rank"), "place")
     return r.filter(F.col("place") <= n).select("domain", "url", "rank")
 
 
@@ -110,8 +109,8 @@ def gather_mixed(rows: DataFrame, sites: DataFrame, existing: DataFrame, sources
 
 
 def below_minimum(rows: DataFrame, minimum: int) -> bool:
-    """Should the incremental step run? Stops counting at the minimum."""
-    return rows.limit(minimum).count() < minimum
+    """Should the incremental step run? A count, which Parquet answers from its footers."""
+    return rows.count() < minimum
 
 
 def new_rows(batch: DataFrame, master: DataFrame, key: Column, master_key: Column, order: Sequence[str]) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,69 +119,48 @@ def val_groups(df: DataFrame, group: str, val_frac: float, seed: int = 42) -> Da
     return run.select(group, (F.col("before_n") < target).alias("in_val"))
 
 
-MAX_SHAPES = 20_000
-MAX_STEPS = 200_000
-
-
-def _greedy(shapes: list, total: int, val_frac: float, target: float, tol: float, min_pos: int, refine: int) -> dict:
-    """How many groups of each shape (rows, positives) to take. Groups of one shape are alike, so shapes suffice."""
-    n, p, left = (np.array([s[i] for s in shapes], dtype=np.int64) for i in (0, 1, 2))
-    taken = np.zeros_like(left)
-    want = max(1, round(val_frac * total))
-    cur_n = cur_p = 0
-
-    def take(i):
-        nonlocal cur_n, cur_p
-        left[i] -= 1
-        taken[i] += 1
-        cur_n += int(n[i])
-        cur_p += int(p[i])
-
-    if len(n):
-        take(int(np.argmin(np.abs(p / n - target))))
-    while cur_n < want and left.any():
-        new_n = cur_n + n
-        score = np.abs((cur_p + p) / new_n - target) + 0.05 * np.abs(new_n - want) / max(1, want)
-        take(int(np.argmin(np.where(left > 0, score, np.inf))))
-    while cur_p < min_pos and cur_n < want and (left * p).any():
-        take(int(np.argmax(np.where(left > 0, p, -1))))
-    for _ in range(refine):
-        base = abs(cur_p / cur_n - target)
-        if base <= tol:
-            break
-        out, into = np.flatnonzero(taken)[:, None], np.flatnonzero(left)[None, :]
-        new_n, new_p = cur_n - n[out] + n[into], cur_p - p[out] + p[into]
-        err = np.where(new_p >= min_pos, np.abs(new_p / np.maximum(new_n, 1) - target), np.inf)
-        if not err.size or err.min() >= base - 1e-12:
-            break
-        a, b = np.unravel_index(int(err.argmin()), err.shape)
-        o, i = int(out[a, 0]), int(into[0, b])
-        taken[o] -= 1
-        left[o] += 1
-        cur_n, cur_p = cur_n - int(n[o]), cur_p - int(p[o])
-        take(i)
-    return {(int(n[i]), int(p[i])): int(taken[i]) for i in range(len(n)) if taken[i]}
-
-
-def val_groups_for_ratio(
-    df: DataFrame, group: str, val_frac: float, target: float, tol: float = 0.02, min_pos: int = 1, refine: int = 0, seed: int = 42
-) -> DataFrame:
-    """I5 with a target: greedy choice of groups whose joint positive share stays near the target.
+def val_groups_for_ratio(df: DataFrame, group: str, val_frac: float, target: float, min_pos: int = 1, seed: int = 42) -> DataFrame:
+    """I5 with a target: groups in seeded order whose joint positive share comes near the target, at any number of groups.
 
-    The greedy step runs on the driver over distinct group shapes (rows,
-    positives) with their counts, a table checked to be small. Beyond that size
-    the order-based form ``val_groups`` is used.
+    Groups at or above the target share form the rich pool, the others the poor
+    one. If the pools have shares R and P, a choice of W rows meets the target
+    with W (target - P) / (R - P) rich rows; so many are taken in seeded order
+    (more until ``min_pos`` positives are in). Poor groups then correct what the
+    rich ones came to: they are taken up to the prefix that brings share and
+    size nearest to their targets, |share - target| + |rows - W| / W, the
+    shorter prefix on ties.
+    Deviation from the source behaviour: it chooses group by group and may swap
+    groups afterwards; here one cut in each pool decides.
     """
     stats = settled(group_stats(df, group), "group-stats")
-    shapes = stats.groupBy("n", "pos").agg(F.count(F.lit(1)).alias("groups"))
-    size = shapes.agg(F.count(F.lit(1)).alias("shapes"), F.sum("groups").alias("groups"), F.sum(F.col("n") * F.col("groups")).alias("rows")).first()
-    if (size.shapes or 0) > MAX_SHAPES or (size.groups or 0) * val_frac > MAX_STEPS:
-        return val_groups(df, group, val_frac, seed)
-    rows = [(r.n, r.pos, r.groups) for r in shapes.orderBy("n", "pos").collect()]
-    taken = _greedy(rows, size.rows or 0, val_frac, target, tol, min_pos, refine)
-    plan = df.sparkSession.createDataFrame([(a, b, k) for (a, b), k in taken.items()], "n BIGINT, pos BIGINT, quota BIGINT")
-    placed = hash_ranked(stats, group, seed, ["n", "pos"]).join(plan, ["n", "pos"], "left")
-    return placed.select(group, F.coalesce(F.col("rank") <= F.col("quota"), F.lit(False)).alias("in_val"))
+    rich = F.col("pos") / F.col("n") >= F.lit(target)
+    pools = stats.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        *[F.coalesce(F.sum(F.when(side, F.col(c))), F.lit(0)).alias(f"{name}_{c}") for name, side in (("rich", rich), ("poor", ~rich)) for c in ("n", "pos")],
+    ).select(
+        F.greatest(F.lit(1), F.bround(F.lit(val_frac) * F.col("rows"))).alias("want"),
+        F.when(F.col("rich_n") > 0, F.col("rich_pos") / F.col("rich_n")).alias("high"),
+        F.when(F.col("poor_n") > 0, F.col("poor_pos") / F.col("poor_n")).alias("low"),
+    ).withColumn(
+        "quota", F.when(F.col("high").isNull(), 0.0).when(F.col("low").isNull(), F.col("want"))
+        .otherwise(F.col("want") * (F.lit(target) - F.col("low")) / (F.col("high") - F.col("low"))),
+    )
+    ordered = stats.withColumns({"_rich": rich, "_digest": F.md5(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string")))})
+    run = running_totals(ordered, ["_rich"], ["_digest", group], hash_bucket("_digest"), ["n", "pos"]).crossJoin(F.broadcast(pools))  # one row
+    run = settled(run.select(group, "n", "pos", "_rich", "before_n", "before_pos", "want", "quota"), "group-order")
+    first = F.col("_rich") & ((F.col("before_n") < F.col("quota")) | (F.col("before_pos") < F.lit(min_pos)))
+    got = run.agg(F.coalesce(F.sum(F.when(first, F.col("n"))), F.lit(0)).alias("got_n"), F.coalesce(F.sum(F.when(first, F.col("pos"))), F.lit(0)).alias("got_pos"))
+
+    def miss(n: Column, pos: Column) -> Column:
+        return F.when(n > 0, F.abs(pos / n - F.lit(target)) + F.abs(n - F.col("want")) / F.col("want"))
+
+    after_n, after_pos = F.col("before_n") + F.col("n"), F.col("before_pos") + F.col("pos")
+    poor = run.filter(~F.col("_rich")).crossJoin(F.broadcast(got))  # one row
+    ends = poor.select(after_n.alias("end"), miss(F.col("got_n") + after_n, F.col("got_pos") + after_pos).alias("miss"), miss(F.col("got_n"), F.col("got_pos")).alias("none"))
+    end = ends.agg(F.min(F.struct("miss", "end")).alias("best"), F.min("none").alias("none")).select(
+        F.when(F.col("none").isNotNull() & (F.col("none") <= F.col("best.miss")), 0).otherwise(F.coalesce("best.end", F.lit(0))).alias("end"),
+    )
+    return run.crossJoin(F.broadcast(end)).select(group, (first | (~F.col("_rich") & (after_n <= F.col("end")))).alias("in_val"))
 
 
 def label_aware_split(

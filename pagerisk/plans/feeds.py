@@ -136,7 +136,7 @@ def sites(t):
     return t("customer").selectExpr("c_custkey AS rank", "concat(lower(replace(c_name, '#', '-')), '.org') AS domain")
 
 
-@query("a11_ranked_sites", f"SELECT 'https://' || domain || '/' AS url, 0 AS label, rank FROM (SELECT {SITES} FROM customer) WHERE rank <= 500")
+@query("a11_ranked_sites", f"SELECT 'https://' || domain || '/' AS url, 0 AS label, rank FROM (SELECT {SITES} FROM customer) ORDER BY rank, domain LIMIT 500")
 def _(t):
     return fd.ranked_sites(sites(t), 500)
 
@@ -193,7 +193,7 @@ def _(t):
 
 
 FAIR = FEEDS_CTE + f""", r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos) AS rank FROM feeds WHERE NOT ({SEEN})), t AS (SELECT *, CASE WHEN rank <= 30 THEN 0 ELSE 1 + (rank - 31) // 20 END AS turn FROM r),
-u AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY turn, source_rank, rank) AS rn FROM t WHERE turn <= 6), g AS (SELECT *, row_number() OVER (ORDER BY turn, source_rank, rank) AS place FROM u WHERE rn = 1)"""
+u AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY turn, source_rank, rank) AS rn FROM t), g AS (SELECT *, row_number() OVER (ORDER BY turn, source_rank, rank) AS place FROM u WHERE rn = 1)"""
 
 
 @query("i12_fair_share", "WITH " + FAIR + " SELECT url, source, label, source_rank, pos, turn, place FROM g WHERE place <= 90")

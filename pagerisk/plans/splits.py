@@ -77,10 +77,24 @@ def _(t):
     return sp.label_aware_split(gold(t), "user_id", "ts", cut(), 0.15).select("id", "split")
 
 
-@query("i5_ratio_target_split")
-def _(t):
-    out = sp.label_aware_split(gold(t), "user_id", "ts", cut(), 0.15, target=0.25, min_pos=5, refine=3)
-    return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"), F.count_distinct("user_id").alias("groups"))
+RATIO = f"""gs AS (SELECT user_id, count(*) AS n, sum(label)::BIGINT AS p FROM gold WHERE ts <= {CUT_SQL} GROUP BY user_id),
+od AS (SELECT *, p::DOUBLE / n >= 25e-2 AS rich, md5('42|' || user_id) AS d FROM gs),
+pools AS (SELECT want, high, low, CASE WHEN high IS NULL THEN 0e0 WHEN low IS NULL THEN want ELSE want * (25e-2 - low) / (high - low) END AS quota FROM (
+  SELECT greatest(1, round_even(15e-2 * sum(n), 0)) AS want, sum(p) FILTER (WHERE rich)::DOUBLE / sum(n) FILTER (WHERE rich) AS high,
+    sum(p) FILTER (WHERE NOT rich)::DOUBLE / sum(n) FILTER (WHERE NOT rich) AS low FROM od)),
+ru AS (SELECT od.*, pools.want, pools.quota, coalesce(sum(n) OVER w, 0) AS bn, coalesce(sum(p) OVER w, 0) AS bp FROM od, pools
+  WINDOW w AS (PARTITION BY rich ORDER BY d, user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+fi AS (SELECT *, rich AND (bn < quota OR bp < 5) AS first FROM ru),
+got AS (SELECT coalesce(sum(n) FILTER (WHERE first), 0)::BIGINT AS gn, coalesce(sum(p) FILTER (WHERE first), 0)::BIGINT AS gp FROM fi),
+ends AS (SELECT bn + n AS e, abs((gp + bp + p)::DOUBLE / (gn + bn + n) - 25e-2) + abs(gn + bn + n - want)::DOUBLE / want AS miss,
+  CASE WHEN gn > 0 THEN abs(gp::DOUBLE / gn - 25e-2) + abs(gn - want)::DOUBLE / want END AS none FROM fi, got WHERE NOT rich),
+cut AS (SELECT CASE WHEN min(none) <= min(miss) THEN 0 ELSE coalesce(arg_min(e, ROW(miss, e)), 0) END AS e FROM ends),
+ch AS (SELECT user_id AS g, first OR (NOT rich AND bn + n <= cut.e) AS in_val FROM fi, cut)"""
+
+
+@query("i5_ratio_target_split", G + ", " + RATIO + f" SELECT id, CASE WHEN ts > {CUT_SQL} THEN 'test' WHEN in_val THEN 'val' ELSE 'train' END AS split FROM gold LEFT JOIN ch ON g = user_id")
+def _(t):
+    return sp.label_aware_split(gold(t), "user_id", "ts", cut(), 0.15, target=0.25, min_pos=5).select("id", "split")
 
 
 @query("i6_balance_check", G + f""", c AS (SELECT count(*) FILTER (WHERE ts <= {CUT_SQL}) AS pre, count(*) FILTER (WHERE ts > {CUT_SQL}) AS post, count(*) FILTER (WHERE ts <= {CUT_SQL} AND label = 1) AS pre_pos, count(*) FILTER (WHERE ts > {CUT_SQL} AND label = 1) AS post_pos FROM gold)

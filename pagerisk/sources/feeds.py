@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagerisk.functions import urls as u
-
-LINES = "value STRING"
+from pagerisk.operators.running import even_bucket, ranked
 
 
 def with_position(df: DataFrame, *columns: Column) -> DataFrame:
@@ -39,30 +39,36 @@ def first_line(spark: SparkSession, path: str) -> str:
     return row.value if row else ""
 
 
+ZIP_LINES = "value STRING, pos STRUCT<file: STRING, block: BIGINT, row: BIGINT>"
+
+
 def read_zip(spark: SparkSession, path: str) -> DataFrame:
-    """A4: the first CSV member, else the first text member, of each archive, as lines."""
+    """A4: the first CSV member, else the first text member, of each archive, as lines with their position.
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    An archive is read by one task, as its format asks for; lines leave it in blocks.
+    """
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as z:
                     names = sorted(z.namelist())
                     pick = next((n for e in (".csv", ".txt") for n in names if n.lower().endswith(e)), None)
                     if pick is None:
                         continue
                     with z.open(pick) as f:
                         lines = io.TextIOWrapper(f, encoding="utf-8", errors="ignore")
-                        while chunk := list(_take(lines, 50_000)):
-                            yield pd.DataFrame({"value": chunk})
-
-    def _take(lines, n):
-        for i, line in enumerate(lines):
-            yield line.rstrip("\r\n")
-            if i + 1 == n:
-                return
+                        for block in itertools.count():
+                            part = [line.rstrip("\r\n") for line in itertools.islice(lines, 50_000)]
+                            if not part:
+                                break
+                            place = pa.StructArray.from_arrays(
+                                [pa.array([name.rsplit("/", 1)[-1]] * len(part)), pa.array([block] * len(part), pa.int64()), pa.array(range(len(part)), pa.int64())],
+                                ["file", "block", "row"],
+                            )
+                            yield pa.RecordBatch.from_pydict({"value": pa.array(part, pa.string()), "pos": place})
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(unpack, LINES).select("value", F.monotonically_increasing_id().alias("pos"))
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unpack, ZIP_LINES)
 
 
 def read_urls(spark: SparkSession, path: str) -> DataFrame:
@@ -120,8 +126,8 @@ def yearly(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ranked_sites(rows: DataFrame, n: int) -> DataFrame:
-    """The n best ranked domains as benign seeds."""
-    top = rows.filter(F.col("rank") <= n)
+    """The n best ranked domains as benign seeds; ranks may have gaps, ties go by domain."""
+    top = ranked(rows, [], ["rank", "domain"], even_bucket(rows, "rank"), "place").filter(F.col("place") <= n)
     return top.select(u.canonical(F.concat(F.lit("https://"), "domain", F.lit("/"))).alias("url"), F.lit(0).alias("label"), "rank")
 
 

@@ -79,7 +79,7 @@ def main(argv):
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     prefixes = tuple(argv[1:])
-    spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false"})
+    spark = build_session("compare", f"local[{os.environ.get('TEST_CORES', 8)}]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, bad = connect(sf_dir), oracle_sql(), 0
     for name, fn in queries().items():

@@ -12,7 +12,7 @@ def spark():
     from pagerisk.session import build_session
 
     session = build_session(
-        "tests", "local[8]",
+        "tests", f"local[{os.environ.get('TEST_CORES', 8)}]",
         **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.log.level": "ERROR"},
     )
     yield session
