@@ -39,18 +39,22 @@ def squeeze(s: str) -> str:
 
 
 class Tree(HTMLParser):
-    """Elements in document order; ``end[i]`` closes the span of element i and its descendants."""
+    """Elements in document order; ``end[i]`` closes the span of element i and its descendants.
+
+    Strings are in document order too: those below element i are ``strings[first[i] : last[i]]``.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.tags, self.attrs, self.parent, self.depth, self.end = [], [], [], [], []
         self.strings: list[tuple[int, str]] = []
+        self.first, self.last = [], []
         self.out: list[str] = []
         self.open: list[int] = []
         self.feed(html)
         self.close()
         for i in self.open:
-            self.end[i] = len(self.tags)
+            self.end[i], self.last[i] = len(self.tags), len(self.strings)
         self.out += [f"</{self.tags[i]}>" for i in reversed(self.open)]
 
     def handle_starttag(self, tag, attrs):
@@ -60,6 +64,8 @@ class Tree(HTMLParser):
         self.parent.append(self.open[-1] if self.open else -1)
         self.depth.append(len(self.open))
         self.end.append(i + 1)
+        self.first.append(len(self.strings))
+        self.last.append(len(self.strings))
         shown = "".join(f' {k}="{escape(v)}"' for k, v in sorted(self.attrs[i].items()))
         self.out.append(f"<{tag}{shown}/>" if tag in VOID else f"<{tag}{shown}>")
         if tag not in VOID:
@@ -75,7 +81,7 @@ class Tree(HTMLParser):
             return
         while True:
             i = self.open.pop()
-            self.end[i] = len(self.tags)
+            self.end[i], self.last[i] = len(self.tags), len(self.strings)
             self.out.append(f"</{self.tags[i]}>")
             if self.tags[i] == tag:
                 return
@@ -95,7 +101,7 @@ class Tree(HTMLParser):
     def text_in(self, i: int) -> str:
         """Strings below an element, joined by blanks; script and style count only for themselves."""
         own = self.tags[i] in RAW
-        return " ".join(t for at, t in self.strings if i <= at < self.end[i] and (own or self.tags[at] not in RAW))
+        return " ".join(t for at, t in self.strings[self.first[i] : self.last[i]] if own or self.tags[at] not in RAW)
 
     def classes(self, i: int) -> list[str]:
         return self.attrs[i].get("class", "").split()

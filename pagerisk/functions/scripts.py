@@ -173,14 +173,14 @@ def jaccard_q8(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0)).otherwise(F.bround(share * 255.0).cast("int"))
 
 
-def joined_scripts(texts: Column, most: int = 10, max_chars: int | None = 4000) -> Column:
-    """The first scripts with text, trimmed and joined; ``max_chars`` is the model width."""
+def joined_scripts(texts: Column, most: int | None = None, max_chars: int | None = None) -> Column:
+    """The scripts with text, trimmed and joined; ``most`` and ``max_chars`` are a model's widths."""
     full = F.filter(F.transform(texts, lambda t: F.trim(t)), lambda t: t != "")
-    out = F.array_join(F.slice(full, 1, most), SCRIPT_SEPARATOR)
+    out = F.array_join(full if most is None else F.slice(full, 1, most), SCRIPT_SEPARATOR)
     return out if max_chars is None else F.substring(out, 1, max_chars)
 
 
-def budgeted_scripts(texts: Column, budget: int = 8192) -> Column:
+def budgeted_scripts(texts: Column, budget: int) -> Column:
     """Scripts joined by newlines while the characters taken stay within a budget."""
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("used"))
 

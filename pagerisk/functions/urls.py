@@ -125,10 +125,10 @@ def domain_grams(url: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.array(*[ngrams(bare, n) for n in range(low, high + 1)]))
 
 
-def all_tokens(url: Column, longest: int = 20) -> Column:
-    """Distinct domain, path, word and n-gram tokens of at most ``longest`` characters."""
+def all_tokens(url: Column, longest: int | None = None) -> Column:
+    """Distinct domain, path, word and n-gram tokens; ``longest`` leaves out longer ones."""
     union = F.array_distinct(F.concat(domain_tokens(url), path_tokens(url), domain_grams(url), word_tokens(url)))
-    return F.filter(union, lambda t: F.length(t) <= longest)
+    return union if longest is None else F.filter(union, lambda t: F.length(t) <= longest)
 
 
 # Words that mark a term as suspicious.

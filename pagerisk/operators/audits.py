@@ -277,10 +277,11 @@ def fingerprint60(value: Column) -> Column:
 
 
 def manifest(df: DataFrame, keys: Sequence[str] = ("split",), key: str = "id") -> DataFrame:
-    """Counts and an order-free fingerprint of the ids of each split."""
+    """Counts and order-free fingerprints of the ids of each split; the sum also tells repeated ids."""
     h = fingerprint60(F.col(key))
     return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("pos"), F.bit_xor(h).alias("ids_hash"))
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("pos"), F.bit_xor(h).alias("ids_hash"),
+        F.sum(h.cast("decimal(28,0)")).cast("string").alias("ids_sum"))
 
 
 def dataset_drift(full: DataFrame, used: DataFrame) -> DataFrame:

@@ -31,16 +31,17 @@ def vocabulary(terms: DataFrame, size: int) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, tokens: str, size: int = 500, key: str = "id") -> DataFrame:
-    """(key, term, idx, weight) with smoothed idf and unit length per document."""
+    """(key, term, idx, weight) with smoothed idf and unit length per document; one row per key."""
+    filled = docs.filter(F.size(tokens) > 0)
+    vocab = settled(vocabulary(filled.select(F.explode(F.array_distinct(tokens)).alias("term")), size), "vocabulary")
+    total = filled.count()
+    idf = F.log(F.lit(1.0 + total) / (1.0 + F.col("df"))) + 1.0
+    # The vocabulary has at most ``size`` rows, so other terms are dropped before anything is shuffled.
     counts = (
-        docs.select(key, F.size(tokens).alias("len"), F.explode(tokens).alias("term"))
-        .groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("len"))
+        filled.select(key, F.size(tokens).alias("len"), F.explode(tokens).alias("term")).join(F.broadcast(vocab), "term")
+        .groupBy(key, "term", "idx", "df").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("len"))
     )
-    counts = settled(counts, "term-counts")
-    vocab = settled(vocabulary(counts, size), "vocabulary")
-    total = counts.select(key).distinct().count()
-    idf = F.log(F.lit(1.0 + total) / (1.0 + F.col("df"))) + 1.0
-    raw = counts.join(vocab, "term").select(key, "term", "idx", (F.col("n") / F.col("len") * idf).alias("raw"))
+    raw = counts.select(key, "term", "idx", (F.col("n") / F.col("len") * idf).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key))) + 1e-12  # at most ``size`` rows per document
     return raw.select(key, "term", "idx", (F.col("raw") / norm).alias("weight"))
 

@@ -148,7 +148,7 @@ def _(t):
     return out.withColumns({c: F.round(c, 6) for c in ("precision_drop", "fpr_rise")})
 
 
-@query("e39_split_manifest", WITH_GOLD + " SELECT split, count(*) AS n, sum(label)::BIGINT AS pos, bit_xor(('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 15))::BIGINT) AS ids_hash FROM gold GROUP BY split")
+@query("e39_split_manifest", WITH_GOLD + " SELECT split, count(*) AS n, sum(label)::BIGINT AS pos, bit_xor(('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 15))::BIGINT) AS ids_hash, sum(('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 15))::BIGINT)::VARCHAR AS ids_sum FROM gold GROUP BY split")
 def _(t):
     return au.manifest(t.gold())
 

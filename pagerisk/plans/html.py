@@ -106,7 +106,7 @@ def _(t):
 
 @query("c24_dom_graph_capped")
 def _(t):
-    graph = hm.with_parsed(pages(t)).select("page_id", hm.dom_graph(F.col("page")).alias("g"))
+    graph = hm.with_parsed(pages(t)).select("page_id", hm.dom_graph(F.col("page"), max_nodes=256).alias("g"))
     return graph.select("page_id", "g.n", F.size("g.edges").alias("edges"), F.aggregate("g.nodes", F.lit(0), lambda a, x: F.greatest(a, x.depth)).alias("max_depth"))
 
 

@@ -105,17 +105,17 @@ def _(t):
 PARTS_SQL = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
 
-@query("c29_joined_scripts", f"""WITH k AS (SELECT doc_id, array_to_string({PARTS_SQL}[:10], chr(10) || chr(10) || '<sep>' || chr(10) || chr(10)) AS j FROM documents) SELECT doc_id, md5(j) AS whole_md5, md5(j[:4000]) AS width_md5 FROM k""")
+@query("c29_joined_scripts", f"""WITH k AS (SELECT doc_id, array_to_string({PARTS_SQL}[:10], chr(10) || chr(10) || '<sep>' || chr(10) || chr(10)) AS j, array_to_string({PARTS_SQL}, chr(10) || chr(10) || '<sep>' || chr(10) || chr(10)) AS whole FROM documents) SELECT doc_id, md5(whole) AS whole_md5, md5(j[:4000]) AS width_md5 FROM k""")
 def _(t):
     lines = F.split("text", "\n")
-    return t("documents").select("doc_id", F.md5(sc.joined_scripts(lines, max_chars=None)).alias("whole_md5"), F.md5(sc.joined_scripts(lines)).alias("width_md5"))
+    return t("documents").select("doc_id", F.md5(sc.joined_scripts(lines)).alias("whole_md5"), F.md5(sc.joined_scripts(lines, 10, 4000)).alias("width_md5"))
 
 
 @query("c29_budgeted_scripts", """WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), f AS (SELECT * FROM p WHERE s <> ''),
 r AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM f), k AS (SELECT doc_id, md5(string_agg(s[:(8192 - used)], chr(10) ORDER BY i)) AS m FROM r WHERE used < 8192 GROUP BY doc_id)
 SELECT d.doc_id, coalesce(m, md5('')) AS budget_md5 FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id""")
 def _(t):
-    return t("documents").select("doc_id", F.md5(sc.budgeted_scripts(F.split("text", "\n"))).alias("budget_md5"))
+    return t("documents").select("doc_id", F.md5(sc.budgeted_scripts(F.split("text", "\n"), 8192)).alias("budget_md5"))
 
 
 @query("c30_minify", D_CTE + r" SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(js, '(?s)/\*.*?\*/', ' ', 'g'), '//[^\n]*', ' ', 'g'), '\s+', ' ', 'g'))) AS minified_md5 FROM d")

@@ -202,7 +202,7 @@ TOKENS_CTE = U_CTE + """, r AS (SELECT page_id, url, regexp_replace(lower(url),
 b AS (SELECT *, regexp_replace(dom, '[^a-z0-9]', '', 'g') AS bare FROM s), tok AS (
  SELECT page_id, url, unnest(regexp_split_to_array(dom, '[.\\-]')) AS tok FROM b UNION SELECT page_id, url, unnest(regexp_split_to_array(pth, '[/?&=_.\\-]')) FROM b UNION SELECT page_id, url, unnest(regexp_extract_all(lower(url), '[a-z0-9]{3,}')) FROM b
  UNION SELECT page_id, url, bare[i:i+2] FROM (SELECT *, unnest(range(1, length(bare) - 1)) AS i FROM b) UNION SELECT page_id, url, bare[i:i+3] FROM (SELECT *, unnest(range(1, length(bare) - 2)) AS i FROM b) UNION SELECT page_id, url, bare[i:i+4] FROM (SELECT *, unnest(range(1, length(bare) - 3)) AS i FROM b)),
-kept AS (SELECT * FROM tok WHERE tok <> '' AND length(tok) <= 20)"""
+kept AS (SELECT * FROM tok WHERE tok <> '')"""
 
 
 @query("c37_url_tokens", TOKENS_CTE + " SELECT page_id, url, string_agg(tok, ' ' ORDER BY tok) AS tokens FROM kept GROUP BY page_id, url")

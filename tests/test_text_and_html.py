@@ -117,3 +117,18 @@ def test_missing_graph_is_filled(spark):
     df = spark.createDataFrame([(1, "<p>a<b>c</b></p>", None), (2, "<p>a</p>", (7, [], [])), (3, "", None)], schema)
     got = {r.id: r.n for r in hm.backfill_graph(df, ["html"]).select("id", "dom_graph.n").collect()}
     assert got == {1: 2, 2: 7, 3: None}
+
+
+def test_parser_time_grows_with_the_page():
+    import time
+
+    from pagerisk.functions.markup import parse
+
+    def seconds(n):
+        page = "<form>" + "<p>a</p><script>var x = 1;</script>" * n + "</form>"
+        start = time.process_time()
+        assert len(parse(page)["scripts"]) == n
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(8000) < 12 * seconds(2000)
