@@ -108,7 +108,7 @@ def test_parse_junk(html):
 def test_dom_graph_cap(spark):
     html = "<ul>" + "<li>x</li>" * 300 + "</ul>"
     df = hm.with_parsed(spark.createDataFrame([(html,)], "html STRING"))
-    g = df.select(hm.dom_graph(F.col("page")).alias("a"), hm.dom_graph(F.col("page"), None).alias("b")).first()
+    g = df.select(hm.dom_graph(F.col("page"), 256).alias("a"), hm.dom_graph(F.col("page")).alias("b")).first()
     assert g.a.n == 256 and len(g.a.edges) == 255 and g.b.n == 301 and g.a.nodes[1].text_bin == 1 and g.a.nodes[1].depth == 1
 
 
