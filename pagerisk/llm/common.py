@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +29,20 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     spark, schema = df.sparkSession, df.schema
     path = work_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Drop references to finished plans, so that their shuffle files can go."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Drop references to finished plans, so that their shuffle files can go.
+
+    Objects of the JVM that Python has let go are freed in a second round only.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def bucket_of(column: Column, bounds: list) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-_FIRST = 5  # bytes sorted at once
+_FIRST = 4  # bytes sorted at once: with the place they fit one integer, which sorts faster than an order
 
 
 def _order(major: np.ndarray, minor: np.ndarray, bits: int) -> np.ndarray:
