@@ -8,9 +8,7 @@ from compare import compare, connect
 from pagerisk.plans import oracle_sql, queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-# Long iterative fits: checked by test_calibration against NumPy, and here on request.
-SLOW = {"j9_loss_experiments", "j10_best_loss_fusion", "j13_meta_out_of_fold"}
-NAMES = [n for n in queries() if n not in SLOW or os.environ.get("TEST_SLOW")]
+NAMES = list(queries())
 
 
 @pytest.fixture(scope="module")
