@@ -31,7 +31,7 @@ from pagerisk.llm.shingles import shingle_sets
 COUNTERS, GROUP, LIGHT_MOST = 1 << 22, 1024, 40
 #: Lists up to this length count what each pair of sets shares in them; longer ones form groups around a center.
 SHORT_LIST = 64
-_TEXT_BYTES = 4 << 20
+_TEXT_BYTES = 2 << 20
 
 
 def least_share(n: int, percent: int) -> int:
@@ -172,7 +172,7 @@ def meetings(docs: DataFrame, words: int, percent: int, sketch: np.ndarray, boun
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, first = held.value, _Firsts()
-        for batch in slices(batches, "text", 4 * _TEXT_BYTES):
+        for batch in slices(batches, "text", 2 * _TEXT_BYTES):
             ids, tokens, owners, places, nodes = batch.column("doc_id").to_pylist(), [], [], [], []
             for doc_id, own in zip(ids, _sets(batch, words), strict=True):
                 if len(own) < least or doc_id is None:
@@ -183,7 +183,7 @@ def meetings(docs: DataFrame, words: int, percent: int, sketch: np.ndarray, boun
                 length = len(own) - least_share(len(own), percent) + 1
                 rank = classes[(own >> np.uint64(40)).astype(np.int64) % COUNTERS]
                 order = np.argsort(rank, kind="stable")[:length]  # within a class by hash, as the set is sorted
-                tokens.append(own[order])
+                tokens.append(mix64(own[order]))  # a prefix has the small hashes of its class; scrambled, they fill all ranges evenly
                 places.append(np.arange(1, length + 1, dtype=np.uint32))
                 owners.append(np.full(length, len(nodes), np.uint32))
                 nodes.append((doc_id, mark, len(own)))
@@ -312,7 +312,8 @@ def heavy_links(docs: DataFrame, met: DataFrame, words: int, percent: int, group
     members = met.select("center", "node").union(met.select("center", F.col("center").alias("node")).distinct())
     dealt = members.join(sizes, "center").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     seats = dealt.select("node", F.struct("center", "tiles", "tile").alias("seat")).withColumnRenamed("node", "doc_id")
-    texts = docs.join(seats.groupBy("doc_id").agg(F.collect_list("seat").alias("seats")), "doc_id")
+    # Dealt out by id at every size: a few candidates more must not turn a broadcast into a shuffle of all texts.
+    texts = docs.join(seats.groupBy("doc_id").agg(F.collect_list("seat").alias("seats")).hint("shuffle_hash"), "doc_id")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
