@@ -46,10 +46,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     data = np.ascontiguousarray(data)
     low, high = (np.ndarray((n,), "<u8", data, k, (1,)) for k in (0, 8))
     with np.errstate(over="ignore"):
-        hashes = mix64((low * np.uint64(0x9E3779B97F4A7C15)) ^ mix64(high))
+        hashes = low * np.uint64(0x9E3779B97F4A7C15)
+        hashes += high * np.uint64(0xC2B2AE3D27D4EB4F)
+        hashes ^= hashes >> np.uint64(32)
+        hashes *= np.uint64(0xD6E8FEB86659FD93)
+        hashes ^= hashes >> np.uint64(29)
     # Hash above, place below: the minimum of a window names its leftmost smallest hash.
     place_bits = np.uint64(max(1, int(n).bit_length()))
-    least = ((hashes >> place_bits) << place_bits) | np.arange(n, dtype=np.uint64)
+    least = hashes >> place_bits
+    least <<= place_bits
+    least |= np.arange(n, dtype=np.uint64)
     width, done = LENGTH - ANCHOR + 1, 1
     while done < width:
         step = min(done, width - done)
@@ -367,19 +373,18 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
         for texts, order, found_sorted in zip(by_sender.values(), order_of, repeats_in_range(lists, data), strict=True):
             found = np.empty(len(order), bool)
             found[order] = found_sorted
-            at = 0
-            for t in texts:
-                n = len(t) - LENGTH + 1
-                if found[at : at + n].any():
-                    hits[t] = np.flatnonzero(found[at : at + n])
-                at += n
+            count = np.array([len(t) for t in texts], np.int64) - LENGTH + 1
+            before = np.cumsum(count) - count
+            for k in np.flatnonzero(np.logical_or.reduceat(found, before)):
+                hits[texts[k]] = np.flatnonzero(found[before[k] : before[k] + count[k]])
         for shard, texts, doc, row, start, size in sent:
             whole = doc > np.array([best[t][0] for t in texts], np.int64)
             spans = [(row[whole], start[whole], start[whole] + size[whole])]
-            for k in np.flatnonzero(~whole):
-                if texts[k] in hits:
-                    at = start[k] + hits[texts[k]]
-                    spans.append(_windows_to_spans(np.full(len(at), row[k]), at))
+            part = [(k, hits[texts[k]]) for k in np.flatnonzero(~whole) if texts[k] in hits]
+            if part:
+                at = np.array([k for k, _ in part])
+                n = np.array([len(w) for _, w in part])
+                spans.append(_windows_to_spans(np.repeat(row[at], n), np.repeat(start[at], n) + np.concatenate([w for _, w in part])))
             blob = np.concatenate([np.stack(x) for x in spans], axis=1)
             if blob.shape[1]:
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "blob": [blob.astype("<i8").tobytes()]})

@@ -59,7 +59,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return array, rank
 
 
-def common_prefixes(text: np.ndarray, array: np.ndarray, rank: np.ndarray, cap: int, lanes: int = 8192) -> np.ndarray:
+def common_prefixes(text: np.ndarray, array: np.ndarray, rank: np.ndarray, cap: int, lanes: int = 32768) -> np.ndarray:
     """For each place in the array the common prefix with the suffix before it, ``cap`` (the array's depth or less) at most.
 
     Kasai's walk in text order, where the length falls by one at most from a
