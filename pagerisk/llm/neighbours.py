@@ -5,7 +5,9 @@ product is the smallest distance. Several random projections to a few
 dimensions, each shifted by a random offset, are laid along a Hilbert curve; all
 curves together are one order of entries, cut in Spark into windows of equal
 numbers of entries. A query meets the vectors of its window and of the windows
-beside it on every curve; the meetings are ranked by the exact measure.
+beside it on every curve; the meetings are ranked by the exact measure. How many
+windows on each side is chosen by the recall of a sample of queries, whose true
+neighbours are found by comparing them with all vectors.
 
 Vectors that occur more than once are searched once: the distinct vectors are
 indexed, each with the smallest ids of its copies.
@@ -13,6 +15,7 @@ indexed, each with the smallest ids of its copies.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +28,8 @@ from pagerisk.llm.common import bucket_of, settle, shuffle_parts
 
 #: Curves, entries in a window, dimensions and bits of a curve's grid.
 CURVES, WINDOW, DIMS, BITS = 8, 4096, 12, 5
+#: Share of the sample's true neighbours that have to be met, and queries in the sample.
+RECALL, SAMPLE = 0.95, 128
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -139,8 +144,40 @@ def _windows(entries: DataFrame, window: int) -> DataFrame:
     return ranged.select("query", "rep", F.floor(rank / window).cast("bigint").alias("window"))
 
 
+def _true_neighbours(reps: DataFrame, sample: list, k: int) -> list[tuple[int, int]]:
+    """(asked, rep): the ``k`` distinct vectors nearest to each of the sample, without itself, by comparison with all."""
+    names, asking = np.array([r["rep"] for r in sample], np.int64), np.array([r["vector"] for r in sample])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores, found = np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                rep = batch.column("rep").to_numpy()
+                more = np.where(names[:, None] == rep, -np.inf, asking @ _matrix(batch.column("vector"), asking.shape[1]).T)
+                scores, found = np.hstack([scores, more]), np.hstack([found, np.tile(rep, (len(names), 1))])
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                scores, found = np.take_along_axis(scores, top, 1), np.take_along_axis(found, top, 1)
+        real = scores > -np.inf
+        yield pa.RecordBatch.from_pydict({"asked": np.repeat(names, real.sum(1)), "rep": found[real], "score": scores[real]})
+
+    near = reps.select("rep", "vector").mapInArrow(best, "asked bigint, rep bigint, score double")
+    at = F.row_number().over(W.partitionBy("asked").orderBy(F.desc("score"), "rep"))
+    return [(r["asked"], r["rep"]) for r in near.withColumn("at", at).filter(F.col("at") <= k).select("asked", "rep").collect()]
+
+
+def _reach(dealt: DataFrame, pairs: list[tuple[int, int]], recall: float) -> int:
+    """Windows on each side within which a query meets the share ``recall`` of the pairs (asked, rep), at least 1."""
+    if not pairs:
+        return 1
+    places: dict[tuple[int, bool], list[int]] = {}
+    for r in dealt.filter(F.col("rep").isin(sorted({i for pair in pairs for i in pair}))).collect():
+        places.setdefault((r["rep"], r["query"]), []).append(r["window"])
+    apart = sorted(int(np.abs(np.subtract.outer(places[asked, True], places[rep, False])).min()) for asked, rep in pairs)
+    return max(1, apart[min(max(math.ceil(recall * len(apart)), 1), len(apart)) - 1])
+
+
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURVES, window: int = WINDOW, seed: int = 11,
-            id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+            id_column: str = "vec_id", vector_column: str = "embedding", recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """The ``k`` nearest found for every query, a row whose id is divisible by ``every``: query_id, rank, vec_id, score.
 
     Candidates are all rows but those of the query's own id; nearness is the
@@ -149,8 +186,10 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
     once, rows of one id with different vectors are separate candidates. Fewer
     candidates than ``k`` give fewer rows, an empty table none.
 
-    A task ranks one window: at most ``window`` vectors and the queries of three
-    windows. Work grows with the rows times ``curves``.
+    Queries reach as many windows as it takes to meet the share ``recall`` of the
+    true neighbours of ``sample`` queries, chosen by hash; all windows if need be.
+    A task ranks at most ``window`` vectors and the queries of three windows. Work
+    grows with the rows times ``curves`` times the windows reached.
     """
     spark = vectors.sparkSession
     rows = settle(usable(vectors, id_column, vector_column), "vectors")
@@ -170,9 +209,18 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
     if entries is None:
         return spark.createDataFrame([], result)
     dealt = settle(_windows(settle(entries, "curve-entries"), window), "curve-windows")
+    chosen = asked.orderBy(F.xxhash64("rep"), "rep").limit(sample).collect()
+    reach = _reach(dealt, _true_neighbours(reps, chosen, k) if chosen else [], recall)
+    # Queries come in blocks of three windows, and a window's vectors once for each block.
+    last = dealt.agg(F.max("window")).first()[0] or 0
+    beside = F.sequence(F.greatest(F.lit(-reach).cast("bigint"), -F.col("window")), F.least(F.lit(reach).cast("bigint"), last - F.col("window")))
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.lit(2 * reach // 3).cast("bigint"))
     met = dealt.select(
-        "rep", "query", F.explode(F.when(F.col("query"), F.array(*[F.col("window") + d for d in (-1, 0, 1)])).otherwise(F.array("window"))).alias("window"),
-    ).join(reps.select("rep", "vector"), "rep")
+        "rep", "query", F.explode(
+            F.when(F.col("query"), F.transform(beside, lambda d: F.struct((F.col("window") + d).alias("window"), F.floor((d + reach) / 3).cast("bigint").alias("block"))))
+            .otherwise(F.transform(blocks, lambda b: F.struct(F.col("window").alias("window"), b.alias("block"))))
+        ).alias("at"),
+    ).select("rep", "query", "at.window", "at.block").join(reps.select("rep", "vector"), "rep")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).combine_chunks()
@@ -194,7 +242,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, curves: int = CURV
             exact = np.einsum("ij,ij->i", asking[q], own[c])
             yield pa.RecordBatch.from_pydict({"asked": pa.array(names[q]), "rep": pa.array(own_rep[c]), "score": pa.array(exact)})
 
-    pairs = met.groupBy("window").applyInArrow(rank, "asked bigint, rep bigint, score double").groupBy("asked", "rep").agg(F.max("score").alias("score"))
+    pairs = met.groupBy("window", "block").applyInArrow(rank, "asked bigint, rep bigint, score double").groupBy("asked", "rep").agg(F.max("score").alias("score"))
     named = pairs.join(reps.select("rep", "ids"), "rep").select("asked", "score", F.element_at("ids", 1).alias("first"), "ids")
     best = named.withColumn("at", F.row_number().over(W.partitionBy("asked").orderBy(F.desc("score"), "first"))).filter(F.col("at") <= k + 1)
     # At most k + 1 vectors with k + 1 ids each: bounded lists.

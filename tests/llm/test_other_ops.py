@@ -112,6 +112,23 @@ def test_recall_in_small_windows(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_recall_where_windows_hold_little_of_the_table(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    curves, window = 2, 50
+    random_share = 1 - (1 - 3 * window / 3150) ** curves  # what random orders would meet in three windows per curve
+    assert random_share < 0.1
+    found = {}
+    for r in nearest(table, curves=curves, window=window).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    scores = x @ x.T
+    np.fill_diagonal(scores, -9)
+    assert len(found) == 150
+    assert np.mean([len(near & set(np.argsort(-scores[q])[:20].tolist())) / 20 for q, near in found.items()]) >= 0.9
+
+
 def test_quality(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     scored = {r["doc_id"]: r for r in score_quality(docs, labels, rounds=2).collect()}
