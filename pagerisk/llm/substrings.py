@@ -15,7 +15,9 @@ smallest hash. Equal strings have equal anchors at equal places, so
 4. each shard cuts the reported spans out of its documents.
 
 A string reaches a range once per shard piece however often it occurs, so common
-passages and large groups of copies stay small.
+passages and large groups of copies stay small. Anchors with more than HOT strings
+around them do not meet as such in step 3: their strings are cut into windows of
+LENGTH bytes, which meet by their own hashes and so spread over all ranges.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from pagerisk.llm.suffixes import common_prefixes, suffix_array
 LENGTH, ANCHOR = 50, 16
 #: Candidate bytes in one suffix array, and text handled at once.
 PIECE, _TEXT_BYTES = 1 << 20, 2 << 20
+#: Strings from which on an anchor is hot, and strings of one anchor in a piece from which on the piece counts them.
+HOT, COUNTED = 20_000, 4
 _LAST = (1 << 63) - 1
 
 
@@ -132,14 +136,14 @@ def repeats_in_piece(text: np.ndarray, windows: np.ndarray, docs: np.ndarray) ->
     return out
 
 
-def window_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the LENGTH bytes from every place of ``data`` on that has as many."""
-    n = len(data) - LENGTH + 1
+def window_hashes(data: np.ndarray, step: int = 1) -> np.ndarray:
+    """Hash of the LENGTH bytes from every place of ``data``, or every ``step``-th, on that has as many."""
+    n = (len(data) - LENGTH) // step + 1
     out = np.zeros(max(n, 0), np.uint64)
     if n > 0:
         with np.errstate(over="ignore"):
             for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
-                out = mix64(out ^ np.ndarray((n,), "<u8", data, k, (1,))) * np.uint64(0x9E3779B97F4A7C15)
+                out = mix64(out ^ np.ndarray((n,), "<u8", data, k, (step,))) * np.uint64(0x9E3779B97F4A7C15)
     return out
 
 
@@ -185,6 +189,17 @@ def repeats_in_range(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], dat
     return out
 
 
+def repeated_windows(hashes: np.ndarray, windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Which windows (hash and bytes of each) also start in a smaller document of those given."""
+    # The hash puts equal windows together, the bytes tell those of equal hash apart.
+    order = np.lexsort((docs, windows, hashes))
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (windows[order][1:] != windows[order][:-1])
+    out = np.zeros(len(order), bool)
+    out[order] = docs[order] > docs[order][new][np.cumsum(new) - 1]
+    return out
+
+
 def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every byte covered by a LENGTH-byte string that also starts in a document with a smaller doc_id.
 
@@ -286,6 +301,13 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
                 yield spans_row(shard, *_windows_to_spans(row[of][found], (start[of] + step)[found]))
             left = np.add.reduceat(~found, begin) > 0 if len(count) else np.zeros(0, bool)
             order = np.flatnonzero(left)[np.argsort(value[left])]
+            anchor, strings = np.unique(value[left], return_counts=True)
+            many = strings >= COUNTED
+            if many.any():
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([shard], pa.int32()), pa.array([-2], pa.int32()), pa.array([anchor[many].tobytes()], pa.binary()),
+                    pa.array([strings[many].astype("<i8").tobytes()], pa.binary()), *[pa.nulls(1, pa.binary())] * 3,
+                ], sent_names)
             bounds = [0, *np.searchsorted(value[order], string_cuts), len(order)]
             for part, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
                 if hi > lo:
@@ -389,8 +411,76 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
             if blob.shape[1]:
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "blob": [blob.astype("<i8").tobytes()]})
 
-    crossed = found.filter("part >= 0").groupBy("part").applyInArrow(merge, "shard int, blob binary")
-    spans = settle(found.filter("part < 0").select("shard", "blob").union(crossed), "repeated-spans")
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for anchor, n in zip(batch.column("blob"), batch.column("docs"), strict=True):
+                yield pa.RecordBatch.from_pydict({"anchor": np.frombuffer(anchor.as_buffer(), "<i8").copy(), "n": np.frombuffer(n.as_buffer(), "<i8").copy()})
+
+    # What pieces do not count are less than COUNTED strings of an anchor per piece.
+    often = found.filter("part = -2").select("blob", "docs").mapInArrow(counted, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
+    hot = np.sort(np.array([r["anchor"] for r in often.filter(F.col("n") > HOT).select("anchor").collect()], np.int64).view(np.uint64))
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Shard, range, bytes, end of each string in them, docs, rows, starts, sizes, and which strings have a hot anchor."""
+        for batch in batches:
+            for shard, part, *columns in zip(*(batch.column(c) for c in sent_names), strict=True):
+                data = np.frombuffer(columns[0].as_buffer(), np.uint8)
+                doc, row, start, size = (np.frombuffer(v.as_buffer(), kind).astype(np.int64) for v, kind in zip(columns[1:], ("<i8", "<i8", "<i8", "<u2"), strict=True))
+                ends = np.cumsum(size)
+                value, first, _ = anchors(data, np.append(0, ends))
+                yield shard.as_py(), part.as_py(), data, ends, doc, row, start, size, _member(value[np.searchsorted(first, ends - size)], hot)
+
+    def cold_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, part, data, _, doc, row, start, size, is_hot in parted(batches):
+            cold = ~is_hot
+            if cold.any():
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([data[np.repeat(cold, size)].tobytes()], pa.binary()),
+                    *[pa.array([x[cold].tobytes()], pa.binary()) for x in (doc, row, start.astype("<i8"), size.astype("<u2"))],
+                ], sent_names)
+
+    def hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, _, data, ends, doc, row, start, size, is_hot in parted(batches):
+            of = np.flatnonzero(is_hot)
+            hashes = window_hashes(data)
+            for few in np.array_split(of, max(1, len(of) // 4096)) if len(of) else ():
+                count = size[few] - LENGTH + 1
+                string = np.repeat(few, count)
+                step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                place = (ends - size)[string] + step
+                order = np.argsort(hashes[place])
+                string, step, place = string[order], step[order], place[order]
+                bounds = [0, *np.searchsorted(hashes[place], string_cuts), len(place)]
+                for part, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                    if hi > lo:
+                        s, p = string[lo:hi], place[lo:hi]
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([data[p[:, None] + np.arange(LENGTH)].tobytes()], pa.binary()),
+                            *[pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (doc[s], row[s], start[s] + step[lo:hi])], pa.nulls(1, pa.binary()),
+                        ], sent_names)
+
+    def merge_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, columns = [], []
+        for batch in batches:
+            for shard, *blobs in zip(*(batch.column(c) for c in ("shard", "blob", "docs", "row_ids", "starts")), strict=True):
+                shards.append(shard.as_py())
+                columns.append([np.frombuffer(b.as_buffer(), kind).copy() for b, kind in zip(blobs, (f"S{LENGTH}", "<i8", "<i8", "<i8"), strict=True)])
+        windows, doc, row, start = (np.concatenate(c) for c in zip(*columns, strict=True))
+        hashes = window_hashes(windows.view(np.uint8), LENGTH)
+        gone = repeated_windows(hashes, windows, doc)
+        shard = np.repeat(np.array(shards), [len(c[0]) for c in columns])
+        for one in np.unique(shard[gone]).tolist():
+            at = np.flatnonzero(gone & (shard == one))
+            blob = np.stack(_windows_to_spans(row[at], start[at])).astype("<i8")
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([one], pa.int32()), "blob": [blob.tobytes()]})
+
+    strings = found.filter("part >= 0")
+    if len(hot):
+        crossed = strings.mapInArrow(cold_strings, sent_schema).groupBy("part").applyInArrow(merge, "shard int, blob binary")
+        crossed = crossed.union(strings.mapInArrow(hot_windows, sent_schema).groupBy("part").applyInArrow(merge_windows, "shard int, blob binary"))
+    else:
+        crossed = strings.groupBy("part").applyInArrow(merge, "shard int, blob binary")
+    spans = settle(found.filter("part = -1").select("shard", "blob").union(crossed), "repeated-spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, notes, table = None, [], None

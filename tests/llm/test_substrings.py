@@ -103,3 +103,29 @@ def test_removal_on_documents(spark):
     got = sorted((tuple(r) for r in remove_repeats(docs).collect()), key=str)
     assert got == brute([tuple(r) for r in docs.collect()])
     assert any(r[2] for r in got)
+
+
+def test_windows_of_equal_hash_are_told_apart():
+    windows = np.frombuffer(b"x" * LENGTH + b"y" * LENGTH + b"x" * LENGTH + b"\0" * LENGTH, f"S{LENGTH}")
+    assert substrings.repeated_windows(np.zeros(4, np.uint64), windows, np.array([3, 5, 4, 9])).tolist() == [False, False, True, False]
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_a_common_phrase_in_different_text(spark, monkeypatch, seed):
+    """No task gets all the strings around one anchor."""
+    rng = random.Random(seed)
+    noise = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    phrase = "Licensed under some public license"
+    rows = [(i, noise(60) + phrase + noise(60)) for i in range(600)]
+    rows += [(1000 + i, noise(5) + rows[7 * i][1][rng.randint(0, 50):]) for i in range(60)] + hard_rows(seed)
+    most, whole = 20_000, substrings.repeats_in_range
+
+    def bounded(lists, data):
+        assert len(data) < most, len(data)
+        return whole(lists, data)
+
+    monkeypatch.setattr(substrings, "HOT", 50)
+    monkeypatch.setattr(substrings, "repeats_in_range", bounded)
+    docs = spark.createDataFrame([(*r, "en", "s", 0, 1, "k", "r") for r in rows], DOCS)
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(docs).collect()), key=str)
+    assert got == brute(rows)
