@@ -25,8 +25,6 @@ from pagerisk.llm.common import slices, utf8
 UNIT = 4096
 #: Bytes of context, and of a counted gram: the context and its symbol.
 ORDER = 3
-#: Most frequent grams that the frozen trees keep at most.
-MAX_GRAMS = 400_000
 _TEXT_BYTES = 2 << 20
 
 
@@ -87,24 +85,24 @@ class Trees:
         """``grams`` ascending and distinct, ``counts`` of shape (grams, languages)."""
         self.langs = langs
         width = len(langs)
-        levels = {4: (grams.astype(np.int64), counts.astype(np.float64))}
+        levels = {4: (grams.astype(np.int64), counts)}
         for k in (3, 2, 1):
             keys, inverse = np.unique(levels[k + 1][0] & ((1 << 8 * k) - 1), return_inverse=True)
-            total = np.zeros((len(keys), width))
-            np.add.at(total, inverse, levels[k + 1][1])
-            levels[k] = keys, total
+            levels[k] = keys, np.stack([np.bincount(inverse, n, len(keys)) for n in levels[k + 1][1].T], axis=1)
         cost, escape = {0: np.full((1, width), 8.0)}, {}
         for k in (1, 2, 3, 4):
-            keys, n = levels[k]
+            keys, counted = levels[k]
             contexts, inverse = np.unique(keys >> 8, return_inverse=True)
-            total, kinds = np.zeros((len(contexts), width)), np.zeros((len(contexts), width))
-            np.add.at(total, inverse, n)
-            np.add.at(kinds, inverse, n > 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                leave = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
-                seen = -np.log2(n / (total + kinds)[inverse])
-            below = cost[k - 1][np.searchsorted(levels[k - 1][0], keys & ((1 << 8 * (k - 1)) - 1))] if k > 1 else cost[0]
-            cost[k] = np.where(n > 0, seen, leave[inverse] + below)
+            lower = np.searchsorted(levels[k - 1][0], keys & ((1 << 8 * (k - 1)) - 1)) if k > 1 else np.zeros(len(keys), np.int64)
+            cost[k], leave = np.empty(counted.shape, np.int32 if k == 4 else np.float64), np.zeros((len(contexts), width))
+            for lang in range(width):  # one language at a time: few whole columns in memory
+                n = counted[:, lang].astype(np.float64)
+                total, kinds = np.bincount(inverse, n, len(contexts)), np.bincount(inverse, n > 0, len(contexts))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    leave[:, lang] = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+                    seen = -np.log2(n / (total + kinds)[inverse])
+                bits = np.where(n > 0, seen, leave[inverse, lang] + cost[k - 1][lower, lang])
+                cost[k][:, lang] = np.round(bits * UNIT) if k == 4 else bits
             escape[k] = contexts, leave
         units = lambda x: np.round(x * UNIT).astype(np.int32)
         first = units(np.zeros((1, width)))
@@ -124,7 +122,7 @@ class Trees:
         there = (row3 < len(levels[3][0])) & (np.append(levels[3][0], -1)[row3] == escape[4][0])
         leave3[row3[there] + 1] = escape[4][1][there]
         self.two, self.leave2, self.leave3 = units(two), units(leave2), units(leave3)
-        self.three, self.four = np.vstack([first, units(cost[3])]), np.vstack([first, units(cost[4])])
+        self.three, self.four = np.vstack([first, units(cost[3])]), np.vstack([first, cost[4]])
 
         pairs = np.unique(levels[3][0] >> 8)
         self.row2 = np.zeros(1 << 16, np.int32)
@@ -134,8 +132,19 @@ class Trees:
         # A context of three bytes need not be a gram of three bytes that ends anywhere: only those in the trie have children.
         head = np.searchsorted(levels[3][0], levels[4][0] >> 8)
         known = (head < len(levels[3][0])) & (np.append(levels[3][0], -1)[head] == levels[4][0] >> 8)
-        self.next4 = np.zeros((len(levels[3][0]) + 1) * 256, np.int32)
-        self.next4[(head[known] + 1) * 256 + (levels[4][0][known] & 255)] = np.flatnonzero(known) + 1
+        # The grams below a row of three bytes, as 8 words of 32 bits with the place of each word's first gram: grams are in order.
+        self.word4, self.base4 = np.zeros((len(levels[3][0]) + 1) * 8, np.uint32), np.zeros((len(levels[3][0]) + 1) * 8, np.int32)
+        symbol = levels[4][0][known] & 255
+        slot = (head[known] + 1) * 8 + (symbol >> 5)
+        np.bitwise_or.at(self.word4, slot, np.uint32(1) << (symbol & 31).astype(np.uint32))
+        slots, begin = np.unique(slot, return_index=True)
+        self.base4[slots] = np.flatnonzero(known)[begin] + 1
+
+    def _four(self, three: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Row of the gram of four bytes that goes on from a row of three, 0 if never seen."""
+        slot = three.astype(np.int64) * 8 + (symbols >> 5)
+        word, bit = self.word4[slot], np.uint32(1) << (symbols & 31).astype(np.uint32)
+        return np.where(word & bit, self.base4[slot] + np.bitwise_count(word & (bit - np.uint32(1))), 0)
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of every text under every language, in units: (texts, languages)."""
@@ -146,7 +155,7 @@ class Trees:
         b = padded.astype(np.int32)
         pair = (b[:-1] << 8) | b[1:]  # ends at i + 1
         three = self.next3[self.row2[pair[:-1]] * 256 + b[2:]]  # ends at i + 2
-        four = self.next4[three[:-1] * 256 + b[3:]]  # ends at i + 3
+        four = self._four(three[:-1], b[3:])  # ends at i + 3
         cost = self.four[four]
         missed = np.flatnonzero(four == 0)
         if len(missed):
@@ -181,25 +190,29 @@ class _Held:
         return self.key == other.key
 
 
-def train(docs: DataFrame, max_grams: int = MAX_GRAMS) -> tuple[list[str], np.ndarray, np.ndarray]:
+def train(docs: DataFrame, max_grams: int | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, grams and counts of the frozen trees.
 
-    Counts cover all given rows with text and language. The model keeps the
-    ``max_grams`` most frequent grams (ties: smaller gram) of all languages
-    together; that bound is the size of what is broadcast.
+    Counts cover all given rows with text and language, and all their grams are
+    kept: what is broadcast grows with the distinct grams times the languages.
+    ``max_grams`` keeps the most frequent (ties: smaller gram) of all languages
+    together instead.
     """
     from pagerisk.llm.common import settle
 
     counted = settle(gram_counts(docs), "grams")
-    top = counted.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(max_grams).select("gram")
     langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
     if not langs:
         return [], np.zeros(0, np.int64), np.zeros((0, 0))
-    kept = counted.join(top, "gram").groupBy("gram").agg(
+    if max_grams is not None:
+        top = counted.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(max_grams).select("gram")
+        counted = counted.join(top, "gram")
+    kept = counted.groupBy("gram").agg(
         *[F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
     ).toArrow()
     grams = kept.column("gram").to_numpy()
     counts = np.stack([kept.column(f"n{i}").to_numpy() for i in range(len(langs))], axis=1)
+    counts = counts if counts.max(initial=0) >> 31 else counts.astype(np.int32)
     order = np.argsort(grams)
     return langs, grams[order].astype(np.int64), counts[order]
 
@@ -238,7 +251,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], na
     return rows.mapInArrow(score, "doc_id bigint, held_out boolean, lang_pred string, score double" + "".join(f", `{c}` {kinds[c]}" for c in carry))
 
 
-def identify_languages(docs: DataFrame, max_grams: int = MAX_GRAMS, carry: tuple[str, ...] = ()) -> DataFrame:
+def identify_languages(docs: DataFrame, max_grams: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Learn from three quarters of the labelled documents and predict the language of all.
 
     A row is held out if crc32 of its doc_id as text leaves 2 when divided by 4;

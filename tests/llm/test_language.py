@@ -90,3 +90,14 @@ def test_the_model_keeps_its_bound(spark):
     rows = docs.selectExpr("doc_id", "text", "lang", "false AS held_out")
     got = predict(rows, model, "small").join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.8
+
+
+def test_a_small_language_beside_many_grams(spark):
+    rng = np.random.default_rng(6)
+    junk = "".join(map(chr, rng.integers(48, 123, 520_000)))
+    large = [(4 * i, junk[i % 20 * 26_000 :][:26_000], "large") for i in range(40)]
+    small = [(i, "é漢ñ字 ß語ö文", "small") for i in range(20_001, 20_002)]
+    docs = spark.createDataFrame(large + small, "doc_id bigint, text string, lang string")
+    langs, grams, counts = train(docs)
+    assert langs == ["large", "small"] and len(grams) > 400_000 and (counts[:, 1] > 0).sum() > 15
+    assert {r["lang_pred"] for r in predict(docs.selectExpr("doc_id", "text", "false AS held_out"), (langs, grams, counts), "all").filter("doc_id > 20000").collect()} == {"small"}
