@@ -45,6 +45,24 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+#: Shares of all rows from which a join key is hot; at most as many keys are.
+HOT_KEYS = 1000
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``keyed``, which has each key once and in ``count`` how many of the rows have it.
+
+    A key with more than a thousandth of all counted rows is hot. There are
+    fewer than ``HOT_KEYS`` of them, so they are broadcast and their rows stay
+    where they are; all other keys are shuffled. Both inputs are read twice.
+    ``how`` is "inner" or "left".
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(keyed.filter(F.col(count) * HOT_KEYS > total))
+    cold = keyed.filter(F.col(count) * HOT_KEYS <= total)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how))
+
+
 def bucket_of(column: Column, bounds: list) -> Column:
     """Index of the first bound that is >= the value (``len(bounds)`` beyond the last), by binary search.
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pagerisk.llm.fingerprints import edited_fingerprints
 from pagerisk.llm.jaccard import similar_groups
 from pagerisk.llm.language import identify_languages
+from pagerisk.llm.minhash import near_duplicates
 from pagerisk.llm.mixing import MIX_CTE, label_weights, mix
 from pagerisk.llm.neighbours import nearest
 from pagerisk.llm.packing import pack_documents
@@ -102,6 +103,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+@query("op13_minhash", f"SELECT *, doc_id = component_id AS kept FROM ({jaccard_sql(2, 80)})")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
