@@ -192,9 +192,17 @@ def odd_links(edges: DataFrame, tied: DataFrame, packed: DataFrame, words: int,
         n = [np.array([len(x) for x in sides[s].values()], np.float64) for s in (True, False)]
         shared = overlaps(list(sides[True].values()), list(sides[False].values()))
         alike = 100 * shared >= percent * (n[0][:, None] + n[1][None, :] - shared)
-        a, b = np.nonzero(alike & (ids[0][:, None] != ids[1][None, :]))
-        # One link of a component's members to a row is enough, yet all are few here; each is sent once.
-        yield pa.RecordBatch.from_arrays([pa.array(ids[0][a]), pa.array(ids[1][b])], ["a", "b"])
+        # The smallest document that each can reach in the tile; one link to it says as much as all pairs.
+        far = np.iinfo(np.int64).max
+        low = [ids[0].copy(), ids[1].copy()]
+        while True:
+            members = np.minimum(low[1], np.where(alike, low[0][:, None], far).min(axis=0))
+            odd = np.minimum(low[0], np.where(alike, members[None, :], far).min(axis=1))
+            if (members == low[1]).all() and (odd == low[0]).all():
+                break
+            low = [odd, members]
+        a, b = np.concatenate(ids), np.concatenate(low)
+        yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
 
     return placed.groupBy("center", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
