@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from pagerisk.session import work_dir
 
 
+#: Seconds between two releases of shuffle files; short steps leave little behind.
+RELEASE_EVERY = 8.0
+_RELEASED: dict[str, float] = {}
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for; every bounded driver-side list is sized by it."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -30,7 +35,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     path = work_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    release(spark)
+    if time.monotonic() - _RELEASED.get("at", 0.0) > RELEASE_EVERY:
+        release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -43,6 +49,7 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
+    _RELEASED["at"] = time.monotonic()
 
 
 #: Shares of all rows from which a join key is hot; at most as many keys are.

@@ -103,13 +103,17 @@ def sign(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
 
 
 def star_edges(signed: DataFrame, first_ids: DataFrame) -> DataFrame:
-    """(center, node, cuts): an edge from every member of a bucket to its smallest, over how many tasks the bucket is dealt."""
-    spread = signed.filter("keys IS NOT NULL").select("doc_id", F.explode("keys").alias("key"))
+    """(center, node, cuts): an edge from every member of a bucket to its smallest, over how many tasks the bucket is dealt.
+
+    Of equal sets only the smallest document enters the buckets.
+    """
+    own = signed.filter("keys IS NOT NULL").select("doc_id", "keys")
+    own = settle(own.join(first_ids.withColumnRenamed("first", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi"), "bucket-keys")
+    spread = own.select("doc_id", F.explode("keys").alias("key"))
     buckets = spread.groupBy("key").agg(F.min("doc_id").alias("center"), F.count("*").alias("rows")).filter("rows > 1")
     buckets = settle(buckets, "buckets")
     met = hot_join(spread, buckets, ["key"], "rows").filter("doc_id <> center")
-    edges = met.groupBy("center", F.col("doc_id").alias("node")).agg((F.floor(F.max("rows") / STAR) + 1).cast("int").alias("cuts"))
-    return edges.join(first_ids.withColumnRenamed("first", "node"), "node", "left_semi")
+    return met.groupBy("center", F.col("doc_id").alias("node")).agg((F.floor(F.max("rows") / STAR) + 1).cast("int").alias("cuts"))
 
 
 def _packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
