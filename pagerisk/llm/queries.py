@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagerisk.llm.collocations import collocation_sql, collocations
 from pagerisk.llm.fingerprints import edited_fingerprints
 from pagerisk.llm.jaccard import similar_groups
 from pagerisk.llm.language import identify_languages
+from pagerisk.llm.lexical import ranked_search, ranked_search_sql
 from pagerisk.llm.minhash import near_duplicates
 from pagerisk.llm.mixing import MIX_CTE, label_weights, mix
 from pagerisk.llm.neighbours import nearest
@@ -103,6 +105,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+@query("op11_ranked_search", ranked_search_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_collocations", collocation_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op13_minhash", f"SELECT *, doc_id = component_id AS kept FROM ({jaccard_sql(2, 80)})")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
