@@ -59,7 +59,7 @@ def test_counts(spark, monkeypatch, seed, head, top):
 
 
 def test_tiles_count_like_a_dictionary(monkeypatch):
-    monkeypatch.setattr(co, "CROWD", 150)
+    monkeypatch.setattr(co, "CROWD", 40)
     monkeypatch.setattr(co, "HELD", 2000)
     rng = np.random.default_rng(2)
     tiles, want = co.PairTiles(), Counter()
