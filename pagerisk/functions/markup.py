@@ -24,14 +24,17 @@ WS = re.compile(r"\s+")
 MODAL_CLASS = ("modal", "dialog", "popup")
 MODAL_STYLE = ("position:fixed", "z-index")
 
-PARSED = """title STRING, visible STRING, canonical STRING, text STRING,
- nodes ARRAY<STRUCT<tag: STRING, classes: STRING, depth: INT, text_len: INT, parent: INT>>,
- forms ARRAY<STRUCT<action: STRING, method: STRING, autocomplete: STRING, onsubmit: STRING, text: STRING,
-   types: ARRAY<STRING>, fields: ARRAY<STRING>, classes: ARRAY<STRING>>>,
- input_types ARRAY<STRING>, control_classes ARRAY<STRING>, pragmas ARRAY<STRING>, modal_texts ARRAY<STRING>,
- links ARRAY<STRUCT<rel: STRING, href: STRING>>,
- images ARRAY<STRUCT<alt: STRING, name: STRING, src: STRING, width: STRING, height: STRING>>,
- scripts ARRAY<STRUCT<src: STRING, inline: BOOLEAN, text: STRING, attrs: MAP<STRING, STRING>>>"""
+#: Parts of a parsed page, computed and sent only when asked for.
+PARTS = {
+    "title": "STRING", "visible": "STRING", "canonical": "STRING", "text": "STRING",
+    "nodes": "ARRAY<STRUCT<tag: STRING, classes: STRING, depth: INT, text_len: INT, parent: INT>>",
+    "forms": """ARRAY<STRUCT<action: STRING, method: STRING, autocomplete: STRING, onsubmit: STRING, text: STRING,
+   types: ARRAY<STRING>, fields: ARRAY<STRING>, classes: ARRAY<STRING>>>""",
+    "input_types": "ARRAY<STRING>", "control_classes": "ARRAY<STRING>", "pragmas": "ARRAY<STRING>", "modal_texts": "ARRAY<STRING>",
+    "links": "ARRAY<STRUCT<rel: STRING, href: STRING>>",
+    "images": "ARRAY<STRUCT<alt: STRING, name: STRING, src: STRING, width: STRING, height: STRING>>",
+    "scripts": "ARRAY<STRUCT<src: STRING, inline: BOOLEAN, text: STRING, attrs: MAP<STRING, STRING>>>",
+}
 
 
 def squeeze(s: str) -> str:
@@ -44,12 +47,13 @@ class Tree(HTMLParser):
     Strings are in document order too: those below element i are ``strings[first[i] : last[i]]``.
     """
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, canonical: bool = True):
         super().__init__(convert_charrefs=True)
         self.tags, self.attrs, self.parent, self.depth, self.end = [], [], [], [], []
         self.strings: list[tuple[int, str]] = []
         self.first, self.last = [], []
         self.out: list[str] = []
+        self.canonical = canonical
         self.open: list[int] = []
         self.feed(html)
         self.close()
@@ -66,8 +70,9 @@ class Tree(HTMLParser):
         self.end.append(i + 1)
         self.first.append(len(self.strings))
         self.last.append(len(self.strings))
-        shown = "".join(f' {k}="{escape(v)}"' for k, v in sorted(self.attrs[i].items()))
-        self.out.append(f"<{tag}{shown}/>" if tag in VOID else f"<{tag}{shown}>")
+        if self.canonical:
+            shown = "".join(f' {k}="{escape(v)}"' for k, v in sorted(self.attrs[i].items()))
+            self.out.append(f"<{tag}{shown}/>" if tag in VOID else f"<{tag}{shown}>")
         if tag not in VOID:
             self.open.append(i)
 
@@ -89,6 +94,8 @@ class Tree(HTMLParser):
     def handle_data(self, data):
         at = self.open[-1] if self.open else -1
         self.strings.append((at, data))
+        if not self.canonical:
+            return
         raw = at >= 0 and self.tags[at] in ("script", "style")
         self.out.append(data if raw else escape(squeeze(data), quote=False))
 
@@ -103,27 +110,40 @@ class Tree(HTMLParser):
         own = self.tags[i] in RAW
         return " ".join(t for at, t in self.strings[self.first[i] : self.last[i]] if own or self.tags[at] not in RAW)
 
+    def all(self, *names: str) -> list[int]:
+        return [i for i, tag in enumerate(self.tags) if tag in names]
+
     def classes(self, i: int) -> list[str]:
         return self.attrs[i].get("class", "").split()
 
 
-def parse(html: str | None) -> dict:
-    t = Tree(html or "")
-    n = len(t.tags)
-    span = lambda i, names: [j for j in range(i + 1, t.end[i]) if t.tags[j] in names]
-    a = t.attrs
-    hidden = set()
-    for i in range(n):
-        off = t.tags[i] in ("script", "style", "noscript") or "hidden" in a[i] or "display:none" in a[i].get("style", "").lower()
+def _hidden(t: Tree) -> set[int]:
+    hidden: set[int] = set()
+    for i, tag in enumerate(t.tags):
+        off = tag in ("script", "style", "noscript") or "hidden" in t.attrs[i] or "display:none" in t.attrs[i].get("style", "").lower()
         if off or t.parent[i] in hidden:
             hidden.add(i)
-    own_len = [""] * n
+    return hidden
+
+
+def _visible(t: Tree) -> str:
+    hidden = _hidden(t)
+    return squeeze(" ".join(s for at, s in t.strings if at not in hidden))
+
+
+def _nodes(t: Tree) -> list[dict]:
+    own: list[list[str]] = [[] for _ in t.tags]
     for at, s in t.strings:
         if at >= 0:
-            own_len[at] += s
-    titles = [i for i in range(n) if t.tags[i] == "title"]
-    forms = []
-    for i in (i for i in range(n) if t.tags[i] == "form"):
+            own[at].append(s)
+    return [{"tag": tag, "classes": "|".join(sorted(c.lower() for c in t.classes(i))), "depth": min(255, t.depth[i]),
+             "text_len": len(squeeze("".join(own[i]))), "parent": t.parent[i]} for i, tag in enumerate(t.tags)]
+
+
+def _forms(t: Tree) -> list[dict]:
+    span = lambda i, names: [j for j in range(i + 1, t.end[i]) if t.tags[j] in names]
+    a, forms = t.attrs, []
+    for i in t.all("form"):
         fields = span(i, ("input", "select", "textarea"))
         forms.append({
             "action": a[i].get("action"), "method": a[i].get("method"), "autocomplete": a[i].get("autocomplete"),
@@ -132,30 +152,40 @@ def parse(html: str | None) -> dict:
             "fields": [f"{a[j].get('name', '').strip().lower()}|{a[j].get('type', '').strip().lower()}" for j in fields],
             "classes": [c.lower() for j in span(i, ("input", "button", "a", "label")) for c in t.classes(j)],
         })
-    modals = [
-        t.text_in(i) for i in range(n)
-        if t.tags[i] in ("div", "section", "iframe")
-        and any(w in " ".join(t.classes(i)).lower() for w in MODAL_CLASS)
-        and any(w in a[i].get("style", "").lower() for w in MODAL_STYLE)
+    return forms
+
+
+def _modals(t: Tree) -> list[str]:
+    return [
+        t.text_in(i) for i in t.all("div", "section", "iframe")
+        if any(w in " ".join(t.classes(i)).lower() for w in MODAL_CLASS) and any(w in t.attrs[i].get("style", "").lower() for w in MODAL_STYLE)
     ]
-    scripts = []
-    for i in (i for i in range(n) if t.tags[i] == "script"):
-        inline = "src" not in a[i]
-        scripts.append({"src": a[i].get("src"), "inline": inline, "text": t.text_in(i) if inline else None,
-                        "attrs": {k: v for k, v in a[i].items() if k != "src"}})
-    return {
-        "title": squeeze(t.text_in(titles[0])) if titles else "",
-        "visible": squeeze(" ".join(s for at, s in t.strings if at not in hidden)),
-        "canonical": "".join(t.out),
-        "text": " ".join(s for at, s in t.strings if at < 0 or t.tags[at] not in RAW).lower(),
-        "nodes": [{"tag": t.tags[i], "classes": "|".join(sorted(c.lower() for c in t.classes(i))), "depth": min(255, t.depth[i]),
-                   "text_len": len(squeeze(own_len[i])), "parent": t.parent[i]} for i in range(n)],
-        "forms": forms,
-        "input_types": [a[i].get("type", "").lower() for i in range(n) if t.tags[i] == "input"],
-        "control_classes": [c for i in range(n) if t.tags[i] in ("form", "input", "button") for c in t.classes(i)],
-        "pragmas": [(a[i].get("http-equiv") or a[i].get("http_equiv") or "").lower() for i in range(n) if t.tags[i] == "meta"],
-        "modal_texts": modals,
-        "links": [{"rel": a[i].get("rel"), "href": a[i].get("href")} for i in range(n) if t.tags[i] == "link"],
-        "images": [{k: a[i].get(k) for k in ("alt", "name", "src", "width", "height")} for i in range(n) if t.tags[i] == "img"],
-        "scripts": scripts,
-    }
+
+
+def _scripts(t: Tree) -> list[dict]:
+    a = t.attrs
+    return [{"src": a[i].get("src"), "inline": "src" not in a[i], "text": t.text_in(i) if "src" not in a[i] else None,
+             "attrs": {k: v for k, v in a[i].items() if k != "src"}} for i in t.all("script")]
+
+
+_MAKE = {
+    "title": lambda t: next((squeeze(t.text_in(i)) for i in t.all("title")), ""),
+    "visible": _visible,
+    "canonical": lambda t: "".join(t.out),
+    "text": lambda t: " ".join(s for at, s in t.strings if at < 0 or t.tags[at] not in RAW).lower(),
+    "nodes": _nodes,
+    "forms": _forms,
+    "input_types": lambda t: [t.attrs[i].get("type", "").lower() for i in t.all("input")],
+    "control_classes": lambda t: [c for i in t.all("form", "input", "button") for c in t.classes(i)],
+    "pragmas": lambda t: [(t.attrs[i].get("http-equiv") or t.attrs[i].get("http_equiv") or "").lower() for i in t.all("meta")],
+    "modal_texts": _modals,
+    "links": lambda t: [{"rel": t.attrs[i].get("rel"), "href": t.attrs[i].get("href")} for i in t.all("link")],
+    "images": lambda t: [{k: t.attrs[i].get(k) for k in ("alt", "name", "src", "width", "height")} for i in t.all("img")],
+    "scripts": _scripts,
+}
+
+
+def parse(html: str | None, parts: tuple[str, ...] = tuple(PARTS)) -> dict:
+    """The asked parts of a page; NULL gives those of an empty page."""
+    t = Tree(html or "", "canonical" in parts)
+    return {p: _MAKE[p](t) for p in parts}

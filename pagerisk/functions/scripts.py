@@ -74,8 +74,8 @@ def literal_entropy(js: Column) -> Column:
 
 
 def u8(value: Column) -> Column:
-    """Saturate at 255."""
-    return F.least(F.lit(255), F.floor(value).cast("int"))
+    """Saturate at 255; NULL stays NULL."""
+    return F.when(value.isNotNull(), F.least(F.lit(255), F.floor(value).cast("int")))
 
 
 def micro_counters(js: Column) -> dict[str, Column]:

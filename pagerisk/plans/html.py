@@ -36,7 +36,7 @@ def ctx(url="url"):
 
 @query("c8_form_semantics", """SELECT page_id, CASE v WHEN 1 THEN 1 ELSE 0 END AS num_pw, CASE v WHEN 1 THEN 1 ELSE 0 END AS num_email, CASE v WHEN 2 THEN 2 ELSE 0 END AS num_hidden, CASE WHEN v IN (1, 2) THEN 1 ELSE 0 END AS form_login_tokens, v = 1 AS form_autocomplete_off, CASE v WHEN 1 THEN 1 ELSE 0 END AS onsubmit_handlers,
  v = 1 AS form_method_get, v = 1 AS form_cross_site, v = 1 AND starts_with(url, 'http:') AS action_proto_mismatch, CASE v WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS top_form_count,
- ('0x' || substr(md5(CASE v WHEN 1 THEN 'pw:1|email:1|hid:0|get:1|cross:1|pmis:' || CASE WHEN starts_with(url, 'http:') THEN '1' ELSE '0' END || '|acoff:1|ons:1|ltok:1' WHEN 2 THEN 'pw:0|email:0|hid:2|get:0|cross:0|pmis:0|acoff:0|ons:0|ltok:1' ELSE 'pw:0|email:0|hid:0|get:0|cross:0|pmis:0|acoff:0|ons:0|ltok:0' END), 1, 15))::BIGINT AS form_fp_hash64,
+ ('0x' || substr(md5(CASE v WHEN 1 THEN '1,1,0,1,1,' || CASE WHEN starts_with(url, 'http:') THEN '1' ELSE '0' END || ',1,1,1' WHEN 2 THEN '0,0,2,0,0,0,0,0,1' ELSE '0,0,0,0,0,0,0,0,0' END), 1, 15))::BIGINT AS form_fp_hash64,
  CASE WHEN v = 1 THEN ('0x' || substr(md5('a|b|c'), 1, 15))::BIGINT END AS form_css_sig_hash64 FROM (SELECT page_id, url, page_id % 4 AS v FROM pages)""")
 def _(t):
     cols = hm.form_columns(F.col("page"), *ctx())
@@ -67,57 +67,59 @@ ENTITIES = "replace(replace(replace(replace(replace(replace(replace(replace({},
 k AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(x, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS x FROM s)
 SELECT page_id, trim(regexp_replace(""" + ENTITIES.format("regexp_replace(x, '<[^>]*>', ' ', 'g')") + """, '\\s+', ' ', 'g')) AS visible FROM k""")
 def _(t):
-    return hm.with_parsed(pages(t)).select("page_id", F.col("page.visible").alias("visible"))
+    return hm.with_parsed(pages(t), parts=("visible",)).select("page_id", F.col("page.visible").alias("visible"))
 
 
 @query("c22_canonical_markup")
 def _(t):
-    return hm.with_parsed(pages(t)).select("page_id", F.col("page.canonical").alias("canonical"))
+    return hm.with_parsed(pages(t), parts=("canonical",)).select("page_id", F.col("page.canonical").alias("canonical"))
 
 
 @query("c23_scripts", H_CTE + """, e AS (SELECT page_id, v, unnest(regexp_extract_all(html, '(?is)<script[^>]*>.*?</script>')) AS s FROM h)
 SELECT page_id, CASE WHEN contains(s, 'src=') THEN regexp_extract(s, 'src="([^"]*)"', 1) END AS src, NOT contains(s, 'src=') AS inline, CASE WHEN NOT contains(s, 'src=') THEN regexp_replace(regexp_replace(s, '^<script[^>]*>', ''), '</script>$', '') END AS text, CASE WHEN contains(s, 'async') THEN 'async' ELSE '' END AS attrs FROM e""")
 def _(t):
-    rows = hm.with_parsed(pages(t)).select("page_id", F.inline("page.scripts"))
+    rows = hm.with_parsed(pages(t), parts=("scripts",)).select("page_id", F.inline("page.scripts"))
     return rows.select("page_id", "src", "inline", "text", F.array_join(F.array_sort(F.map_keys("attrs")), ",").alias("attrs"))
 
 
 @query("d23_external_script_fill", H_CTE + """, e AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script[^>]*>.*?</script>')) AS s FROM h)
-SELECT page_id, CASE WHEN contains(s, 'src=') THEN regexp_extract(s, 'src="([^"]*)"', 1) END AS src, CASE WHEN NOT contains(s, 'src=') THEN regexp_replace(regexp_replace(s, '^<script[^>]*>', ''), '</script>$', '') WHEN page_id < 100 THEN 'body ' || page_id END AS text FROM e""")
+SELECT page_id, CASE WHEN contains(s, 'src=') THEN regexp_extract(s, 'src="([^"]*)"', 1) END AS src, CASE WHEN NOT contains(s, 'src=') THEN regexp_replace(regexp_replace(s, '^<script[^>]*>', ''), '</script>$', '') ELSE 'body ' || page_id END AS text FROM e""")
 def _(t):
-    rows = hm.with_parsed(pages(t)).select("page_id", F.inline("page.scripts")).select("page_id", "src", "text")
-    captured = t("pages").filter("page_id < 100").select("page_id", F.lit("https://cdn.site.org/a.js").alias("src"), F.concat_ws(" ", F.lit("body"), "page_id").alias("body"))
+    rows = hm.with_parsed(pages(t), parts=("scripts",)).select("page_id", F.inline("page.scripts")).select("page_id", "src", "text")
+    captured = t("pages").select("page_id", F.lit("https://cdn.site.org/a.js").alias("src"), F.concat_ws(" ", F.lit("body"), "page_id").alias("body"))
     return hm.fill_external(rows, captured)
 
 
 @query("c24_dom_nodes", H_CTE + """, k AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)(<script[^>]*>).*?</script>', '\\1', 'g'), '(?is)(<style[^>]*>).*?</style>', '\\1', 'g') AS x FROM h), c AS (SELECT page_id, regexp_replace(x, '(?s)<!--.*?-->', ' ', 'g') AS x FROM k),
 e AS (SELECT page_id, unnest(regexp_extract_all(x, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM c) SELECT page_id, ('0x' || substr(md5(lower(tag)), 1, 15))::BIGINT AS tag_hash, count(*) AS nodes FROM e GROUP BY ALL""")
 def _(t):
-    graph = hm.with_parsed(pages(t)).select("page_id", hm.dom_graph(F.col("page"), max_nodes=None).alias("g"))
+    graph = hm.with_parsed(pages(t), parts=("nodes",)).select("page_id", hm.dom_graph(F.col("page"), max_nodes=None).alias("g"))
     return graph.select("page_id", F.explode("g.nodes").alias("n")).groupBy("page_id", "n.tag_hash").agg(F.count(F.lit(1)).alias("nodes"))
 
 
 @query("c24_dom_edges", H_CTE + """, k AS (SELECT page_id, v, regexp_replace(regexp_replace(html, '(?is)(<script[^>]*>).*?</script>', '\\1', 'g'), '(?is)(<style[^>]*>).*?</style>', '\\1', 'g') AS x FROM h), c AS (SELECT page_id, v, regexp_replace(x, '(?s)<!--.*?-->', ' ', 'g') AS x FROM k)
 SELECT page_id, len(regexp_extract_all(x, '<[a-zA-Z]')) AS n, len(regexp_extract_all(x, '<[a-zA-Z]')) - 1 - CASE WHEN NOT contains(x, '</html>') THEN 0 WHEN v = 1 THEN 1 WHEN v = 2 THEN 3 WHEN v = 3 THEN 8 ELSE 0 END AS edges FROM c""")
 def _(t):
-    graph = hm.with_parsed(pages(t)).select("page_id", hm.dom_graph(F.col("page"), max_nodes=None).alias("g"))
+    graph = hm.with_parsed(pages(t), parts=("nodes",)).select("page_id", hm.dom_graph(F.col("page"), max_nodes=None).alias("g"))
     return graph.select("page_id", F.col("g.n").cast("long").alias("n"), F.size("g.edges").cast("long").alias("edges"))
 
 
 @query("c24_dom_graph_capped")
 def _(t):
-    graph = hm.with_parsed(pages(t)).select("page_id", hm.dom_graph(F.col("page"), max_nodes=256).alias("g"))
+    graph = hm.with_parsed(pages(t), parts=("nodes",)).select("page_id", hm.dom_graph(F.col("page"), max_nodes=256).alias("g"))
     return graph.select("page_id", "g.n", F.size("g.edges").alias("edges"), F.aggregate("g.nodes", F.lit(0), lambda a, x: F.greatest(a, x.depth)).alias("max_depth"))
 
 
-@query("c25_graph_backfill", H_CTE + """, k AS (SELECT page_id, CASE WHEN page_id < 50 THEN '' WHEN page_id < 100 THEN '<p>x<b>y</b></p>' ELSE html END AS x FROM h), z AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?is)(<script[^>]*>).*?</script>', '\\1', 'g'), '(?is)(<style[^>]*>).*?</style>', '\\1', 'g') AS x FROM k)
-SELECT page_id, CASE WHEN page_id < 50 THEN NULL ELSE len(regexp_extract_all(regexp_replace(x, '(?s)<!--.*?-->', ' ', 'g'), '<[a-zA-Z]')) END AS n FROM z""")
+@query("c25_graph_backfill", H_CTE + """, k AS (SELECT page_id, CASE WHEN v = 3 THEN NULL WHEN v = 0 THEN html || '<p>' || url || '<b>y</b></p>' ELSE html END AS x FROM h), z AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?is)(<script[^>]*>).*?</script>', '\\1', 'g'), '(?is)(<style[^>]*>).*?</style>', '\\1', 'g') AS x FROM k)
+SELECT page_id, len(regexp_extract_all(regexp_replace(x, '(?s)<!--.*?-->', ' ', 'g'), '<[a-zA-Z]')) AS n FROM z""")
 def _(t):
-    rows = pages(t).select("page_id", F.when(F.col("page_id").between(50, 99), F.lit("<p>x<b>y</b></p>")).alias("html_norm"), F.when(F.col("page_id") >= 100, F.col("html")).otherwise(F.lit("")).alias("html"))
-    made = hm.dom_graph(hm.parse_pages(F.lit("")), max_nodes=None)
-    page = u.first_filled(F.col("html_norm"), F.col("html"))
-    rows = rows.withColumn("page", hm.parse_pages(page)).withColumn("g", F.when(page.isNotNull(), hm.dom_graph(F.col("page"), max_nodes=None)))
-    return rows.select("page_id", F.col("g.n").cast("long").alias("n"))
+    # A page in four has normalised markup, which comes first, and one has no markup at all.
+    v = F.col("page_id") % 4
+    rows = pages(t).select(
+        "page_id", F.when(v == 0, F.concat("html", F.lit("<p>"), "url", F.lit("<b>y</b></p>"))).alias("html_norm"), F.when(v != 3, F.col("html")).otherwise(F.lit("")).alias("html"),
+        F.lit(None).cast("struct<n: int, nodes: array<struct<tag_hash: bigint, class_hash: bigint, depth: int, text_bin: int>>, edges: array<struct<src: int, dst: int>>>").alias("dom_graph"),
+    )
+    return hm.backfill_graph(rows, ["html_norm", "html"]).select("page_id", F.col("dom_graph.n").cast("long").alias("n"))
 
 
 @query("c34_icons_and_logos", """SELECT page_id, CASE WHEN v = 3 THEN 2 ELSE 1 END AS fav_rel_count, CASE WHEN v = 3 THEN 'https://cdn.site.com/f.ico' ELSE regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/favicon.ico' END AS favicon_url, v = 3 AS fav_cross_origin,
@@ -131,19 +133,10 @@ def _(t):
 @query("m1_html_features", H_CTE + """ SELECT page_id, CASE WHEN v = 1 THEN 1 WHEN v = 2 THEN 2 ELSE 0 END AS top_form_count, v = 3 AS has_meta_refresh, trim(regexp_replace(regexp_extract(html, '(?is)<script[^>]*>(.*?)</script>', 1), '\\s+', ' ', 'g')) AS js_text,
  trim(regexp_replace(""" + ENTITIES.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + """, '\\s+', ' ', 'g')) AS text_title FROM h""")
 def _(t):
-    f = hm.html_features(pages(t))
+    f = hm.html_features(pages(t), columns=("top_form_count", "has_meta_refresh", "js_text", "text_title"))
     return f.select("page_id", "top_form_count", "has_meta_refresh", F.trim(F.regexp_replace("js_text", r"\s+", " ")).alias("js_text"), "text_title")
 
 
-@query("b7_cheap_feature_vector", """SELECT page_id, length(url)::DOUBLE AS url_len, contains(url, '?')::INT::DOUBLE AS has_at, 0e0 AS js_entropy, CASE WHEN v = 1 THEN 1e0 ELSE 0e0 END AS num_pw, (v = 3)::INT::DOUBLE AS has_meta_refresh, 74 AS width FROM (SELECT *, page_id % 4 AS v FROM pages)""")
-def _(t):
-    from pagerisk.functions.features import cheap_features
-
-    f = hm.html_features(pages(t)).withColumns({"url_len": F.length("url"), "has_at": F.col("url").contains("?"), "js_entropy": F.lit("n/a")})
-    cols = cheap_features(f.columns)
-    return f.select("page_id", *[cols[c].alias(c) for c in ("url_len", "has_at", "js_entropy", "num_pw", "has_meta_refresh")], F.size(F.array(*cols.values())).alias("width"))
-
-
 @query("c36_robust_scaling", """WITH k AS (SELECT l_orderkey, l_linenumber, CASE WHEN greatest(-1e6, least(1e6, l_extendedprice - 2e4)) > 0 THEN ln(1 + least(1e6, l_extendedprice - 2e4)) ELSE greatest(-1e6, l_extendedprice - 2e4) END AS price, ln(1 + l_quantity) AS qty FROM lineitem),
 q AS (SELECT quantile_cont(price, 5e-1) AS pm, quantile_cont(price, 75e-2) - quantile_cont(price, 25e-2) AS pi, quantile_cont(qty, 5e-1) AS qm, quantile_cont(qty, 75e-2) - quantile_cont(qty, 25e-2) AS qi FROM k)
 SELECT l_orderkey, l_linenumber, round(greatest(-5e0, least(5e0, (price - pm) / pi)), 5) AS price, round(greatest(-5e0, least(5e0, (qty - qm) / qi)), 5) AS qty FROM k, q""")

@@ -13,7 +13,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 _MODULES = (
-    "ranking", "predictions", "audits", "urls", "scripts", "html", "feeds",
+    "ranking", "predictions", "audits", "urls", "scripts", "html", "pages", "feeds",
     "splits", "calibration", "fusion", "cascade", "mining", "logs", "streams",
 )
 

@@ -27,16 +27,30 @@ U_CTE = f"WITH u AS (SELECT page_id, unnest([{', '.join(FORMS)}]) AS url FROM pa
 URI_SQL = r"'^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?'"
 PARTS_CTE = U_CTE + f""", p AS (SELECT page_id, url, regexp_extract(url, {URI_SQL}, 1) AS sch, regexp_extract(url, {URI_SQL}, 2) AS auth, regexp_extract(url, {URI_SQL}, 3) AS pth, regexp_extract(url, {URI_SQL}, 4) AS qry FROM u),
 h AS (SELECT *, regexp_replace(regexp_replace(lower(auth), '^.*@', ''), ':[0-9]*$', '') AS host FROM p)"""
-TWO_SQL = ", ".join(f"'{s}'" for s in sx.TWO_LABEL)
-WILD_SQL = ", ".join(f"'{s}'" for s in sx.WILDCARD)
-DOMAIN_CTE = PARTS_CTE + f""", l AS (SELECT *, string_split(host, '.') AS lab, regexp_matches(host, '^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$') AS ip FROM h),
-k AS (SELECT *, CASE WHEN array_to_string(lab[-2:], '.') = 'www.ck' THEN 1 WHEN lab[-1] IN ({WILD_SQL}) THEN 2 WHEN array_to_string(lab[-2:], '.') IN ({TWO_SQL}) THEN 2 ELSE 1 END AS sl FROM l),
-d AS (SELECT *, CASE WHEN ip OR NOT contains(host, '.') THEN '' WHEN sl = 2 THEN array_to_string(lab[-2:], '.') ELSE lab[-1] END AS suffix,
- CASE WHEN ip OR NOT contains(host, '.') THEN host WHEN sl = 2 THEN array_to_string(lab[-3:], '.') ELSE array_to_string(lab[-2:], '.') END AS etld1 FROM k)"""
+# Hosts under rules of several kinds: two labels, wildcards, exceptions, internationalised names, suffixes themselves.
+HOSTS = ("a.b.com.co", "shop.co.at", "x.gov.it", "gov.it", "a.www.ck", "x.y.kawasaki.jp", "a.city.kawasaki.jp", "city.kawasaki.jp", "b.a.xn--55qx5d.cn", "b.a.公司.cn", "a.b.unruled")
+HOST_FORMS = (*FORMS, *(f"regexp_replace(url, '://[^/]*', '://{h}')" for h in HOSTS))
 
 
-def forms(t):
-    return t("pages").selectExpr("page_id", f"explode(array({', '.join(FORMS)})) AS url")
+def raw_rules() -> str:
+    """The list's rules of public registries as they stand in the file, blank-separated, and in the ASCII form of their names."""
+    lines = "\n".join(sx.list_of_spark()).split("===BEGIN PRIVATE DOMAINS===")[0].splitlines()
+    rules = [line.split()[0] for line in lines if line.strip() and not line.startswith("//")]
+    return " ".join(rules + [r.encode("idna").decode() for r in rules if not r.isascii()])
+
+
+# The published algorithm on the raw rules, for distinct hosts: every suffix of a host is looked up as a rule.
+DOMAIN_CTE = PARTS_CTE.replace(", ".join(FORMS), ", ".join(HOST_FORMS)) + f""", rules AS (SELECT unnest(string_split('{raw_rules()}', ' ')) AS rule),
+l AS (SELECT DISTINCT host, string_split(host, '.') AS lab FROM h), ta AS (SELECT host, len(lab) AS n, k, array_to_string(lab[-k:], '.') AS tail FROM (SELECT *, unnest(range(1, len(lab) + 1)) AS k FROM l)),
+m AS (SELECT host, k AS sl, 0 AS exc FROM ta JOIN rules ON rule = tail UNION ALL SELECT host, k - 1, 1 FROM ta JOIN rules ON rule = '!' || tail UNION ALL SELECT host, k + 1, 0 FROM ta JOIN rules ON rule = '*.' || tail WHERE k < n),
+b AS (SELECT host, arg_max(sl, exc * 100 + sl) AS sl FROM m GROUP BY host),
+k AS (SELECT h.*, string_split(h.host, '.') AS lab, regexp_matches(h.host, '^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$') AS ip, coalesce(b.sl, 1) AS sl FROM h LEFT JOIN b ON b.host = h.host),
+d AS (SELECT *, CASE WHEN ip OR NOT contains(host, '.') THEN '' ELSE array_to_string(lab[-sl:], '.') END AS suffix,
+ CASE WHEN ip OR NOT contains(host, '.') THEN host ELSE array_to_string(lab[-(sl + 1):], '.') END AS etld1 FROM k)"""
+
+
+def forms(t, of=FORMS):
+    return t("pages").selectExpr("page_id", f"explode(array({', '.join(of)})) AS url")
 
 
 @query("b1_canonical_url", U_CTE + f""", t AS (SELECT page_id, url, trim(url) AS s FROM u), p AS (SELECT page_id, url, regexp_extract(s, {URI_SQL}, 1) AS sch, regexp_extract(s, {URI_SQL}, 2) AS auth, regexp_extract(s, {URI_SQL}, 3) AS pth, regexp_extract(s, {URI_SQL}, 4) AS qry FROM t),
@@ -106,7 +120,7 @@ def _(t):
 @query("c1_url_lexicals", DOMAIN_CTE + """ SELECT page_id, url, nullif(suffix, '') AS tld, regexp_matches(host, '[^\\x00-\\x7F]') AS is_idn, starts_with(host, 'xn--') OR contains(host, '.xn--') AS is_punycode, starts_with(host, 'xn--') OR contains(host, '.xn--') AS has_punycode,
  length(url) AS url_len, length(host) - length(replace(host, '.', '')) AS num_dots, length(url) - length(replace(url, '%', '')) AS num_pct, contains(url, '@') AS has_at, ip AS host_is_ip, length(host) - length(replace(host, '-', '')) AS host_hyphens FROM d""")
 def _(t):
-    return forms(t).select("page_id", "url", *[(c.cast("long") if n.startswith(("url_len", "num_", "host_hy")) else c).alias(n) for n, c in u.lexicals(F.col("url")).items()])
+    return forms(t, HOST_FORMS).select("page_id", "url", *[(c.cast("long") if n.startswith(("url_len", "num_", "host_hy")) else c).alias(n) for n, c in u.lexicals(F.col("url")).items()])
 
 
 @query("c2_url_shape", PARTS_CTE + """, s AS (SELECT page_id, url, host, trim(url) AS z FROM h), ch AS (SELECT page_id, url, unnest(string_split(z, '')) AS c FROM s), cn AS (SELECT page_id, url, c, count(*) AS n FROM ch WHERE c <> '' GROUP BY ALL),
@@ -144,15 +158,13 @@ def _(t):
 @query("c6_registered_domain", DOMAIN_CTE + " SELECT page_id, host, suffix, etld1 FROM d")
 def _(t):
     host = u.host(F.col("url"))
-    return forms(t).select("page_id", host.alias("host"), sx.public_suffix(host).alias("suffix"), sx.registered_domain(host).alias("etld1"))
+    return forms(t, HOST_FORMS).select("page_id", host.alias("host"), sx.public_suffix(host).alias("suffix"), sx.registered_domain(host).alias("etld1"))
 
 
 @query("c6_registered_domain_by_table", DOMAIN_CTE + " SELECT page_id, host, etld1 FROM d WHERE host <> ''")
 def _(t):
-    rules = [(s, False, False) for s in sx.TWO_LABEL] + [(s, True, False) for s in sx.WILDCARD] + [(s, False, True) for s in sx.EXCEPTIONS]
-    table = t.spark.createDataFrame(rules, "suffix STRING, wildcard BOOLEAN, exception BOOLEAN")
-    rows = forms(t).select("page_id", u.host(F.col("url")).alias("host")).filter("host <> ''")
-    return sx.with_registered_domain(rows, "host", table).select("page_id", "host", "etld1")
+    rows = forms(t, HOST_FORMS).select("page_id", u.host(F.col("url")).alias("host")).filter("host <> ''")
+    return sx.with_registered_domain(rows, "host", sx.rules_table(t.spark)).select("page_id", "host", "etld1")
 
 
 def sql_literal(s):

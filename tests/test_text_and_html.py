@@ -46,12 +46,24 @@ def test_canonical(spark, url, want):
 @pytest.mark.parametrize("host,suffix,domain", [
     ("a.b.example.co.uk", "co.uk", "example.co.uk"), ("www.example.com", "com", "example.com"), ("x.y.ck", "y.ck", "x.y.ck"),
     ("www.ck", "ck", "www.ck"), ("1.2.3.4", "", "1.2.3.4"), ("localhost", "", "localhost"), ("co.uk", "co.uk", "co.uk"),
+    ("a.b.com.co", "com.co", "b.com.co"), ("shop.co.at", "co.at", "shop.co.at"), ("x.gov.it", "gov.it", "x.gov.it"),
+    ("b.a.xn--55qx5d.cn", "xn--55qx5d.cn", "a.xn--55qx5d.cn"), ("b.a.公司.cn", "公司.cn", "a.公司.cn"), ("x.y.kawasaki.jp", "y.kawasaki.jp", "x.y.kawasaki.jp"),
+    ("a.city.kawasaki.jp", "kawasaki.jp", "city.kawasaki.jp"), ("a.b.unruled", "unruled", "b.unruled"), ("x.github.io", "io", "github.io"),
 ])
 def test_registered_domain_by_rule_and_by_table(spark, host, suffix, domain):
     assert ev(spark, host, sx.public_suffix) == suffix and ev(spark, host, sx.registered_domain) == domain
-    rules = spark.createDataFrame([("co.uk", False, False), ("com", False, False), ("ck", True, False), ("www.ck", False, True)], "suffix STRING, wildcard BOOLEAN, exception BOOLEAN")
     df = spark.createDataFrame([(host,)], "host STRING")
-    assert sx.with_registered_domain(df, "host", rules).first().etld1 == domain
+    assert sx.with_registered_domain(df, "host", sx.rules_table(spark)).first().etld1 == domain
+
+
+def test_own_suffix_list(spark, tmp_path):
+    path = tmp_path / "list.txt"
+    path.write_text("// comment\n\ncom\n*.wild.com\n!free.wild.com\n// ===BEGIN PRIVATE DOMAINS===\nhost.com\n// ===END PRIVATE DOMAINS===\nlate.org // tail\n", encoding="utf-8")
+    rules, offered = (sx.read_rules(spark, str(path), private) for private in (False, True))
+    rows = spark.createDataFrame([(h,) for h in ("a.b.c.wild.com", "a.free.wild.com", "a.host.com", "wild.com", "x.late.org")], "host STRING")
+    got = [tuple(r) for r in rows.select(sx.registered_domain(F.col("host"), rules), sx.registered_domain(F.col("host"), offered)).collect()]
+    assert got == [("b.c.wild.com", "b.c.wild.com"), ("free.wild.com", "free.wild.com"), ("host.com", "a.host.com"), ("wild.com", "wild.com"), ("x.late.org", "x.late.org")]
+    assert sx.SuffixRules.parse([]).labels_sql == "h -> 1"
 
 
 def test_augmentation_is_seeded(spark):
