@@ -30,10 +30,10 @@ from pagerisk.llm.common import hot_join, mix64, settle, shuffle_parts, slices
 #: Phrases of one length known by rank, the longest of them in bytes, bits of the map of the others.
 HEAD, HEAD_BYTES, BITS = 1 << 18, 96, 1 << 26
 #: Ids along a tile, tiles along the corner that may be dense, pairs in a batch that make a tile crowded, dense tiles of a task.
-EDGE, CORNER, CROWD, DENSE = 1024, 64, 32_768, 16
+EDGE, CORNER, CROWD, DENSE = 1024, 64, 16_384, 8
 #: Coordinates, ids and languages held by a task before they are summed or sent.
-HELD, WORDS_HELD, LANGUAGES_HELD = 4_000_000, 1_000_000, 12
-_TEXT_BYTES = 4 << 20
+HELD, WORDS_HELD, LANGUAGES_HELD = 1_000_000, 500_000, 12
+_TEXT_BYTES = 2 << 20
 _BREAK = b"\xff"  # never part of UTF-8
 _TABLE = bytearray(range(256))
 _TABLE[65:91] = range(97, 123)
@@ -120,9 +120,10 @@ class PairTiles:
         self.counts.append(counts)
         self.held += len(codes)
         if self.held > HELD:
-            self._sum()
+            self.squeeze()
 
-    def _sum(self) -> None:
+    def squeeze(self) -> None:
+        """Sum coordinates met in several batches."""
         if not self.codes:
             return
         codes, counts = np.concatenate(self.codes), np.concatenate(self.counts)
@@ -133,11 +134,12 @@ class PairTiles:
         self.held = len(starts)
 
     def full(self) -> bool:
-        return self.held > HELD
+        """Too many distinct coordinates for another batch."""
+        return self.held > HELD // 2
 
     def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(left, right, count) of all pairs so far; starts anew."""
-        self._sum()
+        self.squeeze()
         codes, counts = self.codes or [np.zeros(0, np.int64)], self.counts or [np.zeros(0, np.int64)]
         for t, cells in self.dense.items():
             at = np.flatnonzero(cells)
@@ -352,6 +354,8 @@ def longer_counts(docs: DataFrame, heads: list[tuple[list, bytes]]) -> DataFrame
             low, right = low[:-1], ids[length - 1 :]
             good = (low > 0) & (right > 0) & (last > 0)
             tiles.add(low[good], right[good], DENSE - sum(len(t.dense) for _, _, t in state.values() if t is not tiles))
+            if tiles.held > HELD // 2:
+                tiles.squeeze()
             if tiles.full() or len(words) > WORDS_HELD + levels[0].known:
                 yield from send(lang, levels, tiles)
                 del state[lang]
