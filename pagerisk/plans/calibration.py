@@ -78,18 +78,36 @@ def _(t):
     return cal.apply_temperature(preds.filter("split = 'test'"), fits).select("id", "model", F.round("prob", 4).alias("prob"))
 
 
-@query("j5_calibrator_choice")
+# All three calibrators on the validation rows, and their metrics from counts per distinct score.
+CHOICE_SQL = PLATT_SQL + ISOTONIC_SQL.replace("WITH " + PREDS_CTE, "", 1) + """, w AS (SELECT model, a, b FROM it WHERE i = 25),
+base AS (SELECT p.model, p.label, p.prob, s.k, greatest(1e-6, least(1e0 - 1e-6, p.prob)) AS q FROM preds p JOIN s ON s.model = p.model AND s.x = p.prob WHERE p.split = 'val'),
+tries AS (SELECT model, label, 'raw' AS calibrator, prob FROM base UNION ALL SELECT base.model, label, 'platt', 1e0 / (1e0 + exp(-(a * ln(q / (1e0 - q)) + b))) FROM base JOIN w ON w.model = base.model
+  UNION ALL SELECT base.model, label, 'isotonic', iso.v FROM base JOIN iso ON iso.model = base.model AND iso.i = base.k),
+tg AS (SELECT model, calibrator, prob AS score, count(*) AS n, sum(label)::BIGINT AS pos FROM tries GROUP BY ALL),
+tc AS (SELECT *, sum(n) OVER o AS cn, sum(pos) OVER o AS cp, sum(n) OVER (PARTITION BY model, calibrator) AS tn, sum(pos) OVER (PARTITION BY model, calibrator) AS tp FROM tg WINDOW o AS (PARTITION BY model, calibrator ORDER BY score DESC)),
+tl AS (SELECT *, lag(cp::DOUBLE / cn, 1, 1e0) OVER (PARTITION BY model, calibrator ORDER BY score DESC) AS p0 FROM tc),
+ranks AS (SELECT model, calibrator, sum(pos * p0) / max(tp) AS pr_auc, sum(pos * ((tn - tp - cn + cp) + (n - pos) / 2e0)) / (max(tp)::DOUBLE * max(tn - tp)) AS roc_auc FROM tl GROUP BY ALL),
+errors AS (SELECT model, calibrator, avg((prob - label) * (prob - label)) AS brier FROM tries GROUP BY ALL),
+bins AS (SELECT model, calibrator, floor(prob * 10) AS bin, count(*) AS n, avg(prob) AS conf, avg(label) AS rate FROM tries WHERE prob < 1 GROUP BY ALL),
+eces AS (SELECT b.model, b.calibrator, sum(b.n * abs(conf - rate)) / any_value(a.n) AS ece FROM bins b JOIN (SELECT model, calibrator, count(*) AS n FROM tries GROUP BY ALL) a USING (model, calibrator) GROUP BY b.model, b.calibrator),
+choice AS (SELECT *, first_value(calibrator) OVER (PARTITION BY model ORDER BY round(brier, 9), -round(pr_auc, 9)) AS chosen FROM ranks JOIN errors USING (model, calibrator) JOIN eces USING (model, calibrator))"""
+
+
+@query("j5_calibrator_choice", CHOICE_SQL + " SELECT model, calibrator, round(brier, 4) AS brier, round(ece, 3) AS ece, round(roc_auc, 2) AS roc_auc, round(pr_auc, 2) AS pr_auc, chosen FROM choice")
 def _(t):
     table, _, _ = cal.choose_calibrators(val(t))
-    return table.select("model", "calibrator", r6("brier", "brier"), r6("ece", "ece"), r6("roc_auc", "roc_auc"), r6("pr_auc", "pr_auc"), "chosen")
+    return table.select("model", "calibrator", F.round("brier", 4).alias("brier"), F.round("ece", 3).alias("ece"), *[F.round(c, 2).alias(c) for c in ("roc_auc", "pr_auc")], "chosen")
 
 
-@query("j5_calibrated_predictions")
+@query("j5_calibrated_predictions", CHOICE_SQL + """, kind AS (SELECT DISTINCT model, chosen FROM choice), rows AS (SELECT id, p.model, split, label, prob, chosen, greatest(1e-6, least(1e0 - 1e-6, prob)) AS q FROM preds p JOIN kind ON kind.model = p.model WHERE split <> 'train'),
+steps AS (SELECT s.model, s.x, iso.v FROM s JOIN iso ON iso.model = s.model AND iso.i = s.k), lowest AS (SELECT model, min_by(v, x) AS v0 FROM steps GROUP BY model),
+placed AS (SELECT rows.*, steps.v, v0 FROM rows ASOF LEFT JOIN steps ON rows.model = steps.model AND rows.prob >= steps.x JOIN lowest ON lowest.model = rows.model)
+SELECT id, placed.model, split, label, round(CASE chosen WHEN 'platt' THEN 1e0 / (1e0 + exp(-(a * ln(q / (1e0 - q)) + b))) WHEN 'isotonic' THEN coalesce(v, v0) ELSE prob END, 5) AS prob FROM placed JOIN w ON w.model = placed.model""")
 def _(t):
     preds = t.preds()
     table, platt, iso = cal.choose_calibrators(preds.filter("split = 'val'"))
     chosen = {r.model: r.chosen for r in table.select("model", "chosen").distinct().collect()}
-    return cal.calibrate(preds.filter("split <> 'train'"), chosen, platt, iso).select("id", "model", "split", "label", r6("prob", "prob"))
+    return cal.calibrate(preds.filter("split <> 'train'"), chosen, platt, iso).select("id", "model", "split", "label", F.round("prob", 5).alias("prob"))
 
 
 def loss_sql(loss):

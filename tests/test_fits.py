@@ -101,6 +101,27 @@ def test_isotonic_equals_pool_adjacent_violators(heads):
         assert r.prob == pytest.approx(want[r.raw])
 
 
+@pytest.mark.parametrize("rows", [400, 10_000])
+def test_isotonic_on_continuous_scores_in_many_ranges(spark, rows):
+    """No two scores are equal, so blocks are long and cross the ranges; one key owns most rows, one falls all the way."""
+    rng = np.random.default_rng(8)
+    x = rng.random(3000)
+    y = (rng.random(3000) < x * x).astype(int)
+    down = [("down", float(v), int(v < 0.5)) for v in np.linspace(0.01, 0.99, 400)]
+    data = [("hot", float(a), int(b)) for a, b in zip(x, y)] + down + [("one", 0.3, 1)]
+    df = spark.createDataFrame(data, "model STRING, prob DOUBLE, label INT").repartition(6)
+    blocks = cal.fit_isotonic(df, pool_rows=rows)
+    order = np.argsort(x)
+    want = dict(zip(x[order], pav(x, y, np.ones(3000))))
+    got = cal.apply_isotonic(df.withColumn("raw", F.col("prob")), blocks)
+    for r in got.filter("model = 'hot'").collect():
+        assert r.prob == pytest.approx(want[r.raw])
+    assert {round(r.prob, 9) for r in got.filter("model = 'down'").collect()} == {0.5} and got.filter("model = 'one' AND prob = 1").count() == 1
+    outside = spark.createDataFrame([("hot", -1.0), ("hot", 2.0), ("down", 0.0), ("none", 0.4)], "model STRING, prob DOUBLE")
+    values = [r.prob for r in cal.apply_isotonic(outside.withColumn("raw", F.col("prob")), blocks).orderBy("model", "raw").collect()]
+    assert values == pytest.approx([0.5, want[x.min()], want[x.max()], 0.4])
+
+
 def test_calibrator_choice_is_the_least_brier(heads):
     _, _, df = heads
     table, platt, iso = cal.choose_calibrators(long(df))
