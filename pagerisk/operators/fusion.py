@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,6 +15,7 @@ from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, StandardSc
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagerisk.functions.mathx import clamp, mean_of, sigmoid, unit
 from pagerisk.operators import metrics as m
@@ -47,9 +50,13 @@ def constants(values) -> str:
 def fit_by(
     df: DataFrame, key: str, features: Sequence[str], label: str = "label", losses: Sequence[str] = ("logistic",), gamma: float = 2.0,
     weights: tuple[float, float] = (1.0, 1.0), max_iter: int = 200, tol: float = 1e-6, ridge: float = 1e-6, floor: float = 1e-8,
+    held_out: bool = False,
 ) -> dict[str, dict[str, list[float]]]:
     """Newton fits of a logistic model, for every key value and loss in the same passes.
 
+    With ``held_out`` a key's fit uses all rows but those of the key, which adds
+    each batch to the sums of the other keys; no row is copied for that.
+
     Each pass sums the loss gradients and logistic Hessians ((k+1)^2 numbers
     per key and loss); the driver solves the small systems. Returns
     ``{loss: {key: coefficients, intercept last}}``.
@@ -69,8 +76,8 @@ def fit_by(
     for _ in range(max_iter):
         if not active:
             break
-        if len(active) * k * (k + 3) // 2 > MAX_SQL_SUMS:
-            totals = _wide_sums(rows, features, {s: w[s] for s in active}, gamma, weights, floor)
+        if held_out or len(active) * k * (k + 3) // 2 > MAX_SQL_SUMS:
+            totals = _wide_sums(rows, features, {s: w[s] for s in active}, gamma, weights, floor, held_out)
         else:
             totals = _narrow_sums(rows, x, {s: w[s] for s in active}, gamma, weights, floor)
         moved = dict.fromkeys(active, 0.0)
@@ -104,7 +111,7 @@ def _narrow_sums(rows: DataFrame, x: Sequence[str], w: dict, gamma: float, weigh
     return out
 
 
-def _wide_sums(rows: DataFrame, features: Sequence[str], w: dict, gamma: float, weights: tuple[float, float], floor: float) -> dict:
+def _wide_sums(rows: DataFrame, features: Sequence[str], w: dict, gamma: float, weights: tuple[float, float], floor: float, held_out: bool = False) -> dict:
     """The same sums for many features: NumPy per batch, one row per sum and partition, added up by Spark."""
     names, k = list(features), len(features) + 1
 
@@ -123,8 +130,8 @@ def _wide_sums(rows: DataFrame, features: Sequence[str], w: dict, gamma: float,
             place, y = b["_k"].to_numpy(), b["y"].to_numpy()
             full = np.column_stack([b[names].to_numpy(dtype=float), np.ones(len(b))])
             for s, coef in w.items():
-                for i in np.unique(place):
-                    at = place == i
+                for i in range(len(coef)) if held_out else np.unique(place):
+                    at = place != i if held_out else place == i
                     xs, ys = full[at], y[at]
                     p = np.clip(0.5 * (1 + np.tanh(0.5 * (xs @ coef[i]))), floor, 1 - floor)
                     both = np.concatenate([xs.T @ residual(p, ys, s), (xs.T @ (xs * (p * (1 - p))[:, None])).ravel()])
@@ -185,14 +192,13 @@ def best_loss(table: DataFrame) -> str:
 def out_of_fold(df: DataFrame, features: Sequence[str], k: int = 5, seed: int = 42, **options) -> tuple[DataFrame, list[float]]:
     """Held-out scores of k logistic fits, and the fit on all rows.
 
-    Every fold's fit runs in the same passes: each row is used by all folds but
-    its own. A one-class training part scores its base rate.
+    All folds' fits run in the same passes over one table. A one-class training part scores its base rate.
     """
     placed = settled(folds(df, k, seed), "folds")
-    n_folds = (placed.agg(F.max("fold")).first()[0] or 0) + 1
-    others = F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda f: f != F.col("fold"))
-    train = placed.select("label", *features, F.explode(others).alias("held_out"))
-    fits = fit_by(train.withColumn("held_out", F.col("held_out").cast("string")), "held_out", features, **options)["logistic"]
+    named = placed.select("label", *features, F.col("fold").cast("string").alias("held_out"))
+    fits = fit_by(named, "held_out", features, held_out=True, **options).get("logistic", {})
+    if len(fits) < 2:
+        fits = {}  # nothing to learn from but the fold itself
     score = F.lit(None).cast("double")
     for f, coef in fits.items():
         score = F.when(F.col("fold") == int(f), linear_score(features, coef)).otherwise(score)
@@ -225,34 +231,112 @@ def dirichlet(n: int, samples: int, alpha: float = 1.0, seed: int = 42) -> list[
     return [tuple(map(float, r)) for r in np.random.default_rng(seed).dirichlet([alpha] * n, samples)]
 
 
+def hashed_weights(n: int, samples: int, seed: int | str = 42) -> list[tuple[float, ...]]:
+    """Weight vectors uniform on the simplex, from md5 of ``seed|sample|head``, so any engine can draw the same."""
+    def share(i: int, h: int) -> float:
+        digest = int(hashlib.md5(f"{seed}|{i}|{h}".encode()).hexdigest()[:15], 16)
+        return -math.log((digest + 0.5) / 2.0**60)
+
+    drawn = [[share(i, h) for h in range(n)] for i in range(samples)]
+    return [tuple(v / sum(row) for v in row) for row in drawn]
+
+
+#: Cells of the score axis in the first pass of a weight search, and by how much later passes refine it.
+GRID_CELLS, FINER = 1024, 16
+
+
+def grid_counts(wide: DataFrame, heads: Sequence[str], weights: Sequence[Sequence[float]], cells: int) -> DataFrame:
+    """(candidate, cell, n, pos), counted in the tasks: what is shuffled grows with tasks x candidates x cells, not with rows."""
+    w, names = np.array(weights, dtype=float).T, list(heads)
+
+    def count(batches):
+        n = np.zeros((w.shape[1], cells), np.int64)
+        pos = np.zeros_like(n)
+        for b in batches:
+            x, y = b[names].to_numpy(dtype=float), b["label"].to_numpy()
+            at = np.minimum((np.clip(x @ w, 0.0, 1.0) * cells).astype(np.int64), cells - 1)
+            for c in range(w.shape[1]):
+                n[c] += np.bincount(at[:, c], minlength=cells)
+                pos[c] += np.bincount(at[y == 1, c], minlength=cells)
+        c, k = np.nonzero(n)
+        if len(c):
+            yield pd.DataFrame({"place": c.astype(np.int32), "cell": k.astype(np.int32), "n": n[c, k], "pos": pos[c, k]})
+
+    counted = wide.select("label", *[F.col(h).cast("double").alias(h) for h in heads]).mapInPandas(count, "place INT, cell INT, n BIGINT, pos BIGINT")
+    return counted.groupBy("place", "cell").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+
+
+def grid_bounds(counts: DataFrame) -> DataFrame:
+    """(place, low, high): what the PR of each candidate can be, given its counts per cell.
+
+    Inside a cell the order is unknown: at worst all negatives come first, at best
+    all positives. The window runs over the cells of one candidate.
+    """
+    w = Window.partitionBy("place").orderBy(F.desc("cell"))
+    c = counts.withColumn("_n", F.sum("n").over(w) - F.col("n")).withColumn("_p", F.sum("pos").over(w) - F.col("pos")).withColumn("_all", F.sum("pos").over(Window.partitionBy("place")))
+    worst = F.when(F.col("_n") + F.col("n") - F.col("pos") > 0, F.col("_p") / (F.col("_n") + F.col("n") - F.col("pos"))).otherwise(1.0)
+    best = F.greatest(F.when(F.col("_n") > 0, F.col("_p") / F.col("_n")).otherwise(1.0), F.when(F.col("_n") + F.col("pos") > 0, (F.col("_p") + F.col("pos")) / (F.col("_n") + F.col("pos"))))
+    return c.groupBy("place").agg((F.sum(F.col("pos") * worst) / F.max("_all")).alias("low"), (F.sum(F.col("pos") * best) / F.max("_all")).alias("high"))
+
+
+def contenders(wide: DataFrame, heads: Sequence[str], kept: Sequence[tuple[int, tuple]], extra: dict[int, float], top: int, passes: int = 3) -> list[tuple[int, tuple]]:
+    """Candidates that can be among the ``top`` by PR plus their own extra, by bounds from ever finer cells."""
+    cells = GRID_CELLS
+    for _ in range(passes):
+        if len(kept) <= top:
+            break
+        bounds = {r.place: r for r in grid_bounds(grid_counts(wide, heads, [w for _, w in kept], cells)).collect()}
+        if any(bounds[p].low is None for p in bounds) or not bounds:
+            break  # one class only: no order to speak of
+        low = [bounds[p].low + extra[i] for p, (i, _) in enumerate(kept)]
+        high = [bounds[p].high + extra[i] for p, (i, _) in enumerate(kept)]
+        least = sorted(low, reverse=True)[top - 1] - 1e-9
+        still = [c for c, h in zip(kept, high) if h >= least]
+        done = len(still) == len(kept)
+        kept, cells = still, cells * FINER
+        if done:
+            break
+    return list(kept)
+
+
 def weight_search(
     wide: DataFrame, heads: Sequence[str], candidates: Sequence[Sequence[float]], l2: float = 0.0,
-    prefer: Sequence[str] = (), bonus: float = 0.0, caps: dict[str, float] | None = None, chunk: int = 64,
+    prefer: Sequence[str] = (), bonus: float = 0.0, caps: dict[str, float] | None = None, chunk: int = 64, top: int | None = None,
 ) -> DataFrame:
     """PR and ROC of every candidate weighting, with caps, penalty and preference in the objective.
 
-    Candidates are constants in the plan: each row yields its fused score per
-    candidate, counted per (candidate, score) before the shuffle.
+    With ``top`` only candidates that can be among the best ``top`` come back: bounds
+    from counts per cell of the score axis leave out the others, and only those left
+    are counted by their exact scores. Without it every candidate is.
     """
     at = {h: i for i, h in enumerate(heads)}
     kept = [(i, tuple(w)) for i, w in enumerate(candidates) if all(w[at[h]] <= c + 1e-9 for h, c in (caps or {}).items() if h in at)]
+    if not kept:
+        raise ValueError("no candidate respects the caps")
+    extra = {i: float(bonus * sum(w[at[h]] for h in prefer if h in at) - l2 * sum(v * v for v in w)) for i, w in kept}
+    if top is not None:
+        kept = contenders(wide, heads, kept, extra, top)
     scores = None
     for start in range(0, len(kept), chunk):
         entries = F.array(*[F.struct(F.lit(i).alias("candidate"), weighted_score(heads, w).alias("prob")) for i, w in kept[start : start + chunk]])
         part = wide.select("label", F.inline(entries))
         scores = part if scores is None else scores.unionByName(part)
-    if scores is None:
-        raise ValueError("no candidate respects the caps")
     ranks = m.score_curve(scores, ["candidate"]).groupBy("candidate").agg(m.pr_auc_step_expr().alias("pr_auc"), m.roc_auc_expr().alias("roc_auc"))
     adjust, text = F.lit(0.0), F.lit(None).cast("string")
     for i, w in kept:
-        extra = bonus * sum(w[at[h]] for h in prefer if h in at) - l2 * sum(v * v for v in w)
         here = F.col("candidate") == i
-        adjust = F.when(here, F.lit(float(extra))).otherwise(adjust) if extra else adjust
+        adjust = F.when(here, F.lit(extra[i])).otherwise(adjust) if extra[i] else adjust
         text = F.when(here, F.lit(",".join(f"{v:.6f}" for v in w))).otherwise(text)
     return ranks.select("candidate", text.alias("weights"), "pr_auc", "roc_auc", (F.col("pr_auc") + adjust).alias("objective"))
 
 
+def candidate_scores(wide: DataFrame, heads: Sequence[str], candidates: Sequence[Sequence[float]]) -> DataFrame:
+    """Mean score and Brier score of every candidate weighting, in one aggregate with a few sums per candidate."""
+    gap = lambda c: weighted_score(heads, c) - F.col("label")
+    sums = [F.struct(F.lit(i).alias("candidate"), F.avg(weighted_score(heads, c)).alias("mean_prob"), F.avg(gap(c) * gap(c)).alias("brier")) for i, c in enumerate(candidates)]
+    return wide.agg(F.array(*sums).alias("all")).select(F.inline("all"))
+
+
 def best_weights(scores: DataFrame, n: int = 1) -> DataFrame:
     return scores.orderBy(F.desc("objective"), F.desc("roc_auc"), "candidate").limit(n)
 
@@ -301,17 +385,17 @@ def positive_shares(model, heads: Sequence[str]) -> dict[str, float]:
     return {h: float(c / total) for h, c in zip(heads, coef)}
 
 
-def refine_band(wide: DataFrame, heads: Sequence[str], fused: str, threshold: float, margin: float, holdout: float = 0.30, seed: int = 42):
+def refine_band(wide: DataFrame, heads: Sequence[str], fused: str, threshold: float, margin: float, holdout: float = 0.30, seed: int = 42, least: int = 20) -> DataFrame:
     """Boosted trees inside the band around the threshold, scored on the held-out part of each class.
 
-    Returns refined rows (id, label, prob), or None when the band is too small or has one class.
+    Returns refined rows (id, label, prob); none when the band has fewer than ``least`` rows or one class.
     """
     from pagerisk.operators.running import hash_ranked
 
     band = settled(hash_ranked(wide.filter(F.abs(F.col(fused) - threshold) <= margin), "id", seed, ["label"]), "band")
     c = band.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).first()
-    if c.n < 20 or not 0 < (c.pos or 0) < c.n:
-        return None
+    if c.n < least or not 0 < (c.pos or 0) < c.n:
+        return band.select("id", "label", F.lit(0.0).alias("prob")).limit(0)
     held = F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("rank_of") * holdout))
     x = VectorAssembler(inputCols=list(heads), outputCol="_x").transform(band)
     model = GBTClassifier(featuresCol="_x", labelCol="label", maxDepth=2, maxIter=20, seed=seed).fit(x.filter(~held))

@@ -67,9 +67,9 @@ m AS (SELECT candidate, sum(pos * p0) / max(tp) AS pr, sum(pos * ((tn - tp - cn
 o AS (SELECT m.candidate, pr, roc, pr - 1e-2 * (wu * wu + wt * wt + wd * wd) + 5e-2 * wd AS obj FROM m JOIN cand USING (candidate) WHERE wu <= 75e-2 + 1e-9)"""
 
 
-def search(t):
+def search(t, top=None):
     rows = t.wide().filter("split = 'val'").dropna(subset=["text", "dom"])
-    return fu.weight_search(rows, ["url", "text", "dom"], GRID, l2=0.01, prefer=["dom"], bonus=0.05, caps={"url": 0.75})
+    return fu.weight_search(rows, ["url", "text", "dom"], GRID, l2=0.01, prefer=["dom"], bonus=0.05, caps={"url": 0.75}, top=top)
 
 
 @query("j17_weight_search", SEARCH_SQL + " SELECT candidate, round(pr, 6) AS pr_auc, round(roc, 6) AS roc_auc, round(obj, 6) AS objective FROM o")
@@ -79,13 +79,27 @@ def _(t):
 
 @query("g7_top_candidates", SEARCH_SQL + " SELECT candidate, round(obj, 6) AS objective FROM o ORDER BY obj DESC, roc DESC, candidate LIMIT 5")
 def _(t):
-    return fu.best_weights(search(t), 5).select("candidate", r6("objective", "objective"))
+    return fu.best_weights(search(t, 5), 5).select("candidate", r6("objective", "objective"))
 
 
-@query("j16_dirichlet_search")
+@query("j15_simplex_grid", W + f", cand(candidate, wu, wt, wd) AS (VALUES {CAND_SQL}), sc AS (SELECT candidate, label, greatest(0e0, least(1e0, wu * url + wt * text + wd * dom)) AS score FROM wide, cand WHERE split = 'val' AND text IS NOT NULL AND dom IS NOT NULL) SELECT candidate, round(avg(score), 6) AS mean_prob, round(avg((score - label) * (score - label)), 6) AS brier FROM sc GROUP BY candidate")
 def _(t):
     rows = t.wide().filter("split = 'val'").dropna(subset=["text", "dom"])
-    return fu.weight_search(rows, ["url", "text", "dom"], fu.dirichlet(3, 40)).select("candidate", "weights", r6("pr_auc", "pr_auc"), r6("roc_auc", "roc_auc"))
+    return fu.candidate_scores(rows, ["url", "text", "dom"], GRID).select("candidate", r6("mean_prob", "mean_prob"), r6("brier", "brier"))
+
+
+# The weights are drawn by md5 in both engines.
+DRAWS = 40
+RANDOM_SQL = SEARCH_SQL.replace(f"cand(candidate, wu, wt, wd) AS (VALUES {CAND_SQL})", f"""draw AS (SELECT i, h, -ln((('0x' || substr(md5('42|' || i || '|' || h), 1, 15))::BIGINT + 5e-1) / 1152921504606846976e0) AS e FROM range({DRAWS}) a(i), range(3) b(h)),
+cand AS (SELECT i::INTEGER AS candidate, max(e) FILTER (h = 0) / sum(e) AS wu, max(e) FILTER (h = 1) / sum(e) AS wt, max(e) FILTER (h = 2) / sum(e) AS wd FROM draw GROUP BY i)""")
+
+
+@query("j16_dirichlet_search", RANDOM_SQL + " SELECT candidate, round(wu, 6) AS w_url, round(wt, 6) AS w_text, round(wd, 6) AS w_dom, round(pr, 4) AS pr_auc, round(roc, 4) AS roc_auc FROM m JOIN cand USING (candidate) ORDER BY pr DESC, candidate LIMIT 10")
+def _(t):
+    rows = t.wide().filter("split = 'val'").dropna(subset=["text", "dom"])
+    best = fu.best_weights(fu.weight_search(rows, ["url", "text", "dom"], fu.hashed_weights(3, DRAWS), top=10), 10)
+    part = F.split("weights", ",")
+    return best.select("candidate", *[F.round(part[i].cast("double"), 6).alias(f"w_{h}") for i, h in enumerate(("url", "text", "dom"))], F.round("pr_auc", 4).alias("pr_auc"), F.round("roc_auc", 4).alias("roc_auc"))
 
 
 @query("j18_logistic_stacker")

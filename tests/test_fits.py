@@ -142,6 +142,29 @@ def test_out_of_fold_scores_every_row_once(heads):
     assert len(coef) == 3
 
 
+def test_held_out_fits_equal_fits_on_the_other_rows(heads):
+    _, _, df = heads
+    rows = df.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(3)).cast("string"))
+    fits = fu.fit_by(rows, "fold", ["a", "b"], held_out=True)["logistic"]
+    assert set(fits) == {"0", "1", "2"}
+    for fold, coef in fits.items():
+        assert coef == pytest.approx(fu.fit_logistic(rows.filter(F.col("fold") != fold), ["a", "b"]), abs=1e-4)
+
+
+@pytest.mark.parametrize("top", [1, 4])
+def test_search_by_bounds_finds_the_best_of_the_full_search(heads, top, monkeypatch):
+    _, _, df = heads
+    monkeypatch.setattr(fu, "GRID_CELLS", 64)
+    grid = fu.simplex(2, 21)
+    extra = {"l2": 0.02, "prefer": ["a"], "bonus": 0.01}
+    full = [r.candidate for r in fu.best_weights(fu.weight_search(df, ["a", "b"], grid, **extra), top).collect()]
+    some = fu.weight_search(df, ["a", "b"], grid, top=top, **extra)
+    assert [r.candidate for r in fu.best_weights(some, top).collect()] == full and some.count() < 21
+    bounds = {r.place: r for r in fu.grid_bounds(fu.grid_counts(df, ["a", "b"], grid, 64)).collect()}
+    for r in fu.weight_search(df, ["a", "b"], grid).collect():
+        assert bounds[r.candidate].low - 1e-9 <= r.pr_auc <= bounds[r.candidate].high + 1e-9
+
+
 def test_simplex_and_caps(heads):
     assert len(fu.simplex(3, 5)) == 15 and all(abs(sum(w) - 1) < 1e-9 for w in fu.simplex(4, 4))
     _, _, df = heads
@@ -160,7 +183,7 @@ def test_fusions_and_refiner(heads):
     assert sum(fu.positive_shares(model, ["a", "b", "c"]).values()) == pytest.approx(1.0)
     wide = fu.average(df, ["a", "b", "c"]).withColumnRenamed("prob", "fused")
     assert fu.refine_band(wide, ["a", "b", "c"], "fused", 0.5, 0.2).count() > 0
-    assert fu.refine_band(wide, ["a", "b", "c"], "fused", 0.5, 0.0) is None
+    assert fu.refine_band(wide, ["a", "b", "c"], "fused", 0.5, 0.0).count() == 0
 
 
 def test_cascade_thresholds(spark):
