@@ -129,10 +129,17 @@ def _packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(fold, "doc_id bigint, packed binary")
 
 
-def _unpack(column: pa.Array, words: int) -> list[np.ndarray]:
-    unpacker = zstandard.ZstdDecompressor()
-    texts = pa.array([unpacker.decompress(p.as_py()).decode() for p in column], pa.large_string())
-    return shingle_sets(*utf8(texts), words)
+def _unpack(column: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """Shingle sets of compressed texts, a bounded stretch of text at once."""
+    unpacker, waiting, held = zstandard.ZstdDecompressor(), [], 0
+    for packed in column:
+        waiting.append(unpacker.decompress(packed.as_py()).decode())
+        held += len(waiting[-1])
+        if held > _TEXT_BYTES // 2:
+            yield from shingle_sets(*utf8(pa.array(waiting, pa.large_string())), words)
+            waiting, held = [], 0
+    if waiting:
+        yield from shingle_sets(*utf8(pa.array(waiting, pa.large_string())), words)
 
 
 def confirm(edges: DataFrame, packed: DataFrame, words: int, percent: int) -> DataFrame:
