@@ -30,9 +30,9 @@ from pagerisk.llm.common import hot_join, mix64, settle, shuffle_parts, slices
 #: Phrases of one length known by rank, the longest of them in bytes, bits of the map of the others.
 HEAD, HEAD_BYTES, BITS = 1 << 18, 96, 1 << 26
 #: Ids along a tile, tiles along the corner that may be dense, pairs in a batch that make a tile crowded, dense tiles of a task.
-EDGE, CORNER, CROWD, DENSE = 1024, 64, 16_384, 8
+EDGE, CORNER, CROWD, DENSE = 1024, 64, 16_384, 6
 #: Coordinates, ids and languages held by a task before they are summed or sent.
-HELD, WORDS_HELD, LANGUAGES_HELD = 1_000_000, 500_000, 12
+HELD, WORDS_HELD, LANGUAGES_HELD = 600_000, 400_000, 12
 _TEXT_BYTES = 2 << 20
 _BREAK = b"\xff"  # never part of UTF-8
 _TABLE = bytearray(range(256))
@@ -108,12 +108,12 @@ class PairTiles:
         crowd = np.bincount(tile, minlength=CORNER * CORNER + 1)[:-1]
         for t in np.flatnonzero(crowd >= CROWD).tolist():
             if t not in self.dense and len(self.dense) < dense:
-                self.dense[t] = np.zeros(EDGE * EDGE, np.int64)
+                self.dense[t] = np.zeros(EDGE * EDGE, np.int32)
         rest = np.ones(len(left), bool)
         for t in self.dense:
             if crowd[t]:
                 here = tile == t
-                self.dense[t] += np.bincount((left[here] % EDGE) * EDGE + right[here] % EDGE, minlength=EDGE * EDGE)
+                self.dense[t] += np.bincount((left[here] % EDGE) * EDGE + right[here] % EDGE, minlength=EDGE * EDGE).astype(np.int32)
                 rest &= ~here
         codes, counts = np.unique(left[rest] << 32 | right[rest], return_counts=True)
         self.codes.append(codes)
@@ -144,7 +144,7 @@ class PairTiles:
         for t, cells in self.dense.items():
             at = np.flatnonzero(cells)
             left, right = t // CORNER * EDGE + at // EDGE, t % CORNER * EDGE + at % EDGE
-            codes, counts = [*codes, left << 32 | right], [*counts, cells[at]]
+            codes, counts = [*codes, left << 32 | right], [*counts, cells[at].astype(np.int64)]
         self.__init__()
         code = np.concatenate(codes)
         return code >> 32, code & 0xFFFFFFFF, np.concatenate(counts)
@@ -217,12 +217,13 @@ def ranked_head(counts: DataFrame) -> tuple[list, DataFrame, bytes]:
 class _Level:
     """Phrases of one length in one language: ids from 1 for those known by rank, above them for others met in a task."""
 
-    def __init__(self, phrases: list[str], shorter: _Level | None, words: _Level | None, bits: np.ndarray):
-        self.phrases, self.known, self.bits = [b"", *(p.encode() for p in phrases)], len(phrases), bits
+    def __init__(self, phrases: list[bytes], shorter: _Level | None, words: _Level | None, bits: np.ndarray):
+        self.phrases, self.known, self.bits = [b"", *phrases], len(phrases), bits
+        self.hashes: dict[int, int] = {}  # of those that are part of a phrase not known by rank
         self.shorter, self.words = shorter, words
         if shorter is None:
-            self.ids = {p: i for i, p in enumerate(self.phrases) if i}
-            self.hashes = [0, *map(_word_hash, self.phrases[1:])]
+            self.ids = _Words({p: i for i, p in enumerate(self.phrases) if i})
+            self.ids.level = self
         else:
             cut = [p.rsplit(b" ", 1) for p in self.phrases[1:]]
             # The parts of a known phrase are frequent; those not known by rank get ids now.
@@ -231,7 +232,6 @@ class _Level:
             self.codes = left << 32 | right
             order = np.argsort(self.codes)
             self.codes, self.at = self.codes[order], order + 1
-            self.hashes = [0] * (self.known + 1)
             self.ids = {}
 
     def of(self, phrase: bytes) -> int:
@@ -245,15 +245,13 @@ class _Level:
 
     def _new(self, phrase: bytes, mark: int) -> int:
         self.phrases.append(phrase)
-        self.hashes.append(mark)
+        self.hashes[len(self.phrases) - 1] = mark
         return len(self.phrases) - 1
 
     def number(self, word: bytes) -> int:
         """Id of a word met in a text, 0 if it cannot be frequent."""
         mark = _word_hash(word)
-        out = self._new(word, mark) if len(self.bits) and word != _BREAK and self.bits[mark % BITS] else 0
-        self.ids[word] = out
-        return out
+        return self._new(word, mark) if len(self.bits) and word != _BREAK and self.bits[mark % BITS] else 0
 
     def extend(self, left: np.ndarray, right: np.ndarray, sure: bool = False) -> np.ndarray:
         """Ids of the phrases made of shorter phrases and a next word, 0 where one is not frequent."""
@@ -278,15 +276,15 @@ class _Level:
         return out
 
     def mark(self, at: int) -> int:
-        if not self.hashes[at]:
+        if at not in self.hashes:
             self.hashes[at] = _phrase_hash(self.phrases[at].decode())
         return self.hashes[at]
 
 
 class _Words(dict):
-    def __init__(self, level: _Level):
-        super().__init__(level.ids)
-        self.level = level
+    """Ids of words; one that is met for the first time gets its id from the level."""
+
+    level: _Level
 
     def __missing__(self, word: bytes) -> int:
         self[word] = self.level.number(word)
@@ -299,23 +297,26 @@ def longer_counts(docs: DataFrame, heads: list[tuple[list, bytes]]) -> DataFrame
     ``heads`` has (phrases by rank, map of the others) for lengths 1, 2 and so on.
     """
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(heads)
+    # Phrases hold no line ends, so those of a language travel as one string.
+    compact = []
+    for phrases, bits in heads:
+        own: dict[str, list[str]] = {}
+        for lang, phrase in phrases:
+            own.setdefault(lang, []).append(phrase)
+        compact.append(({lang: "\n".join(p).encode() for lang, p in own.items()}, bits))
+    held = spark.sparkContext.broadcast(compact)
     length, known = len(heads) + 1, []
 
     def levels_of(lang: str) -> list[_Level]:
         levels: list[_Level] = []
         for phrases, bits in known_now():
-            levels.append(_Level(phrases.get(lang, []), levels[-1] if levels else None, levels[0] if levels else None, bits))
+            levels.append(_Level(phrases[lang].split(b"\n") if lang in phrases else [], levels[-1] if levels else None, levels[0] if levels else None, bits))
         return levels
 
-    def known_now() -> list[tuple[dict, np.ndarray]]:
+    def known_now() -> list[tuple[dict[str, bytes], np.ndarray]]:
         """Ranked phrases by language and the map of the others, made once in a task."""
         if not known:
-            for phrases, bits in held.value:
-                own: dict[str, list[str]] = {}
-                for lang, phrase in phrases:
-                    own.setdefault(lang, []).append(phrase)
-                known.append((own, _bits(bits)))
+            known.extend((phrases, _bits(bits)) for phrases, bits in held.value)
         return known
 
     def send(lang: str, levels: list[_Level], tiles: PairTiles) -> Iterator[pa.RecordBatch]:
@@ -334,16 +335,17 @@ def longer_counts(docs: DataFrame, heads: list[tuple[list, bytes]]) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), *parts, pa.array(count[at].astype(np.int64))], ["lang", "low", "word", "phrase", "a"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[str, tuple[list[_Level], _Words, PairTiles]] = {}
+        state: dict[str, tuple[list[_Level], PairTiles]] = {}
         for lang, tokens in by_language(batches):
             if lang not in state:
                 if len(state) >= LANGUAGES_HELD:
-                    for other, (levels, _, tiles) in state.items():
+                    for other, (levels, tiles) in state.items():
                         yield from send(other, levels, tiles)
                     state.clear()
                 levels = levels_of(lang)
-                state[lang] = levels, _Words(levels[0]), PairTiles()
-            levels, words, tiles = state[lang]
+                state[lang] = levels, PairTiles()
+            levels, tiles = state[lang]
+            words = levels[0].ids
             ids = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
             if len(ids) < length:
                 continue
@@ -353,13 +355,13 @@ def longer_counts(docs: DataFrame, heads: list[tuple[list, bytes]]) -> DataFrame
             last = low[1:] if length > 2 else ids[1:]  # the phrase without its first word is frequent too
             low, right = low[:-1], ids[length - 1 :]
             good = (low > 0) & (right > 0) & (last > 0)
-            tiles.add(low[good], right[good], DENSE - sum(len(t.dense) for _, _, t in state.values() if t is not tiles))
+            tiles.add(low[good], right[good], DENSE - sum(len(t.dense) for _, t in state.values() if t is not tiles))
             if tiles.held > HELD // 2:
                 tiles.squeeze()
             if tiles.full() or len(words) > WORDS_HELD + levels[0].known:
                 yield from send(lang, levels, tiles)
                 del state[lang]
-        for lang, (levels, _, tiles) in state.items():
+        for lang, (levels, tiles) in state.items():
             yield from send(lang, levels, tiles)
 
     sent = docs.mapInArrow(scan, "lang string, low int, word int, phrase string, a bigint")
