@@ -3,7 +3,8 @@
 Every document gets the key -ln(u) / weight with u from a hash of its id. The
 documents of a source in ascending key order are a weighted sample without
 replacement at every length, so the prefix whose sizes fill the budget is one.
-Whole epochs come first; only what is left of the target is selected by keys.
+Whole epochs come first; only what is left of the target is selected by keys, past
+documents too long for what is left.
 """
 
 from __future__ import annotations
@@ -52,24 +53,65 @@ def source_targets(sizes: DataFrame, share: float = 1.5, weights: tuple = (3, 1,
     )
 
 
+#: Ranges of the key's logarithm, and the logarithms they span; what lies outside joins the outer ranges.
+RANGES, LOG_LOW, LOG_HIGH = 1 << 14, -40.0, 6.0
+
+
+def fill(base: DataFrame, rests: DataFrame) -> DataFrame:
+    """Which rows the fractional epoch takes: (source, start, stop, gap) for stretches of the key order.
+
+    Rows are gone through in key order, and each that still fits is taken. Between
+    two rows that do not fit that is a prefix sum, so a pass sums the rows that fit
+    by range of the key, finds the range in which the first does not, and looks
+    into that range alone. What is left below the target after it is smaller than
+    that row, so it shrinks from pass to pass until all that fits is taken. A row
+    is taken if its place lies between start and stop of a stretch (NULL: open
+    ends) and its size is at most the stretch's gap.
+    """
+    same = lambda a, b, *more: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in ("source", *more)]
+    state = settle(rests.select("source", F.col("rest").alias("gap"), F.lit(None).cast(base.schema["place"].dataType).alias("start")), "mix-state")
+    stretches = None
+    while True:
+        fits = base.alias("b").join(state.alias("s"), same("b", "s")).filter("b.size <= s.gap AND (s.start IS NULL OR b.place > s.start)").select("b.*", "s.gap")
+        parts = fits.groupBy("source", "part").agg(F.sum("size").alias("part_size"), F.max("gap").alias("gap"))
+        upto = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, 0)
+        parts = parts.withColumn("end", F.sum("part_size").over(upto)).filter("end > gap AND end - part_size <= gap")
+        crossed = settle(parts.select("source", "part", (F.col("end") - F.col("part_size")).alias("before")), "mix-crossed")
+        inside = W.partitionBy("source", "part").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+        near = fits.alias("f").join(crossed.alias("c"), same("f", "c", "part")).select("f.*", "c.before").withColumn("filled", F.col("before") + F.sum("size").over(inside))
+        ends = near.groupBy("source").agg(
+            F.min(F.when(F.col("filled") > F.col("gap"), F.col("place"))).alias("stop"),
+            (F.max("gap") - F.coalesce(F.max(F.when(F.col("filled") <= F.col("gap"), F.col("filled"))), F.max("before"))).alias("left"),
+        )
+        ends = settle(ends, "mix-ends")
+        done = state.alias("s").join(ends.alias("e"), same("s", "e"), "left").select("s.source", "s.start", "e.stop", "s.gap")
+        stretches = settle(done if stretches is None else stretches.union(done), "mix-stretches")
+        state = settle(ends.select("source", F.col("left").alias("gap"), F.col("stop").alias("start")), "mix-state")
+        if state.isEmpty():
+            return stretches
+
+
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple = (3, 1, 2), most: float = 2.0,
-        quality: DataFrame | None = None, seed: str = "mix", buckets: int = 1024) -> DataFrame:
+        quality: DataFrame | None = None, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
     """How many times each document enters the mix.
 
     Returns doc_id, source, size, source_size, target, copies and taken
-    (size x copies). ``quality`` (doc_id, weight > 0) favours documents in the
-    fractional epoch; missing, NULL or not positive weights count as 1. Of the
-    budget left below the last whole document, the largest document that still
-    fits is taken too. NULL text has size 0, NULL sources form one source, NULL
-    ids share one key; rows that repeat are judged one by one, those of equal
-    key by size. No column but doc_id, text and source is looked at.
-
-    A source may own most rows: its order is cut into ``buckets`` ranges of the
-    key, summed per range first, so that no task sees a whole source.
+    (size x copies), and the columns named in ``carry``. ``quality`` (doc_id,
+    weight > 0) favours documents in the fractional epoch; missing, NULL or not
+    positive weights count as 1. The epoch goes through the documents in key order
+    and takes each that still fits, so a long document that does not fit keeps no
+    shorter one out. NULL text has size 0, NULL sources form one source, NULL ids
+    share one key; rows that repeat, also in their id, are judged one by one, those
+    of equal key by id and size. Without ``carry`` no column but doc_id, text and
+    source is looked at.
+
+    A source may own most rows: its order is cut into ranges of the key, summed
+    per range first, so that no task sees a whole source.
     """
     base = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+        *([F.struct(*carry).alias("carried")] if carry else []),
     )
     if quality is not None:
         known = quality.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("weight").cast("double")).alias("weight"))
@@ -78,45 +120,32 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple = (3, 1, 2), most: f
         base = base.withColumn("weight", F.lit(1.0))
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13)
     uniform = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+    at = (F.log("key") - F.lit(LOG_LOW)) / F.lit(LOG_HIGH - LOG_LOW) * F.lit(float(RANGES))
     base = (
         base.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0))
         .withColumn("key", -F.log(uniform) / F.col("weight"))
-        .withColumn("part", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int"))
-        .drop("weight")
+        .withColumn("part", F.greatest(F.lit(0), F.least(F.floor(at), F.lit(RANGES - 1))).cast("int"))
+        # The number tells repeated rows apart; it is written with the row and stays.
+        .withColumn("place", F.struct("key", "doc_id", "size", F.monotonically_increasing_id().alias("row")))
+        .drop("weight", "key")
     )
     base = settle(base, "mix-keys")
 
-    parts = base.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
-    targets = source_targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), share, weights, most)
+    sums = base.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sums, share, weights, most)
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     targets = settle(targets.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-targets")
-
-    before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = parts.withColumn("offset", F.coalesce(F.sum("part_size").over(before), F.lit(0))).drop("part_size")
-    same = lambda a, b, *more: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in ("source", *more)]
-    inside = W.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    placed = (
-        base.alias("b").join(offsets.alias("o"), same("b", "o", "part")).select("b.*", "o.offset")
-        .withColumn("filled", F.col("offset") + F.sum("size").over(inside))
-        .alias("p").join(targets.alias("t"), same("p", "t")).select("p.*", "t.source_size", "t.target", "t.epochs", "t.rest")
-        .withColumn("chosen", F.col("filled") <= F.col("rest"))
-    )
-    placed = settle(placed.drop("part", "offset"), "mix-placed")
-
-    used = placed.groupBy("source").agg(
-        F.max("rest").alias("rest"), F.coalesce(F.max(F.when(F.col("chosen"), F.col("filled"))), F.lit(0)).alias("used"),
-    ).select("source", (F.col("rest") - F.col("used")).alias("gap"))
-    extra = (
-        placed.filter(~F.col("chosen") & (F.col("size") > 0)).alias("p").join(used.alias("u"), same("p", "u"))
-        .filter("p.size <= u.gap").groupBy("p.source")
-        .agg(F.max(F.struct(F.col("p.size").alias("size"), (-F.col("p.key")).alias("key"), F.col("p.doc_id").alias("doc_id"))).alias("top"))
-    )
-    one_more = (F.col("e.top.doc_id").eqNullSafe(F.col("p.doc_id"))) & (F.col("e.top.size") == F.col("p.size")) & ~F.col("p.chosen")
-    done = placed.alias("p").join(extra.alias("e"), same("p", "e"), "left").select(
-        "p.*", (F.col("p.chosen") | F.coalesce(one_more, F.lit(False))).alias("selected"),
+    stretches = fill(base.drop("carried"), targets)
+    taken = stretches.groupBy("source").agg(F.collect_list(F.struct("start", "stop", "gap")).alias("stretches"))
+    facts = targets.alias("t").join(taken.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source"))).select("t.*", "s.stretches")
+    placed = base.alias("p").join(settle(facts, "mix-facts").alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
+    place = F.col("p.place")
+    chosen = F.exists("stretches", lambda s: (s.start.isNull() | (place > s.start)) & (s.stop.isNull() | (place < s.stop)) & (F.col("p.size") <= s.gap))
+    chosen = chosen & (F.col("rest") > 0)  # an empty text fits into nothing, but a full source takes no more of it
+    copies = (F.col("epochs") + chosen.cast("bigint")).cast("bigint")
+    return placed.select(
+        "p.doc_id", "p.source", "p.size", "t.source_size", "t.target", copies.alias("copies"), (F.col("p.size") * copies).alias("taken"), *([f"p.carried.{c}" for c in carry]),
     )
-    copies = (F.col("epochs") + F.col("selected").cast("bigint")).cast("bigint")
-    return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def label_weights(labels: DataFrame) -> DataFrame:
@@ -138,12 +167,11 @@ targets AS (SELECT source, source_size, CASE WHEN level <= 2e0 * source_size / w
       SELECT arg_min(level, rank_level) FROM (SELECT level, row_number() OVER (ORDER BY 2e0 * source_size / weight, rank) AS rank_level, 2e0 * source_size / weight AS ratio FROM levels) WHERE level <= ratio)
     ELSE 2e0 * source_size END AS target FROM levels),
 rests AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM targets),
-placed AS (SELECT s.*, r.source_size, r.target, r.epochs, r.target - r.epochs * r.source_size AS rest,
-    sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) AS filled
+placed AS (SELECT s.*, r.source_size, r.target, r.epochs, r.target - r.epochs * r.source_size AS rest, row_number() OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id NULLS FIRST, s.size) AS rn
   FROM sized s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source),
-gaps AS (SELECT source, max(rest) - coalesce(max(filled) FILTER (WHERE filled <= rest), 0) AS gap FROM placed GROUP BY source),
-extra AS (SELECT p.source, max(ROW(p.size, -p.key, p.doc_id)) AS top FROM placed p JOIN gaps g ON p.source IS NOT DISTINCT FROM g.source
-  WHERE p.filled > p.rest AND p.size > 0 AND p.size <= g.gap GROUP BY p.source),
-mixed AS (SELECT p.*, p.epochs + CASE WHEN p.filled <= p.rest THEN 1
-    WHEN e.top IS NOT NULL AND e.top[3] IS NOT DISTINCT FROM p.doc_id AND e.top[1] = p.size THEN 1 ELSE 0 END AS copies
-  FROM placed p LEFT JOIN extra e ON p.source IS NOT DISTINCT FROM e.source)"""
+it AS (SELECT source, 0 AS i, target - epochs * source_size AS gap, 0::BIGINT AS pos FROM rests UNION ALL
+  SELECT source, i + 1, gap - coalesce(max(filled) FILTER (filled <= gap), 0), min(rn) FILTER (filled > gap) FROM (
+    SELECT it.*, p.rn, sum(p.size) OVER (PARTITION BY it.source ORDER BY p.rn ROWS UNBOUNDED PRECEDING) AS filled FROM it JOIN placed p ON p.source IS NOT DISTINCT FROM it.source AND p.rn > it.pos AND p.size <= it.gap)
+  GROUP BY source, i, gap, pos HAVING min(rn) FILTER (filled > gap) IS NOT NULL),
+stretches AS (SELECT source, gap, pos, lead(pos) OVER (PARTITION BY source ORDER BY i) AS stop FROM it),
+mixed AS (SELECT p.*, p.epochs + CASE WHEN p.rest > 0 AND EXISTS (SELECT 1 FROM stretches s WHERE s.source IS NOT DISTINCT FROM p.source AND p.rn > s.pos AND (s.stop IS NULL OR p.rn < s.stop) AND p.size <= s.gap) THEN 1 ELSE 0 END AS copies FROM placed p)"""

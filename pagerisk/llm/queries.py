@@ -68,7 +68,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-MIX_SQL = f"WITH {MIX_CTE}\nSELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM mixed"
+MIX_SQL = f"WITH RECURSIVE {MIX_CTE}\nSELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM mixed"
 
 
 @query("op7_quality")

@@ -191,6 +191,23 @@ def test_mix_on_hard_rows(spark, tricky):
         assert sum(r["size"] for r in own) == own[0]["source_size"]
         short = own[0]["target"] - sum(r["taken"] for r in own)
         untaken = [r["size"] for r in own if r["size"] and r["copies"] == int(own[0]["target"] // own[0]["source_size"])]
-        assert short > -1e-6 and (not untaken or short < max(untaken))
+        assert short > -1e-6 and (not untaken or short < min(untaken))
     assert sorted(map(str, got)) == sorted(map(str, mix(more.repartition(7), quality=quality).collect()))
     assert mix(tricky.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("case", ["one long document", "repeated rows", "falling sizes"])
+def test_mix_goes_past_documents_that_do_not_fit(spark, case):
+    """Taken words come within 1 % of the target and never above it, also with one very long document or one id for all rows."""
+    texts = {
+        "one long document": [(i, "w " * 100) for i in range(2000)] + [(5000, "x " * 100_000)],
+        "repeated rows": [(7, "w " * 1000)] * 100 + [(8, "x " * 20_000)],
+        "falling sizes": [(i, "w " * (1500 - i)) for i in range(1500)],
+    }[case]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in texts] + [(100_000 + i, "y " * 10, None) for i in range(500)], "doc_id bigint, text string, source string").repartition(3)
+    for seed in ("mix", "other", "third"):
+        got = mix(docs, seed=seed).collect()
+        for source in ("s", None):
+            own = [r for r in got if r["source"] == source]
+            taken, target = sum(r["taken"] for r in own), own[0]["target"]
+            assert 0.99 * target <= taken <= target and max(r["copies"] for r in own) <= 2
