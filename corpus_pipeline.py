@@ -29,10 +29,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
+def one_of_repeats(docs: DataFrame) -> DataFrame:
+    """Of rows with one doc_id and one text, NULL ids being alike and NULL texts empty, the least stays.
+
+    Only the rows of repeated keys are grouped, combined before the shuffle; all others stay where they are.
+    """
+    keyed = docs.withColumn("_text", F.md5(F.coalesce("text", F.lit(""))))
+    repeated = settle(keyed.groupBy("doc_id", "_text").agg(F.count("*").alias("rows")).filter("rows > 1").drop("rows"), "repeated-rows")
+    if repeated.isEmpty():
+        return docs
+    same = [keyed[c].eqNullSafe(repeated[c]) for c in ("doc_id", "_text")]
+    least = keyed.join(repeated, same, "left_semi").groupBy("doc_id", "_text").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return keyed.join(repeated, same, "left_anti").select(*COLUMNS).union(least.select("row.*"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share 80 % of their five-word shingles, directly or through others, the smallest doc_id stays."""
+    """Of documents that share 80 % of their five-word shingles, directly or through others, the smallest doc_id stays.
+
+    Rows that repeat a doc_id and its text stay once, rows without doc_id once for each text.
+    """
     gone = similar_groups(docs, words=5, percent=80).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(settle(gone, "near-duplicates"), "doc_id", "left_anti").select(*COLUMNS)
+    return one_of_repeats(docs.join(settle(gone, "near-duplicates"), "doc_id", "left_anti").select(*COLUMNS))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +59,10 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents occur as often as the mix of sources takes them: not at all, once or twice."""
+    """Documents occur as often as the mix of sources takes them: not at all, once or twice. Each row counts for itself, whatever its id."""
     weights = label_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    taken = mix(docs, quality=weights).groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    both = docs.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")))
-    return both.select("d.*", F.explode(F.sequence(F.lit(1), F.col("t.copies").cast("int"))).alias("copy")).select(*COLUMNS)
+    taken = mix(docs, quality=weights, carry=("text", "lang", "n_chars")).filter("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
