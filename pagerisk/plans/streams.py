@@ -27,7 +27,8 @@ def _(t):
     old = t("pages").filter("url LIKE '%/fr/%'").select("page_id", "url")
     old.write.parquet(f"{base}/master/batch=-1")
     for attempt in range(2):
-        jobs.ingest(stream(t, "pages").select("page_id", "url"), f"{base}/master", f"{base}/log", f"{base}/checkpoint", short, ["page_id"])
+        known = jobs.read_files(t.spark, f"{base}/master/batch=-1", old.schema)
+        jobs.ingest(stream(t, "pages").select("page_id", "url"), f"{base}/master", f"{base}/log", f"{base}/checkpoint", short, ["page_id"], known)
     schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("batch", T.LongType())])
     rows = t.spark.read.schema(schema).parquet(f"{base}/master").filter("batch >= 0")
     return rows.groupBy(short.alias("k")).agg(F.count(F.lit(1)).alias("n"))
@@ -44,14 +45,14 @@ def _(t):
 @query("l3_streaming_breaker", "SELECT user_id AS etld1, count(*) AS timeouts, count(*) >= 14 AS blocked FROM events WHERE event_type = 'error' GROUP BY user_id")
 def _(t):
     base = work_dir(t.spark, "breaker")
-    jobs.upsert(jobs.breaker_counts(outcomes(stream(t, "events")), "etld1", "outcome", 14), f"{base}/out", f"{base}/checkpoint")
+    jobs.upsert(jobs.breaker_counts(outcomes(stream(t, "events")), "etld1", "outcome", 14), f"{base}/out", f"{base}/checkpoint", ["etld1"])
     return jobs.newest(t.spark, f"{base}/out", ["etld1"])
 
 
 @query("l4_streaming_progress", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, CASE event_type WHEN 'error' THEN 'timeout' ELSE 'ok' END AS outcome, count(*) AS n FROM events GROUP BY ALL")
 def _(t):
     base = work_dir(t.spark, "progress")
-    jobs.upsert(jobs.progress_counts(outcomes(stream(t, "events")), "ts", "outcome", "1 hour"), f"{base}/out", f"{base}/checkpoint")
+    jobs.upsert(jobs.progress_counts(outcomes(stream(t, "events")), "ts", "outcome", "1 hour"), f"{base}/out", f"{base}/checkpoint", ["window_start", "outcome"])
     return jobs.newest(t.spark, f"{base}/out", ["window_start", "outcome"]).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "outcome", "n")
 
 
@@ -60,7 +61,7 @@ def _(t):
     base = work_dir(t.spark, "extend")
     known = t("events").filter("event_type IN ('view', 'click')").selectExpr("event_id AS id", "CASE WHEN event_type = 'view' THEN 'train' ELSE 'val' END AS split")
     known.write.parquet(f"{base}/splits/batch=-1")
-    jobs.extend_test_split(stream(t, "events").selectExpr("event_id AS id"), f"{base}/splits", f"{base}/checkpoint")
+    jobs.extend_test_split(stream(t, "events").selectExpr("event_id AS id"), f"{base}/splits", f"{base}/checkpoint", known=jobs.read_files(t.spark, f"{base}/splits/batch=-1", known.schema))
     return t.spark.read.parquet(f"{base}/splits").select("id", "split")
 
 
