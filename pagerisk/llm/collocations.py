@@ -90,7 +90,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 held = {}
         yield from send(held)
 
-    return docs.mapInArrow(scan, "lang string, phrase string, a bigint").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+    return _summed(docs.mapInArrow(scan, "lang string, phrase string, a bigint"), "lang", "phrase")
+
+
+def _summed(sent: DataFrame, *keys: str) -> DataFrame:
+    """Sums over counts that tasks have summed already: dealt out first, so that no task builds a table that hardly shrinks."""
+    return sent.repartition(*keys).groupBy(*keys).agg(F.sum("a").alias("a"))
 
 
 class PairTiles:
@@ -365,7 +370,7 @@ def longer_counts(docs: DataFrame, heads: list[tuple[list, bytes]]) -> DataFrame
             yield from send(lang, levels, tiles)
 
     sent = docs.mapInArrow(scan, "lang string, low int, word int, phrase string, a bigint")
-    return sent.groupBy("lang", "low", "word", "phrase").agg(F.sum("a").alias("a"))
+    return _summed(sent, "lang", "low", "word", "phrase")
 
 
 def _named(counts: DataFrame, heads: list[tuple[list, bytes]]) -> DataFrame:
