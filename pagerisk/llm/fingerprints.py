@@ -1,13 +1,14 @@
 """Homomorphic multiset fingerprints of documents.
 
 A text is the multiset of its paragraphs (lines). Each paragraph is hashed to a
-wide vector of 16-bit lanes, and the fingerprint is the sum of these vectors
-modulo 2^16. So it does not depend on the order of paragraphs, and paragraphs
+wide vector of lanes, and the fingerprint is the sum of these vectors modulo powers
+of two. So it does not depend on the order of paragraphs, and paragraphs
 can be added to or taken from a fingerprint without the text.
 
-The lanes have two parts. The first, IDENTITY lanes, is an extendable-output
-hash of the paragraph: equal sums mean equal multisets. The second, LIKENESS
-lanes, is a signed count of the paragraph's 8-byte windows in hashed places:
+The lanes have two parts. The first, IDENTITY lanes of 16 bits, is an
+extendable-output hash of the paragraph: equal sums mean equal multisets. The second, LIKENESS
+lanes of 32 bits, is a signed count of the paragraph's 8-byte windows in hashed
+places, more than any text has:
 the inner product of two such sums estimates the windows the texts share, so the
 fingerprints alone tell how alike two texts are.
 """
@@ -37,7 +38,7 @@ def paragraphs(text: str) -> list[bytes]:
 def state(parts: Iterable[bytes]) -> np.ndarray:
     """The fingerprint of a multiset of paragraphs, as lanes."""
     parts = list(parts)
-    lanes = np.zeros(IDENTITY + LIKENESS, np.uint16)
+    lanes = np.zeros(IDENTITY + LIKENESS, np.uint32)
     if not parts:
         return lanes
     digests = b"".join(hashlib.shake_128(p).digest(2 * IDENTITY) for p in parts)
@@ -54,33 +55,39 @@ def state(parts: Iterable[bytes]) -> np.ndarray:
         inside[over[(over >= 0) & (over < n)]] = False
         place = place[inside]
     signed = np.bincount(place.astype(np.int64), minlength=2 * LIKENESS)
-    lanes[IDENTITY:] = (signed[:LIKENESS] - signed[LIKENESS:]).astype(np.uint16)
+    lanes[IDENTITY:] = (signed[:LIKENESS] - signed[LIKENESS:]).astype(np.uint32)
+    return lanes
+
+
+def _modulo(lanes: np.ndarray) -> np.ndarray:
+    lanes[:IDENTITY] &= 0xFFFF
     return lanes
 
 
 def added(lanes: np.ndarray, parts: Iterable[bytes]) -> np.ndarray:
-    return lanes + state(parts)
+    return _modulo(lanes + state(parts))
 
 
 def removed(lanes: np.ndarray, parts: Iterable[bytes]) -> np.ndarray:
-    return lanes - state(parts)
+    return _modulo(lanes - state(parts))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Cosine of the likeness lanes between 0 and 1; exactly 1 for equal fingerprints only."""
     if np.array_equal(a, b):
         return 1.0
-    x, y = a[IDENTITY:].view(np.int16).astype(np.float64), b[IDENTITY:].view(np.int16).astype(np.float64)
+    x, y = a[IDENTITY:].view(np.int32).astype(np.float64), b[IDENTITY:].view(np.int32).astype(np.float64)
     size = np.sqrt((x @ x) * (y @ y))
     return float(min(max((x @ y) / size, 0.0), 1 - 1e-9)) if size else 0.0
 
 
 def text_form(lanes: np.ndarray) -> str:
-    return base64.b64encode(lanes.astype("<u2").tobytes()).decode()
+    return base64.b64encode(lanes[:IDENTITY].astype("<u2").tobytes() + lanes[IDENTITY:].astype("<u4").tobytes()).decode()
 
 
 def lanes_of(form: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(form), "<u2").astype(np.uint16)
+    raw = base64.b64decode(form)
+    return np.concatenate([np.frombuffer(raw, "<u2", IDENTITY).astype(np.uint32), np.frombuffer(raw, "<u4", LIKENESS, 2 * IDENTITY)])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

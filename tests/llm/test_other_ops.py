@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import random
 
 import numpy as np
 import pytest
@@ -63,6 +64,17 @@ def test_archive_bytes_follow_the_format():
         warc.parse(records[0].replace(b"text", b"tEXt"))
 
 
+@pytest.mark.parametrize("count,size", [(1, 300), (3, 5_000), (40, 900_000), (5, 4_000_000)])
+def test_every_archive_begins_with_its_dictionary(count, size):
+    rng = random.Random(count)
+    words = [f"word{i}" for i in range(3000)]
+    page = " ".join(rng.choice(words) for _ in range(size // 7))
+    records = [warc.record(i, f"http://a.b/{i}", f"<p>{i} {page[i:]}</p>".encode(), None, False, "2024-01-01T00:00:00Z") for i in range(count)]
+    data = warc.archive(records)
+    assert data[:4] == b"\x5d\x2a\x4d\x18" and int.from_bytes(data[4:8], "little") > 8
+    assert list(warc.read_archive(data)) == records
+
+
 def test_hilbert_neighbours_touch():
     for dims, bits in ((2, 4), (3, 3), (5, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from pagerisk.llm.fingerprints import added, edited_fingerprints, fingerprints, lanes_of, likeness, paragraphs, removed, state
+from pagerisk.llm.fingerprints import added, edited_fingerprints, fingerprints, lanes_of, likeness, paragraphs, removed, state, text_form
 from pagerisk.llm.mixing import mix, source_targets
 from pagerisk.llm.packing import Encoder, pack, pack_documents, step_groups
 from pagerisk.llm.tokens import PrefixCounter, token_counts
@@ -154,6 +154,14 @@ def test_edited_fingerprints_of_few_rows(spark):
     assert edited_fingerprints(one.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a" * 40_000, "0 " * 50_000, "a" * 300_000])
+def test_likeness_of_long_repetitive_texts(text):
+    """Counts beyond 16 bits keep their sign: an edit of such a text stays near to it, its half too."""
+    whole, half, other = (state(paragraphs(t)) for t in (text, text[: len(text) // 2], "quite another text, not like it"))
+    assert likeness(whole, half) > 0.999 and likeness(whole, other) < 0.5
+    assert np.array_equal(lanes_of(text_form(whole)), whole)
+
+
 def water(sizes, weights, share=1.5, most=2.0):
     """Share out by weight, again and again, until no source is above its cap."""
     left, target, open_ = share * sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
