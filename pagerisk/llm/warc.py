@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import struct
 import uuid
@@ -67,27 +68,29 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return "\r\n".join([*fields, "", ""]).encode() + block + b"\r\n\r\n"
 
 
-def train(records: list[bytes], size: int = DICTIONARY_BYTES, sample: int = SAMPLE_BYTES) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from records taken evenly, ``sample`` bytes at most; None where there are too few to train on."""
-    step = max(1, -(-sum(map(len, records)) // sample))
-    chosen = [r[: 128 << 10] for r in records[::step]]
-    if len(chosen) < 8:
-        return None
+def train(records: list[bytes], size: int = DICTIONARY_BYTES, sample: int = SAMPLE_BYTES) -> zstandard.ZstdCompressionDict:
+    """A dictionary from ``sample`` bytes at most, taken evenly over all records.
+
+    Long records are cut into pieces of 128 KB or of a 64th of all bytes, if that is
+    less, so a few of them are enough. Where the trainer still finds nothing to
+    learn, as in a single short record, the pieces themselves are the dictionary.
+    """
+    total = sum(map(len, records))
+    piece, step = min(128 << 10, max(64, total // 64)), max(1, -(-total // sample))
+    places = ((r, at) for r in records for at in range(0, len(r), piece))
+    chosen = [r[at : at + piece] for r, at in itertools.islice(places, 0, None, step)]
     try:
         return zstandard.train_dictionary(min(size, max(1024, sum(map(len, chosen)) // 8)), chosen, k=1024, d=8, level=LEVEL)
     except zstandard.ZstdError:
-        return None
+        return zstandard.ZstdCompressionDict(b"".join(chosen)[-size:], zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def archive(records: list[bytes]) -> bytes:
     """The bytes of an archive: the dictionary in a skippable frame, then a frame for each record."""
     trained = train(records)
     packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_checksum=True, write_content_size=True)
-    parts = []
-    if trained is not None:
-        raw = trained.as_bytes()
-        parts += [struct.pack("<II", DICTIONARY_FRAME, len(raw)), raw]
-    return b"".join([*parts, *map(packer.compress, records)])
+    raw = trained.as_bytes()
+    return b"".join([struct.pack("<II", DICTIONARY_FRAME, len(raw)), raw, *map(packer.compress, records)])
 
 
 def frame_end(data: memoryview, at: int) -> int:
