@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +32,9 @@ FINGERPRINT_WORDS = {
     "fp_audio": ("audiocontext", "offlineaudiocontext"),
     "fp_webrtc": ("rtcpeerconnection", "getusermedia", "enumeratedevices"),
 }
+WINDOWED = {"eval_like": r"\b(?:eval|Function)\b\s*\(", "fromcharcode": r"String\.fromCharCode", "atob": r"\batob\b", "hex": r"\\x[0-9A-Fa-f]{2}"}
+FONT_WORDS = ("measuretext", "font", "enumerat")
+META_REFRESH = r"""(?is)<meta\b[^>]*http[-_]equiv\s*=\s*["']?\s*refresh"""
 PRIVACY_WORDS = "privacy|whoisguard|proxy|redacted"
 SCRIPT_SEPARATOR = "\n\n<sep>\n\n"
 
@@ -102,10 +102,10 @@ def windowed_counters(js: Column, high: float = 7.0) -> dict[str, Column]:
     cut = windows(js)
     hot = F.size(F.filter(F.transform(cut, entropy), lambda e: e > high))
     return {
-        "js_eval_like": u8(count(js, r"\b(?:eval|Function)\b\s*\(") + count(js, TIMER_STRING)),
-        "js_fromcharcode": u8(count(js, r"String\.fromCharCode")),
-        "js_atob": u8(count(js, r"\batob\b")),
-        "js_hex_ratio": u8(count(js, r"\\x[0-9A-Fa-f]{2}") / n * F.lit(255.0)),
+        "js_eval_like": u8(count(js, WINDOWED["eval_like"]) + count(js, TIMER_STRING)),
+        "js_fromcharcode": u8(count(js, WINDOWED["fromcharcode"])),
+        "js_atob": u8(count(js, WINDOWED["atob"])),
+        "js_hex_ratio": u8(count(js, WINDOWED["hex"]) / n * F.lit(255.0)),
         "js_hi_entropy_ratio": u8(hot / F.greatest(F.lit(1), F.size(cut)) * F.lit(255.0)),
     }
 
@@ -121,7 +121,7 @@ def fingerprint_flags(html: Column, js: Column) -> dict[str, Column]:
         return out
 
     flags = {k: any_of(v) for k, v in FINGERPRINT_WORDS.items()}
-    flags["fp_font_enum"] = low.contains("measuretext") | (low.contains("font") & low.contains("enumerat"))
+    flags["fp_font_enum"] = low.contains(FONT_WORDS[0]) | (low.contains(FONT_WORDS[1]) & low.contains(FONT_WORDS[2]))
     return flags
 
 
@@ -159,7 +159,7 @@ def inline_scripts(html: Column) -> Column:
 
 def has_meta_refresh(html: Column) -> Column:
     """C17: a refresh pragma is present."""
-    return html.rlike(r"""(?is)<meta\b[^>]*http[-_]equiv\s*=\s*["']?\s*refresh""")
+    return html.rlike(META_REFRESH)
 
 
 def tokens(s: Column) -> Column:
@@ -222,34 +222,27 @@ def hex_escape(js: Column, key: Column, prob: float = 0.05, seed: int = 42) -> C
     return F.array_join(parts, "")
 
 
-LITERAL = re.compile(r"'([^']{2,}?)'|\"([^\"]{2,}?)\"")
+LITERAL = "(?s)'[^']{2,}?'|\"[^\"]{2,}?\""
 
 
-def split_literals(prob: float = 0.05, seed: int = 42):
+def split_literals(js: Column, key: Column, prob: float = 0.05, seed: int = 42) -> Column:
     """String literals of four or more characters become two joined ones with a given chance.
 
-    A pandas function over (text, key); the draw depends on seed, key and the literal's position.
+    The text is cut at its literals; draw and place of the cut depend on seed, key
+    and the literal's number in the text, so any engine gives the same.
     """
-    import zlib
-
-    literal = LITERAL
-
-    @F.pandas_udf("string")
-    def split(text: pd.Series, key: pd.Series) -> pd.Series:
-        def one(js, k):
-            def repl(m):
-                q, body = m.group(0)[0], m.group(0)[1:-1]
-                draw = zlib.crc32(f"{seed}|{k}|{m.start()}".encode())
-                if len(body) < 4 or draw >= prob * 2**32:
-                    return m.group(0)
-                cut = 1 + draw % (len(body) - 1)
-                return f"{q}{body[:cut]}{q}+{q}{body[cut:]}{q}"
-
-            return None if js is None else literal.sub(repl, js)
-
-        return pd.Series([one(js, k) for js, k in zip(text, key)])
-
-    return split
+    between = F.split(js, LITERAL, -1)
+    literals = F.regexp_extract_all(js, F.lit(LITERAL), F.lit(0))
+
+    def changed(i: Column) -> Column:
+        own = F.get(literals, i)
+        quote, n = F.substring(own, 1, 1), F.length(own) - 2
+        draw = hash60(F.concat(F.lit(f"{seed}|"), key.cast("string"), F.lit("|"), i.cast("string")))
+        cut = F.floor(draw / F.lit(MODULUS)).cast("bigint") % F.greatest(n - 1, F.lit(1)) + 1
+        halves = F.concat(own.substr(F.lit(1), (cut + 1).cast("int")), quote, F.lit("+"), quote, own.substr((cut + 2).cast("int"), F.length(own)))
+        return F.when((n < 4) | (F.pmod(draw, F.lit(MODULUS)) >= int(prob * MODULUS)), own).otherwise(halves)
+
+    return F.array_join(F.transform(between, lambda gap, i: F.concat(gap, F.coalesce(changed(i), F.lit("")))), "")
 
 
 def compact_registration(registrar: Column, created_days: Column, ns_count: Column, cert_age: Column, sans: Column) -> dict[str, Column]:

@@ -67,6 +67,23 @@ def _(t):
     return rows.groupBy("mode", "model", "split", "variant").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("prob"), "mean_prob"))
 
 
+# Two files of each variant; the second holds the rows of odd ids, or all of them for the js head.
+FILES_CTE = VARIANT_CTE + """, fl AS (SELECT *, 'a' AS file FROM v WHERE id % 3 > 0 UNION ALL SELECT *, 'b' FROM v WHERE id % 2 = 1 OR model = 'js'),
+sz AS (SELECT model, split, variant, file, count(*) AS n FROM fl GROUP BY ALL), lg AS (SELECT model, split, variant, arg_max(file, n * 2 + (file = 'b')::INT) AS file FROM sz GROUP BY ALL), kept AS (SELECT fl.* FROM fl JOIN lg USING (model, split, variant, file))"""
+
+
+@query("a14_largest_file_and_full_output", "WITH " + FILES_CTE + """, u AS (SELECT 'mixed' AS mode, * FROM kept k WHERE variant = 'base' OR NOT EXISTS (SELECT 1 FROM kept o WHERE o.model = k.model AND o.split = k.split AND o.variant = 'base') UNION ALL
+ SELECT 'mixed_full', * FROM kept WHERE variant = 'full' UNION ALL SELECT 'strict_full', * FROM kept k WHERE variant = 'full' AND EXISTS (SELECT 1 FROM kept o WHERE o.model = k.model AND o.split = k.split AND o.variant = 'base'))
+SELECT mode, model, split, variant, file, count(*) AS n, round(avg(prob), 6) AS mean_prob FROM u GROUP BY ALL""")
+def _(t):
+    files = F.array_compact(F.array(F.when(F.col("id") % 3 > 0, F.lit("a")), F.when((F.col("id") % 2 == 1) | (F.col("model") == "js"), F.lit("b"))))
+    rows = variants(t).withColumn("file", F.explode(files))
+    out = src.select_files(rows, "mixed").withColumn("mode", F.lit("mixed"))
+    for mode in ("mixed", "strict"):
+        out = out.unionByName(src.unchosen_full(rows, mode).withColumn("mode", F.lit(f"{mode}_full")))
+    return out.groupBy("mode", "model", "split", "variant", "file").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("prob"), "mean_prob"))
+
+
 def stored(t):
     path = work_dir(t.spark, "preds")
     preds = t.preds()

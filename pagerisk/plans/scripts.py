@@ -130,10 +130,16 @@ def _(t):
     return docs(t).select("doc_id", F.md5(sc.hex_escape(F.col("js"), F.col("doc_id"))).alias("escaped_md5"))
 
 
-@query("c31_split_literals")
+# The pattern as an SQL string.
+LITERAL_SQL = sc.LITERAL.replace("'", "''")
+
+
+@query("c31_split_literals", D_CTE + f""", k AS (SELECT doc_id, string_split_regex(js, '{LITERAL_SQL}') AS gaps, regexp_extract_all(js, '{LITERAL_SQL}') AS lits FROM d),
+e AS (SELECT doc_id, unnest(gaps) AS gap, unnest(range(0, len(gaps))) AS i, unnest(list_concat(lits, [''])) AS lit FROM k),
+x AS (SELECT *, length(lit) - 2 AS n, ('0x' || substr(md5('42|' || doc_id || '|' || i), 1, 15))::BIGINT AS draw FROM e), c AS (SELECT *, (draw // 1000003) % greatest(n - 1, 1) + 1 AS cut FROM x)
+SELECT doc_id, md5(string_agg(gap || CASE WHEN n < 4 OR draw % 1000003 >= 500001 THEN lit ELSE lit[:cut + 1] || lit[1] || '+' || lit[1] || lit[cut + 2:] END, '' ORDER BY i)) AS split_md5 FROM c GROUP BY doc_id""")
 def _(t):
-    split = sc.split_literals(0.5, 42)
-    return docs(t).select("doc_id", F.md5(split(F.col("js"), F.col("doc_id").cast("string"))).alias("split_md5"))
+    return docs(t).select("doc_id", F.md5(sc.split_literals(F.col("js"), F.col("doc_id"), 0.5, 42)).alias("split_md5"))
 
 
 @query("c33_compact_registration", """SELECT s_suppkey, floor(s_acctbal)::BIGINT AS tls_not_before_days, s_nationkey::BIGINT AS tls_san_count, s_suppkey * 10 AS rdap_age_days, (s_nationkey + 1)::BIGINT AS rdap_ns_count,

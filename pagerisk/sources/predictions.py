@@ -55,19 +55,36 @@ def choose_variant(preds: DataFrame, precedence: Sequence[str], keys: Sequence[s
 PRECEDENCE = {"strict": ("base", "full"), "extended": ("full", "base"), "mixed": ("base", "full")}
 
 
+def largest_files(preds: DataFrame, keys: Sequence[str] = ("model", "split")) -> DataFrame:
+    """Of several files of one key and variant the one with most rows, the last name among equals."""
+    sizes = preds.groupBy(*keys, "variant", "file").agg(F.count(F.lit(1)).alias("n"))
+    best = settled(sizes.groupBy(*keys, "variant").agg(F.max_by("file", F.struct("n", "file")).alias("file")), "largest-files")
+    return preds.join(best, [*keys, "variant", "file"], "left_semi")
+
+
 def select_files(preds: DataFrame, mode: str = "extended") -> DataFrame:
-    """The primary export for a mode; unknown modes are an error."""
+    """The primary export for a mode; unknown modes are an error. With a ``file`` column the largest file counts."""
     if mode not in PRECEDENCE:
         raise ValueError(f"unknown mode: {mode}")
-    return choose_variant(preds, PRECEDENCE[mode])
+    return choose_variant(largest_files(preds) if "file" in preds.columns else preds, PRECEDENCE[mode])
 
 
 def unchosen_full(preds: DataFrame, mode: str, keys: Sequence[str] = ("model", "split")) -> DataFrame:
-    """Full-variant rows left out of a strict or mixed primary export."""
-    if mode not in ("strict", "mixed"):
-        return preds.limit(0)
-    chosen = variant_choice(preds, PRECEDENCE[mode], keys).filter("variant <> 'full'").drop("variant")
-    return preds.filter("variant = 'full'").join(chosen, list(keys), "left_semi")
+    """The second output of full-variant rows beside a primary export.
+
+    Strict: those of keys that have both variants. Mixed: all full rows, also where
+    they are the primary export for want of a base. Extended: none.
+    """
+    if mode not in PRECEDENCE:
+        raise ValueError(f"unknown mode: {mode}")
+    rows = largest_files(preds, keys) if "file" in preds.columns else preds
+    full = rows.filter("variant = 'full'")
+    if mode == "extended":
+        return full.limit(0)
+    if mode == "mixed":
+        return full
+    based = variant_choice(rows, ("base",), keys).drop("variant")
+    return full.join(based, list(keys), "left_semi")
 
 
 def write_predictions(preds: DataFrame, metadata: DataFrame, path: str) -> None:

@@ -21,11 +21,15 @@ def read_csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def markdown(table: DataFrame, limit: int = 500) -> str:
-    """The first rows of a report as a Markdown table."""
-    rows = table.limit(limit).collect()
+def markdown(table: DataFrame, limit: int | None = None) -> str:
+    """A report as a Markdown table; ``limit`` cuts it and says so below the rows. Large tables are refused."""
+    most = REPORT_ROWS if limit is None else limit
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most and limit is None:
+        raise ValueError("a report is a small table; give a limit to show its first rows")
+    more, rows = len(rows) > most, rows[:most]
     head = ["| " + " | ".join(table.columns) + " |", "|" + " --- |" * len(table.columns)]
-    return "\n".join(head + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
+    return "\n".join(head + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows] + ([f"\nThe first {most} rows."] if more else []))
 
 
 def merge_artifacts(spark: SparkSession, base: str, runs: Sequence[str], schema: str) -> DataFrame:

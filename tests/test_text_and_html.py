@@ -71,9 +71,11 @@ def test_augmentation_is_seeded(spark):
     a, b = (ev(spark, js, lambda c: sc.hex_escape(c, F.lit("id1"), 0.5, s)) for s in (1, 1))
     assert a == b != js and ev(spark, js, lambda c: sc.hex_escape(c, F.lit("id1"), 0.5, 2)) != a
     assert ev(spark, js, lambda c: sc.hex_escape(c, F.lit("id1"), 0.0)) == js
-    split = sc.split_literals(1.0, 3)
-    out = ev(spark, js, lambda c: split(c, F.lit("k")))
+    out = ev(spark, js, lambda c: sc.split_literals(c, F.lit("k"), 1.0, 3))
     assert out != js and out.replace("'+'", "").replace('"+"', "") == js
+    for text in ("", "'ab' 'abc' no literal '", None, "'a\\nb\\nc'", "'" * 4):
+        made = ev(spark, text, lambda c: sc.split_literals(c, F.lit("k"), 1.0, 3))
+        assert (made is None) == (text is None) and (text is None or made.replace("'+'", "") == text)
 
 
 def test_scripts_and_counters(spark):
