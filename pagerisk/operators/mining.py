@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,30 +33,44 @@ def vocabulary(terms: DataFrame, size: int) -> DataFrame:
     return top.withColumn("idx", F.row_number().over(w) - 1)
 
 
+def term_vectors(docs: DataFrame, tokens: str, size: int = 500, key: str = "id") -> tuple[DataFrame, list[str]]:
+    """(key, features): sparse TF-IDF vectors of unit length over the ``size`` commonest terms, and those terms by index.
+
+    One pass counts document frequencies and, as the term NULL, the documents.
+    Only the vocabulary comes to the driver; every row is then weighted where it
+    is. Documents without a term of the vocabulary are left out.
+    """
+    filled = docs.filter(F.size(tokens) > 0)
+    terms = filled.select(F.explode(F.array_append(F.array_distinct(tokens), F.lit(None).cast("string"))).alias("term"))
+    counts = settled(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "document-frequencies")
+    top = counts.filter("term IS NOT NULL").orderBy(F.desc("df"), "term").limit(size).collect()
+    known = [r.term for r in top]
+    if not known:
+        return docs.select(key, array_to_vector(F.array(F.lit(0.0))).alias("features")).limit(0), known
+    total = counts.filter("term IS NULL").first().df
+    idf = Vectors.dense([math.log((1.0 + total) / (1.0 + r.df)) + 1.0 for r in top])
+    counter = CountVectorizerModel.from_vocabulary(known, inputCol=tokens, outputCol="_n")
+    counter.setMinTF(1.0)
+    own = filled.filter(F.exists(tokens, lambda t: t.isin(known))).select(key, tokens)
+    scaled = ElementwiseProduct(scalingVec=idf, inputCol="_n", outputCol="_scaled").transform(counter.transform(own))
+    return Normalizer(p=2.0, inputCol="_scaled", outputCol="features").transform(scaled).select(key, "features"), known
+
+
 def tfidf(docs: DataFrame, tokens: str, size: int = 500, key: str = "id") -> DataFrame:
     """(key, term, idx, weight) with smoothed idf and unit length per document; one row per key."""
-    filled = docs.filter(F.size(tokens) > 0)
-    vocab = settled(vocabulary(filled.select(F.explode(F.array_distinct(tokens)).alias("term")), size), "vocabulary")
-    total = filled.count()
-    idf = F.log(F.lit(1.0 + total) / (1.0 + F.col("df"))) + 1.0
-    # The vocabulary has at most ``size`` rows, so other terms are dropped before anything is shuffled.
-    counts = (
-        filled.select(key, F.size(tokens).alias("len"), F.explode(tokens).alias("term")).join(F.broadcast(vocab), "term")
-        .groupBy(key, "term", "idx", "df").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("len"))
-    )
-    raw = counts.select(key, "term", "idx", (F.col("n") / F.col("len") * idf).alias("raw"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key))) + 1e-12  # at most ``size`` rows per document
-    return raw.select(key, "term", "idx", (F.col("raw") / norm).alias("weight"))
-
-
-def cluster(weights: DataFrame, size: int, k: int = 8, iterations: int = 25, seed: int = 42, key: str = "id") -> DataFrame:
-    """K-means over the weight vectors; (key, cluster)."""
-    pairs = weights.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("m"))  # at most ``size`` entries
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
-    vectors = settled(pairs.select(key, dense.alias("x")), "cluster-vectors").withColumn("features", array_to_vector("x"))
-    n = vectors.limit(k).count()
-    model = KMeans(k=max(2, min(k, n)), maxIter=iterations, seed=seed, initMode="random").fit(vectors)
-    return model.transform(vectors).select(key, F.col("prediction").alias("cluster"))
+    vectors, known = term_vectors(docs, tokens, size, key)
+    rows = vectors.select(key, F.posexplode(vector_to_array("features")).alias("idx", "weight")).filter("weight > 0")
+    return rows.withColumn("term", F.get(F.array(*[F.lit(t) for t in known]), F.col("idx"))).select(key, "term", "idx", "weight")
+
+
+def cluster(vectors: DataFrame, k: int = 8, iterations: int = 25, seed: int = 42, key: str = "id") -> DataFrame:
+    """K-means over sparse weight vectors (key, features); (key, cluster)."""
+    held = settled(vectors.select(key, "features"), "cluster-vectors")
+    n = held.limit(k).count()
+    if not n:
+        return held.select(key, F.lit(0).alias("cluster"))
+    model = KMeans(k=max(2, min(k, n)), maxIter=iterations, seed=seed, initMode="random").fit(held)
+    return model.transform(held).select(key, F.col("prediction").alias("cluster"))
 
 
 def cluster_summary(weights: DataFrame, clusters: DataFrame, terms: int = 15, ids: int = 10, key: str = "id") -> DataFrame:

@@ -44,7 +44,7 @@ def url_docs(t):
 
 @query("j22_url_clusters")
 def _(t):
-    return mi.cluster(mi.tfidf(url_docs(t), "toks", 300), 300, 8)
+    return mi.cluster(mi.term_vectors(url_docs(t), "toks", 300)[0], 8)
 
 
 @query("e34_cluster_summary")
@@ -52,7 +52,7 @@ def _(t):
     from pagerisk.operators.joins import settled
 
     weights = settled(mi.tfidf(url_docs(t), "toks", 300), "weights")
-    clusters = settled(mi.cluster(weights, 300, 8), "clusters")
+    clusters = settled(mi.cluster(mi.term_vectors(url_docs(t), "toks", 300)[0], 8), "clusters")
     return mi.cluster_summary(weights, clusters, 5, 5)
 
 
