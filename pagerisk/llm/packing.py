@@ -33,7 +33,7 @@ STEP_SEQUENCES = 32
 #: Text in a block: the documents that are packed together.
 BLOCK_BYTES = 8 << 20
 #: Words kept in a worker's cache at most; beyond it the cache starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 
 class Encoder:
