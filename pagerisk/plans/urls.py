@@ -108,7 +108,7 @@ def _(t):
 @query("b10_seed_filters", DOMAIN_CTE + """, n AS (SELECT page_id, url, CASE WHEN ip THEN host ELSE string_split(etld1, '.')[1] END AS name FROM d)
 SELECT page_id, url FROM n WHERE NOT (ends_with(name, '-bank') OR ends_with(name, '-shop') OR (regexp_matches(name, '^[0-9]+$') AND length(name) >= 3))""")
 def _(t):
-    return forms(t).filter(~u.skip_seed(F.col("url"), 3, (), ("-bank", "-shop")))
+    return forms(t, HOST_FORMS).filter(~u.skip_seed(F.col("url"), 3, (), ("-bank", "-shop")))
 
 
 @query("b11_fill_only", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE 'computed' END AS prio, length(o_orderstatus) AS added FROM orders")
