@@ -205,3 +205,11 @@ def test_stages(spark, tmp_path):
 
 def test_the_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_one_of_repeated_rows_stays(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "other"), (None, "a b"), (None, "a b"), (None, None), (None, ""), (2, "a b")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 3) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    got = sorted(((r.doc_id, r.text or "", r.source) for r in corpus_pipeline.one_of_repeats(docs).collect()), key=str)
+    assert [g[:2] for g in got] == sorted([(1, "a b"), (1, "other"), (2, "a b"), (None, ""), (None, "a b")], key=str)
+    assert corpus_pipeline.one_of_repeats(docs.limit(0)).count() == 0
