@@ -14,6 +14,7 @@ the total count removes. Both ways give the same exact counts.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql.window import Window
 from pagerisk.llm.common import hot_join, mix64, settle, shuffle_parts, slices
 
 #: Phrases of one length known by rank, the longest of them in bytes, bits of the map of the others.
-HEAD, HEAD_BYTES, BITS = 1 << 18, 96, 1 << 26
+HEAD, HEAD_BYTES, BITS = 1 << 16, 96, 1 << 26
 #: Ids along a tile, tiles along the corner that may be dense, pairs in a batch that make a tile crowded, dense tiles of a task.
 EDGE, CORNER, CROWD, DENSE = 1024, 64, 16_384, 6
 #: Coordinates, ids and languages held by a task before they are summed or sent.
@@ -177,17 +178,18 @@ def frequency_map(phrases: DataFrame) -> bytes:
 
     def packed(bits: np.ndarray) -> Iterator[pa.RecordBatch]:
         if bits.any():
-            yield pa.RecordBatch.from_pydict({"bits": pa.array([pa.compress(np.packbits(bits).tobytes(), codec="zstd", asbytes=True)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"bits": pa.array([pa.compress(bits.tobytes(), codec="zstd", asbytes=True)], pa.binary())})
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS, bool)
+        bits = np.zeros(BITS // 8, np.uint8)
         for batch in batches:
             for phrase in batch.column("phrase").to_pylist():
-                bits[_phrase_hash(phrase) % BITS] = True
+                at = _phrase_hash(phrase) % BITS
+                bits[at >> 3] |= 128 >> (at & 7)
         yield from packed(bits)
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS, bool)
+        bits = np.zeros(BITS // 8, np.uint8)
         for batch in batches:
             for own in batch.column("bits"):
                 bits |= _bits(own.as_py())
@@ -200,9 +202,13 @@ def frequency_map(phrases: DataFrame) -> bytes:
 
 
 def _bits(packed: bytes) -> np.ndarray:
-    if not packed:
-        return np.zeros(0, bool)
-    return np.unpackbits(np.frombuffer(pa.decompress(packed, BITS // 8, "zstd"), np.uint8)).view(bool)
+    """The map, eight marks in a byte."""
+    return np.frombuffer(pa.decompress(packed, BITS // 8, "zstd"), np.uint8) if packed else np.zeros(0, np.uint8)
+
+
+def _marked(bits: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    at = (marks % np.uint64(BITS)).astype(np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def ranked_head(counts: DataFrame) -> tuple[list, DataFrame, bytes]:
@@ -224,7 +230,7 @@ class _Level:
 
     def __init__(self, phrases: list[bytes], shorter: _Level | None, words: _Level | None, bits: np.ndarray):
         self.phrases, self.known, self.bits = [b"", *phrases], len(phrases), bits
-        self.hashes: dict[int, int] = {}  # of those that are part of a phrase not known by rank
+        self.later: list[int] = []  # hashes of the phrases not known by rank
         self.shorter, self.words = shorter, words
         if shorter is None:
             self.ids = _Words({p: i for i, p in enumerate(self.phrases) if i})
@@ -250,13 +256,14 @@ class _Level:
 
     def _new(self, phrase: bytes, mark: int) -> int:
         self.phrases.append(phrase)
-        self.hashes[len(self.phrases) - 1] = mark
+        self.later.append(mark)
         return len(self.phrases) - 1
 
     def number(self, word: bytes) -> int:
         """Id of a word met in a text, 0 if it cannot be frequent."""
         mark = _word_hash(word)
-        return self._new(word, mark) if len(self.bits) and word != _BREAK and self.bits[mark % BITS] else 0
+        at = mark % BITS
+        return self._new(word, mark) if len(self.bits) and word != _BREAK and self.bits[at >> 3] >> (7 - (at & 7)) & 1 else 0
 
     def extend(self, left: np.ndarray, right: np.ndarray, sure: bool = False) -> np.ndarray:
         """Ids of the phrases made of shorter phrases and a next word, 0 where one is not frequent."""
@@ -271,19 +278,31 @@ class _Level:
         if len(open_):
             codes, where = np.unique(code[open_], return_inverse=True)
             found = np.zeros(len(codes), np.int64)
-            marks = _longer_hash(np.array([self.shorter.mark(c >> 32) for c in codes.tolist()], np.uint64), np.array([self.words.mark(c & 0xFFFFFFFF) for c in codes.tolist()], np.uint64))
-            for i, (c, mark) in enumerate(zip(codes.tolist(), marks.tolist(), strict=True)):
-                if c in self.ids:
-                    found[i] = self.ids[c]
-                elif sure or self.bits[mark % BITS]:
-                    found[i] = self.ids[c] = self._new(self.shorter.phrases[c >> 32] + b" " + self.words.phrases[c & 0xFFFFFFFF], mark)
+            marks = _longer_hash(self.shorter.marks(codes >> 32), self.words.marks(codes & 0xFFFFFFFF))
+            for i in range(len(codes)) if sure else np.flatnonzero(_marked(self.bits, marks)).tolist():
+                c = int(codes[i])
+                if c not in self.ids:
+                    self.ids[c] = self._new(self.shorter.phrases[c >> 32] + b" " + self.words.phrases[c & 0xFFFFFFFF], int(marks[i]))
+                found[i] = self.ids[c]
             out[open_] = found[where]
         return out
 
-    def mark(self, at: int) -> int:
-        if at not in self.hashes:
-            self.hashes[at] = _phrase_hash(self.phrases[at].decode())
-        return self.hashes[at]
+    @functools.cached_property
+    def known_marks(self) -> np.ndarray:
+        """Hashes of the phrases known by rank, by id."""
+        if self.shorter is None:
+            return np.array([0, *map(_word_hash, self.phrases[1 : self.known + 1])], np.uint64)
+        out = np.zeros(self.known + 1, np.uint64)
+        out[self.at] = _longer_hash(self.shorter.marks(self.codes >> 32), self.words.marks(self.codes & 0xFFFFFFFF))
+        return out
+
+    def marks(self, ids: np.ndarray) -> np.ndarray:
+        """Hashes of phrases by id."""
+        out = self.known_marks[np.minimum(ids, self.known)]
+        late = ids > self.known
+        if late.any():
+            out[late] = np.array(self.later, np.uint64)[ids[late] - self.known - 1]
+        return out
 
 
 class _Words(dict):
