@@ -72,7 +72,7 @@ def _(t):
     base, p = work_dir(t.spark, "feeds"), t("pages")
     p.selectExpr("page_id AS rank", "concat(' ', url, ' ') AS URL").write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/csv")
     p.selectExpr("page_id AS rank", "regexp_extract(url, '://([^/]*)', 1) AS domain").write.option("header", True).csv(f"{base}/domain")
-    p.selectExpr("explode(array('url', url, '')) AS value").distinct().write.text(f"{base}/lines")
+    p.selectExpr("explode(array('url', url, '')) AS value").write.text(f"{base}/lines")
     parts = [fd.read_urls(t.spark, f"{base}/{k}").select(F.lit(k).alias("kind"), "url") for k in ("csv", "domain", "lines")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
