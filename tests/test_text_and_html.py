@@ -113,6 +113,13 @@ def test_parse_page():
     assert '<body class="B a">' in p["canonical"] and "<!--c-->" in p["canonical"]
 
 
+def test_references_need_their_semicolon():
+    p = parse("<title>a &amp; b &copy &ampc &nope; &#39;&#39 d&amp</title><p class='x&amp;y&lt'>&& &lt;i&gt;</p><!-- &amp --><script>a && b &amp; c</script>")
+    assert p["title"] == "a & b &copy &ampc &nope; '&#39 d&amp"
+    assert p["visible"].endswith("&& <i>") and p["nodes"][1]["classes"] == "x&y&lt"
+    assert p["scripts"][0]["text"] == "a && b &amp; c" and "<!--&amp-->" in p["canonical"]
+
+
 @pytest.mark.parametrize("html", [None, "", "plain text", "<", "</p></div>", "<b><i></b></i>", "<script>never closed"])
 def test_parse_junk(html):
     p = parse(html)
