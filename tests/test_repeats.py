@@ -26,3 +26,7 @@ def beside_sql(spark, tmp_path, name, **changed):
 
 def test_feed_scan_keeps_repeated_urls(spark, tmp_path):
     beside_sql(spark, tmp_path, "a4_any_feed_scan", pages="SELECT page_id * 2 + i AS page_id, url, html FROM pages, (SELECT unnest([0, 1]) AS i)")
+
+
+def test_cut_references_in_titles(spark, tmp_path):
+    beside_sql(spark, tmp_path, "m1_html_features", pages="SELECT page_id, url, replace(html, '</title>', ' &amp</title>') AS html FROM pages")
