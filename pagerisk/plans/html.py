@@ -57,7 +57,7 @@ def _(t):
 
 @query("c17_meta_refresh", H_CTE + " SELECT page_id, regexp_matches(html, '(?i)<meta[^>]*http-equiv=\"?refresh') AS parsed, regexp_matches(html, '(?i)<meta[^>]*http-equiv=\"?refresh') AS by_pattern FROM h")
 def _(t):
-    return hm.with_parsed(pages(t)).select("page_id", hm.cloak_columns(F.col("page"))["has_meta_refresh"].alias("parsed"), sc.has_meta_refresh(F.col("html")).alias("by_pattern"))
+    return hm.with_parsed(pages(t), parts=("pragmas",)).select("page_id", hm.cloak_columns(F.col("page"))["has_meta_refresh"].alias("parsed"), sc.has_meta_refresh(F.col("html")).alias("by_pattern"))
 
 
 ENTITIES = "replace(replace(replace(replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"

@@ -153,3 +153,16 @@ def test_parser_time_grows_with_the_page():
 
     seconds(500)
     assert seconds(8000) < 12 * seconds(2000)
+
+
+def test_pages_leave_the_parser_in_stretches():
+    import pyarrow as pa
+
+    rows = pa.array(["<p>a</p>" * 100, None, "", "<b>z</b>" * 100] * 200)
+    out = list(hm.parse_stretches([rows, rows.slice(0, 0)], ("visible",), pa.struct([("visible", pa.string())]), stretch=8000))
+    assert sum(len(b) for b in out) == 800 and max(len(b) for b in out) <= 20
+    assert [r["visible"] for b in out for r in b.to_pylist()] == [" ".join("a" * 100), "", "", " ".join("z" * 100)] * 200
+
+
+def test_queries_ask_for_the_parts_of_their_columns_only():
+    assert hm.parts_for(["has_meta_refresh"]) == {"pragmas"} and hm.parts_for(["qr_flag", "bitb_like_modal"]) == {"images", "text", "modal_texts"}
