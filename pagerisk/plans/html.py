@@ -46,7 +46,8 @@ def _(t):
 @query("c9_first_login_form", """SELECT page_id, CASE WHEN v = 1 THEN true END AS first_login_method_get, CASE WHEN v = 1 THEN true END AS first_login_cross_origin, CASE WHEN v = 1 THEN starts_with(url, 'http:') END AS first_login_proto_mismatch,
  CASE WHEN v = 1 THEN ('0x' || substr(md5('mail|email|pw|password'), 1, 15))::BIGINT END AS first_login_fp_hash64, CASE WHEN v = 1 THEN ('0x' || substr(md5('a|b|c'), 1, 15))::BIGINT END AS first_login_css_hash64 FROM (SELECT page_id, url, page_id % 4 AS v FROM pages)""")
 def _(t):
-    return hm.with_parsed(pages(t)).select("page_id", *[c.alias(k) for k, c in hm.first_login_columns(F.col("page"), *ctx()).items()])
+    cols = hm.first_login_columns(F.col("page"), *ctx())
+    return hm.with_parsed(pages(t), parts=hm.parts_for(cols)).select("page_id", *[c.alias(k) for k, c in cols.items()])
 
 
 @query("c16_modal_and_qr", "SELECT page_id, page_id % 4 = 3 AS bitb_like_modal, page_id % 4 = 3 AS qr_flag FROM pages")
