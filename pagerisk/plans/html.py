@@ -128,7 +128,7 @@ def _(t):
 def _(t):
     c = hm.icon_columns(F.col("page"), F.col("url"))
     logos = F.array_join(F.transform(c["logo_candidates"], lambda x: F.concat_ws(" ", x.url, x.score.cast("string"), x.from_alt.cast("string"))), ";")
-    return hm.with_parsed(pages(t)).select("page_id", c["fav_rel_count"].alias("fav_rel_count"), c["favicon_url"].alias("favicon_url"), c["fav_cross_origin"].alias("fav_cross_origin"), logos.alias("logos"))
+    return hm.with_parsed(pages(t), parts=hm.parts_for(c)).select("page_id", c["fav_rel_count"].alias("fav_rel_count"), c["favicon_url"].alias("favicon_url"), c["fav_cross_origin"].alias("fav_cross_origin"), logos.alias("logos"))
 
 
 @query("m1_html_features", H_CTE + """ SELECT page_id, CASE WHEN v = 1 THEN 1 WHEN v = 2 THEN 2 ELSE 0 END AS top_form_count, v = 3 AS has_meta_refresh, trim(regexp_replace(regexp_extract(html, '(?is)<script[^>]*>(.*?)</script>', 1), '\\s+', ' ', 'g')) AS js_text,
