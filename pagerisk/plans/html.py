@@ -52,8 +52,8 @@ def _(t):
 
 @query("c16_modal_and_qr", "SELECT page_id, page_id % 4 = 3 AS bitb_like_modal, page_id % 4 = 3 AS qr_flag FROM pages")
 def _(t):
-    cols = hm.cloak_columns(F.col("page"))
-    return hm.with_parsed(pages(t)).select("page_id", *[cols[k].alias(k) for k in ("bitb_like_modal", "qr_flag")])
+    cols, wanted = hm.cloak_columns(F.col("page")), ("bitb_like_modal", "qr_flag")
+    return hm.with_parsed(pages(t), parts=hm.parts_for(wanted)).select("page_id", *[cols[k].alias(k) for k in wanted])
 
 
 @query("c17_meta_refresh", H_CTE + " SELECT page_id, regexp_matches(html, '(?i)<meta[^>]*http-equiv=\"?refresh') AS parsed, regexp_matches(html, '(?i)<meta[^>]*http-equiv=\"?refresh') AS by_pattern FROM h")
