@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagerisk.functions import chars as ch
+
 # Alphabets of the character encoders (index 0 pads, 1 is unknown).
 LETTERS = "abcdefghijklmnopqrstuvwxyz" "ABCDEFGHIJKLMNOPQRSTUVWXYZ" "0123456789"
 URL_ALPHABET = LETTERS + ":/?#[]@!$&'()*+,;=%._-~"
@@ -26,18 +32,53 @@ def ngrams(s: Column, n: int) -> Column:
     return F.when(F.length(s) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def entropy(s: Column) -> Column:
-    """C4: Shannon entropy in bits per character, 0 for an empty string.
-
-    The count of each distinct character is the length lost by removing it,
-    so long texts need no shuffle and no Python.
-    """
+def short_entropy(s: Column) -> Column:
+    """C4 for URLs and the like: the count of each distinct character is the length lost by removing it."""
     n = F.length(s)
     share = F.transform(F.array_distinct(chars(s)), lambda c: (n - F.length(F.replace(s, c, F.lit("")))) / n)
     bits = F.aggregate(share, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
     return F.when(n > 0, bits).otherwise(F.lit(0.0))
 
 
+@cache
+def _entropy():
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from ch.in_stretches(batches, ch.entropy_of, pa.float64())
+
+    return F.arrow_udf(run, "DOUBLE")
+
+
+def entropy(s: Column) -> Column:
+    """C4: Shannon entropy in bits per character, 0 for an empty string; one pass over the text, whatever its alphabet."""
+    return _entropy()(s)
+
+
+@cache
+def _count_of(alphabet: str):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from ch.in_stretches(batches, lambda s: ch.count_of(s, alphabet), pa.int32())
+
+    return F.arrow_udf(run, "INT")
+
+
+def count_of(s: Column, alphabet: str) -> Column:
+    """How many characters belong to an ASCII alphabet that does not hold the question mark."""
+    return _count_of(alphabet)(s)
+
+
+@cache
+def _window_entropies(size: int, step: int):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from ch.in_stretches(batches, lambda s: ch.window_entropies(s, size, step), pa.list_(pa.float64()))
+
+    return F.arrow_udf(run, "ARRAY<DOUBLE>")
+
+
+def window_entropies(s: Column, size: int = 1024, step: int = 512) -> Column:
+    """C4 of each overlapping window, in order."""
+    return _window_entropies(size, step)(s)
+
+
 def encode(s: Column, alphabet: str, max_len: int | None = None) -> Column:
     """Index sequence over an alphabet, unknown characters are 1; ``max_len`` is the fixed model width."""
     text = s if max_len is None else F.substring(s, 1, max_len)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagerisk.functions.suffixes import public_suffix
-from pagerisk.functions.text import chars, entropy
+from pagerisk.functions.text import chars, short_entropy
 
 # Generic URI split: scheme, authority, path, query.
 URI = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
@@ -93,7 +93,7 @@ def shape(url: Column) -> dict[str, Column]:
         "len": n,
         "digit_ratio": F.when(some, digits / n).otherwise(F.lit(0.0)),
         "symbol_ratio": F.when(some, (n - digits - letters) / n).otherwise(F.lit(0.0)),
-        "entropy": entropy(u),
+        "entropy": short_entropy(u),
         "sub_depth": F.greatest(F.lit(0), F.regexp_count(host(u), F.lit(r"\.")) - 1),
     }
 
