@@ -30,3 +30,11 @@ def test_micro_counters_in_one_pass(spark):
     for (_, digits, ratio), s in zip(got, TEXTS, strict=True):
         assert digits == (None if s is None else sum(c in sc.HEX_DIGITS for c in s))
         assert ratio == min(255, math.floor(bits(s) / 8 * 255))
+
+
+@pytest.mark.parametrize("size,step", [(1024, 512), (6, 2), (5, 5)])
+def test_windows_and_their_entropy(spark, size, step):
+    got = each(spark, sc.windows(F.col("x"), size, step), tx.window_entropies(F.col("x"), size, step))
+    for (_, cut, values), s in zip(got, TEXTS, strict=True):
+        want = [s[i : i + size] for i in range(0, len(s or ""), step)] if s else []
+        assert cut == want and values == pytest.approx([bits(w) for w in want])
