@@ -38,3 +38,17 @@ def test_windows_and_their_entropy(spark, size, step):
     for (_, cut, values), s in zip(got, TEXTS, strict=True):
         want = [s[i : i + size] for i in range(0, len(s or ""), step)] if s else []
         assert cut == want and values == pytest.approx([bits(w) for w in want])
+
+
+def test_hex_escape_by_position(spark):
+    got = each(spark, sc.hex_escape(F.col("x"), F.lit("k"), 0.3, 7))
+    row = int(hashlib.md5(b"7|k").hexdigest()[:15], 16) % ch.MODULUS
+    for (_, made), s in zip(got, TEXTS, strict=True):
+        out = None if s is None else ""
+        for i, c in enumerate(s or ""):
+            x = (row + i * 7919) % ch.MODULUS
+            drawn = (x * x % ch.MODULUS * 48271 + i) % ch.MODULUS < int(0.3 * ch.MODULUS)
+            out += f"\\x{ord(c) % 256:02x}" if drawn and unicodedata.category(c)[0] in "LN" else c
+        assert made == out
+    long = "ab9" * 200_000  # positions whose product passes 32 bits
+    assert ch.hex_escaped(long, row, 0) == long and len(ch.hex_escaped(long, row, ch.MODULUS)) == 4 * len(long)
