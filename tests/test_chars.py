@@ -52,3 +52,8 @@ def test_hex_escape_by_position(spark):
         assert made == out
     long = "ab9" * 200_000  # positions whose product passes 32 bits
     assert ch.hex_escaped(long, row, 0) == long and len(ch.hex_escaped(long, row, ch.MODULUS)) == 4 * len(long)
+
+
+def test_heuristics_of_any_text(spark):
+    got = each(spark, sc.heuristics(F.col("x"))["js_entropy"])
+    assert [e for _, e in got] == pytest.approx([bits(s) for s in TEXTS], abs=6e-5)
