@@ -57,3 +57,10 @@ def test_hex_escape_by_position(spark):
 def test_heuristics_of_any_text(spark):
     got = each(spark, sc.heuristics(F.col("x"))["js_entropy"])
     assert [e for _, e in got] == pytest.approx([bits(s) for s in TEXTS], abs=6e-5)
+
+
+def test_results_leave_in_stretches():
+    rows = pa.array(["ab" * 50, None, "", "c"] * 300)
+    out = list(ch.in_stretches([rows, rows.slice(0, 0)], ch.entropy_of, pa.float64(), stretch=1000))
+    assert sum(len(b) for b in out) == 1200 and max(len(b) for b in out) <= 40
+    assert [x for b in out for x in b.to_pylist()] == [1.0, 0.0, 0.0, 0.0] * 300
