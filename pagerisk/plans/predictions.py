@@ -308,11 +308,8 @@ def _(t):
  row_number() OVER (PARTITION BY model, id ORDER BY pos DESC) AS l FROM dup_preds)
 SELECT 'first' AS kept, model, id, label, round(prob, 6) AS prob FROM k WHERE f = 1 UNION ALL SELECT 'last', model, id, label, round(prob, 6) FROM k WHERE l = 1""")
 def _(t):
-    order = ["pos"]
-    preds = t.dup_preds()
-    first = pr.keep_one(preds, ["model", "id"], order).withColumn("kept", F.lit("first"))
-    last = pr.keep_one(preds, ["model", "id"], order, last=True).withColumn("kept", F.lit("last"))
-    return first.unionByName(last).select("kept", "model", "id", "label", r6("prob", "prob"))
+    kept = pr.keep_ends(t.dup_preds(), ["model", "id"], ["pos"])
+    return kept.select("kept", "model", "id", "label", r6("prob", "prob"))
 
 
 @query("f5_dedup_stats", WITH_DUP + """, k AS (SELECT model, id, count(*) AS n FROM dup_preds GROUP BY model, id)

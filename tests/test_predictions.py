@@ -81,3 +81,16 @@ def test_split_checks(spark):
         au.require_splits(df)
     with pytest.raises(ValueError):
         au.require_no_inflation(df.withColumn("id", F.lit(1)).limit(1), df.limit(1).select("split", F.explode(F.array(F.lit(1), F.lit(2))).alias("id")))
+
+
+def test_first_and_last_row_in_one_pass(spark):
+    rows = [("m", i % 3, i * 7 % 10, None if i % 4 == 0 else i, float(i)) for i in range(10)] + [("n", 0, None, 1, 1.0)]
+    df = spark.createDataFrame(rows, "model STRING, id INT, pos INT, label INT, prob DOUBLE")
+    got = {(r.kept, r.model, r.id): (r.pos, r.label, r.prob) for r in pr.keep_ends(df, ["model", "id"], ["pos"]).collect()}
+    want = {("n", 0): [(None, None, None)] * 2}
+    for k in range(3):
+        mine = sorted(r[2:] for r in rows if r[:2] == ("m", k))
+        want["m", k] = [mine[0], mine[-1]]
+    assert got == {(e, *k): v[i] for k, v in want.items() for i, e in enumerate(("first", "last"))}
+    plan = pr.keep_ends(df, ["model", "id"], ["pos"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
