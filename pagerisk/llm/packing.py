@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,14 +36,29 @@ STEP_SEQUENCES = 32
 BLOCK_BYTES = 8 << 20
 #: Words kept in a worker's cache at most; beyond it the cache starts anew.
 CACHE_WORDS = 400_000
+#: Words of letters that are encoded as one text.
+JOINED = 128
+#: Words whose ids are those of their lower-case letters and of the marks behind them: letters that stay single when lower-cased,
+#: and marks that begin neither a contraction nor a special string.
+PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:;=-@\[-`{-~]*)$"
+#: Normal form and words of a tokenizer for which that holds.
+SPLITS_PLAIN = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes, joined from words that are encoded once.
+    """Ids of texts, joined from words that are encoded once.
 
     The tokenizer never joins across white space, neither in its normal form, nor
     in its words, nor in its special strings, so a text may be cut at spaces and
-    line ends.
+    line ends. Where the model marks the ends of words, plain words (letters,
+    then marks) are put together from the ids of their lower-case letters and of
+    their marks, and many runs of letters are encoded as one text.
     """
 
     def __init__(self, path: str):
@@ -50,17 +67,84 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.ends = word_ends(json.loads(self.tokenizer.to_str()))
         self.known: dict[str, bytes] = {"": b""}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def each(self, words: list[str]) -> Iterator[bytes]:
+        for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
+            yield np.array(e.ids, "<u4").tobytes()
+
+    def letters(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of one run of letters each, which end where the ids say so."""
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(group):
+                raise ValueError("words and their ends differ")
+            raw = ids.tobytes()
+            yield from (raw[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False))
+
+    def pieces(self, texts: pa.Array, encode: Callable[[list[str]], Iterator[bytes]]) -> tuple[np.ndarray, list[bytes]]:
+        """For each text the number of its ids in a list of distinct ones."""
+        found = texts.dictionary_encode()
+        distinct = found.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.known]
+        self.known.update(zip(new, encode(new), strict=True))
+        return found.indices.to_numpy(), [self.known[w] for w in distinct]
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one word behind the other, and how many each has."""
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*words).difference(self.known))
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        cut = pc.extract_regex(words, PLAIN if self.ends is not None else "(?P<letters>a)(?P<marks>b)^")
+        plain, rest = np.flatnonzero(cut.is_valid()), np.flatnonzero(cut.is_null())
+        cut = cut.drop_null()
+        low, letters = self.pieces(pc.utf8_lower(cut.field("letters")), self.letters)
+        mark, marks = self.pieces(cut.field("marks"), self.each)
+        other, others = self.pieces(words.take(pa.array(rest)), self.each)
+        # Each word is two pieces: letters and marks, or all of it and nothing.
+        all_pieces = [b"", *letters, *marks, *others]
+        order = np.zeros((len(words), 2), np.int64)
+        order[plain] = np.stack([low + 1, mark + 1 + len(letters)], axis=1)
+        order[rest, 0] = other + 1 + len(letters) + len(marks)
+        sizes = np.fromiter(map(len, all_pieces), np.int64, len(all_pieces)) // 4
+        return gathered(np.frombuffer(b"".join(all_pieces), "<u4"), sizes, order.ravel()), sizes[order].sum(axis=1)
+
+    def ids(self, texts: pa.Array, end: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one text behind the other and ``end`` behind each, and the offsets of the texts in them; NULL is empty."""
+        lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " "), " ")
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+        found = lists.flatten().dictionary_encode()
+        data, sizes = self.words(found.dictionary)
+        # The end is one more word.
+        order = np.insert(found.indices.to_numpy().astype(np.int64), ends, len(sizes))
+        data, sizes = np.append(data, np.array(end, "<u4")), np.append(sizes, len(end))
+        reach = np.cumsum(sizes[order])
+        return gathered(data, sizes, order), np.append(0, reach[ends + np.arange(len(ends))])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit bytes."""
+        data, offsets = self.ids(pa.array(texts, pa.large_string()))
+        return [data[lo:hi].tobytes() for lo, hi in zip(offsets, offsets[1:], strict=False)]
+
+
+def gathered(data: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Stretches of ``data``, which lie in it one behind the other with the given sizes, in the asked order."""
+    starts, n = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    before = np.cumsum(n) - n
+    return data[np.repeat(starts - before, n) + np.arange(int(n.sum()))]
+
+
+def word_ends(spec: dict) -> np.ndarray | None:
+    """For every id whether it ends a word, for lower-case models that split letters from marks as PLAIN does; else None."""
+    suffix, known = spec["model"].get("end_of_word_suffix"), (spec.get("normalizer"), spec.get("pre_tokenizer"))
+    if not suffix or known != SPLITS_PLAIN:
+        return None
+    vocab = spec["model"]["vocab"]
+    out = np.zeros(max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1, bool)
+    out[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+    return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -165,20 +249,20 @@ def pack_documents(docs: DataFrame, model: str = DEFAULT_MODEL, end_id: int = 1,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(public_tokenizers.path(model))
-        end = np.array([end_id], "<u4").tobytes()
         partition, next_id, next_step = TaskContext.get().partitionId(), 0, 0
         for batch in slices(batches, "text", block_bytes):
-            ids = [i + end for i in own.encode([t or "" for t in batch.column("text").to_pylist()])]
+            ids, offsets = own.ids(batch.column("text"), (end_id,))
+            ids, offsets, lengths = memoryview(ids), offsets.tolist(), np.diff(offsets).tolist()
             doc_ids = batch.column("doc_id").to_pylist()
-            packed = pack([len(i) // 4 for i in ids], tiers)
+            packed = pack(lengths, tiers)
             sizes = [sum(n for _, _, n in row) for row in packed]
             steps = step_groups(sizes)
             rows = []
             for number, (row, size, step) in enumerate(zip(packed, sizes, steps, strict=True)):
                 at, tier = 0, size if size & (size - 1) == 0 else tiers[-1]
                 for item, start, n in row:
-                    piece = memoryview(ids[item])[4 * start : 4 * (start + n)]
-                    rows.append((doc_ids[item], start, n, zlib.crc32(piece), len(ids[item]) // 4, (partition << 36) + next_id + number, at, tier, (partition << 36) + next_step + step))
+                    piece = ids[offsets[item] + start : offsets[item] + start + n]
+                    rows.append((doc_ids[item], start, n, zlib.crc32(piece), lengths[item], (partition << 36) + next_id + number, at, tier, (partition << 36) + next_step + step))
                     at += n
             next_id += len(packed)
             next_step += max(steps, default=-1) + 1

@@ -81,6 +81,17 @@ def test_encoder_equals_the_library(texts):
     assert own.encode(every) == want
 
 
+def test_plain_words_share_their_letters_and_marks():
+    own, library = Encoder(public_tokenizers.path("word_bpe_49k.json")), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    own.encode(["Word word, WORD.", "wORD"])
+    assert own.known.keys() == {"", "word", ",", "."}
+    letters = [chr(c) for c in range(65, 256) if chr(c).isalpha()] + ["Élan", "STRASSE", "straße", "µm", "ªº", "dont"]
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()] + ["", "...", "'s", "'", "$$$", "<|endoftext|>", "́", ".'", "≠"]
+    texts = [a + m + a for a in letters for m in marks] + [" ".join(a + m for a in letters for m in marks)]
+    assert own.encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert own.encode([]) == []
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_pack_covers_every_token_once(seed):
     rng = random.Random(seed)
