@@ -25,8 +25,8 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def settle(df: DataFrame, name: str, *kinds: str) -> DataFrame:
+    """Write ``df`` to the shared folder, in a folder for each value of ``kinds``, and read it back.
 
     Cuts the lineage in a place every executor can reach, and lets the context
     cleaner remove the shuffle files of the steps before, so that the disk need
@@ -34,12 +34,20 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     spark, schema = df.sparkSession, df.schema
     path = work_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*kinds).parquet(path)
     if time.monotonic() - _RELEASED.get("at", 0.0) > RELEASE_EVERY:
         release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the folders of a settled table that no later step reads."""
+    spark = table.sparkSession
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Drop references to finished plans, so that their shuffle files can go.
 

@@ -7,10 +7,10 @@ smallest hash. Equal strings have equal anchors at equal places, so
    cut by ranges of hashes; a range tells the shards which hashes occur in
    several documents. All other text is unique and takes no part;
 2. each shard builds suffix arrays over its candidate text, in pieces of bounded
-   size. Neighbours in the array with a common prefix of LENGTH bytes are equal
-   strings; all but those of the smallest document are removed at once. What is
-   left goes, with its context, to the range of its anchor;
-3. a range merges the sorted strings of the shards by binary search, keeps the
+   size. Suffixes that tie for LENGTH bytes are equal strings; all but those of
+   the smallest document are removed at once. What is left goes, with its
+   context, to the range of its anchor;
+3. a range sorts the strings of the shards, whole and window by window, keeps the
    smallest document of each, and reports which of the sent ones are not it;
 4. each shard cuts the reported spans out of its documents.
 
@@ -30,31 +30,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagerisk.llm.common import mix64, settle, shuffle_parts, slices, utf8
-from pagerisk.llm.suffixes import common_prefixes, suffix_array
+from pagerisk.llm.common import discard, mix64, settle, shuffle_parts, slices, utf8
+from pagerisk.llm.suffixes import suffix_groups
 
 LENGTH, ANCHOR = 50, 16
 #: Candidate bytes in one suffix array, and text handled at once.
-PIECE, _TEXT_BYTES = 1 << 20, 2 << 20
+PIECE, _TEXT_BYTES = 1 << 20, 1 << 18
 #: Strings from which on an anchor is hot, and strings of one anchor in a piece from which on the piece counts them.
 HOT, COUNTED = 20_000, 4
 _LAST = (1 << 63) - 1
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first and last window start of every anchor, in text order; windows lie within one text."""
-    none = np.zeros(0, np.int64)
-    if len(data) < LENGTH:
-        return np.zeros(0, np.uint64), none, none
-    n = len(data) - ANCHOR + 1
+def anchor_hashes(data: np.ndarray, places: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Hash of the ANCHOR bytes from every place of ``data``, or from those given, on."""
     data = np.ascontiguousarray(data)
-    low, high = (np.ndarray((n,), "<u8", data, k, (1,)) for k in (0, 8))
+    low, high = (np.ndarray((len(data) - ANCHOR + 1,), "<u8", data, k, (1,))[places] for k in (0, 8))
     with np.errstate(over="ignore"):
         hashes = low * np.uint64(0x9E3779B97F4A7C15)
         hashes += high * np.uint64(0xC2B2AE3D27D4EB4F)
         hashes ^= hashes >> np.uint64(32)
         hashes *= np.uint64(0xD6E8FEB86659FD93)
         hashes ^= hashes >> np.uint64(29)
+    return hashes
+
+
+def scrambled(hashes: np.ndarray) -> np.ndarray:
+    """Smallest hashes are small: scrambled again, they fill all ranges evenly."""
+    return mix64(hashes + np.uint64(1))
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and last window start and place of every anchor, in text order; windows lie within one text."""
+    none = np.zeros(0, np.int64)
+    if len(data) < LENGTH:
+        return np.zeros(0, np.uint64), none, none, none
+    n = len(data) - ANCHOR + 1
+    hashes = anchor_hashes(data)
     # Hash above, place below: the minimum of a window names its leftmost smallest hash.
     place_bits = np.uint64(max(1, int(n).bit_length()))
     least = hashes >> place_bits
@@ -73,12 +84,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     starts = np.flatnonzero(np.cumsum(real[: len(least)]))
     at = (least[starts] & ((np.uint64(1) << place_bits) - np.uint64(1))).astype(np.int64)
     if not len(at):
-        return np.zeros(0, np.uint64), none, none
+        return np.zeros(0, np.uint64), none, none, none
     new = np.concatenate([[True], at[1:] != at[:-1]])
     first = starts[new]
     last = starts[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
-    # Smallest hashes are small: scrambled again, they fill all ranges evenly.
-    return mix64(hashes[at[new]] + np.uint64(1)), first, last
+    return scrambled(hashes[at[new]]), first, last, at[new]
 
 
 def range_cuts(parts: int) -> np.ndarray:
@@ -102,12 +112,15 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBat
                 yield int(shards[lo]), batch.slice(lo, hi - lo)
 
 
-def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union of intervals given in ascending order of start, as maximal runs."""
+def _merged(starts: np.ndarray, ends: np.ndarray, owners: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Union of intervals given in ascending order of start, as maximal runs; those of different owners, which may touch, stay apart."""
     if not len(starts):
         return starts, ends
     reach = np.maximum.accumulate(ends)
-    new = np.concatenate([[True], starts[1:] > reach[:-1]])
+    new = np.ones(len(starts), bool)
+    new[1:] = starts[1:] > reach[:-1]
+    if owners is not None:
+        new[1:] |= owners[1:] != owners[:-1]
     return starts[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
 
 
@@ -122,73 +135,89 @@ def _windows_to_spans(rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
 
 
 def repeats_in_piece(text: np.ndarray, windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Which windows of a piece also start in a smaller document of the piece: suffix array, common prefixes, groups."""
-    array, rank = suffix_array(text, LENGTH)
-    common = common_prefixes(text, array, rank, LENGTH)
-    group = np.cumsum(common < LENGTH)
-    order = np.argsort(rank[windows])
-    found = group[rank[windows[order]]]
-    starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
-    out = np.zeros(len(windows), bool)
-    if len(found):
-        least = np.repeat(np.minimum.reduceat(docs[order], starts), np.diff(np.append(starts, len(found))))
-        out[order] = docs[order] > least
-    return out
+    """Which windows of a piece also start in a smaller document of the piece: groups of equal strings in the suffix array."""
+    found = suffix_groups(text, LENGTH)[1][windows]
+    least = np.full(len(text) + 1, _LAST)
+    np.minimum.at(least, found, docs)
+    return docs > least[found]
 
 
-def window_hashes(data: np.ndarray, step: int = 1) -> np.ndarray:
-    """Hash of the LENGTH bytes from every place of ``data``, or every ``step``-th, on that has as many."""
-    n = (len(data) - LENGTH) // step + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    if n > 0:
-        with np.errstate(over="ignore"):
-            for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
-                out = mix64(out ^ np.ndarray((n,), "<u8", data, k, (step,))) * np.uint64(0x9E3779B97F4A7C15)
-    return out
+def _words(data: np.ndarray, step: int = 1) -> list[np.ndarray]:
+    """Eight-byte numbers that make up the LENGTH bytes from every place of ``data``, or every ``step``-th, on."""
+    n = max((len(data) - LENGTH) // step + 1, 0)
+    return [np.ndarray((n,), "<u8", data, k, (step,)) for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]] if n else []
 
 
-def merge_smallest(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    """Merge two ascending lists of (string, document, place) by binary search; of equal strings the smallest document stays."""
-    keys, docs, places = (x.copy() for x in a)
-    at = np.searchsorted(keys, b[0])
-    same = np.zeros(len(at), bool)
-    inside = at < len(keys)
-    same[inside] = keys[at[inside]] == b[0][inside]
-    hit = at[same]
-    smaller = b[1][same] < docs[hit]
-    docs[hit[smaller]], places[hit[smaller]] = b[1][same][smaller], b[2][same][smaller]
-    new = ~same
-    return np.insert(keys, at[new], b[0][new]), np.insert(docs, at[new], b[1][new]), np.insert(places, at[new], b[2][new])
+def window_hashes(data: np.ndarray, step: int = 1, places: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Hash of the LENGTH bytes from every place of ``data``, or every ``step``-th, or those given, on that has as many."""
+    out = np.zeros(1, np.uint64)
+    with np.errstate(over="ignore"):
+        for word in (words := _words(data, step)):
+            out = mix64(out ^ word[places]) * np.uint64(0x9E3779B97F4A7C15)
+    return out if words else out[:0]
 
 
-def repeats_in_range(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], data: np.ndarray) -> list[np.ndarray]:
-    """For lists of windows (hash, document, place in ``data``), ascending by hash, which occur in a smaller document of any list."""
-    firsts = []
-    for keys, docs, places in lists:
-        order = np.lexsort((docs, keys))
-        new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]]) if len(keys) else np.zeros(0, bool)
-        order = order[new]
-        firsts.append((keys[order], docs[order], places[order]))
-    while len(firsts) > 1:
-        firsts = [merge_smallest(*firsts[i : i + 2]) if i + 1 < len(firsts) else firsts[i] for i in range(0, len(firsts), 2)]
-    keys, docs, places = firsts[0]
-    words = [np.ndarray((len(data) - LENGTH + 1,), "<u8", data, k, (1,)) for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]]
-    out = []
-    for own, own_docs, own_places in lists:
-        at = np.searchsorted(keys, own)
-        found = own_docs > docs[at]
-        hit = np.flatnonzero(found)
-        here, there = own_places[hit], places[at[hit]]
-        for w in hit[~np.logical_and.reduce([v[here] == v[there] for v in words])]:  # equal hashes of different strings: compare bytes
-            text = data[own_places[w] : own_places[w] + LENGTH].tobytes()
-            found[w] = any(
-                d < own_docs[w] and data[p : p + LENGTH].tobytes() == text
-                for k2, d2, p2 in lists for d, p in zip(d2[k2 == own[w]], p2[k2 == own[w]], strict=True)
-            )
-        out.append(found)
+def _least(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each entry one of the same key that has the smallest document."""
+    order = np.argsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    starts, of = np.flatnonzero(new), np.cumsum(new) - 1
+    sorted_docs = docs[order]
+    at = np.flatnonzero(sorted_docs == np.minimum.reduceat(sorted_docs, starts)[of])
+    witness = np.empty(len(starts), np.int64)
+    witness[of[at]] = order[at]
+    out = np.empty(len(order), np.int64)
+    out[order] = witness[of]
     return out
 
 
+def repeats_in_range(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], data: np.ndarray) -> list[np.ndarray]:
+    """For lists of windows (hash, document, place in ``data``), which occur in a smaller document of any list."""
+    keys, docs, places = (np.concatenate(c) for c in zip(*lists, strict=True))
+    if not len(keys):
+        return [np.zeros(0, bool) for _ in lists]
+    least = _least(keys, docs)
+    found = docs > docs[least]
+    hit = np.flatnonzero(found)
+    here, there = places[hit], places[least[hit]]
+    for w in hit[~np.logical_and.reduce([v[here] == v[there] for v in _words(data)])]:  # equal hashes of different strings: compare bytes
+        text = data[places[w] : places[w] + LENGTH].tobytes()
+        others = places[(keys == keys[w]) & (docs < docs[w])]
+        found[w] = any(data[p : p + LENGTH].tobytes() == text for p in others)
+    return np.split(found, np.cumsum([len(k) for k, _, _ in lists])[:-1])
+
+
+def repeats_of_strings(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For strings that lie in ``data`` one behind the other, of at most 2 * LENGTH bytes each: which
+    occur whole in a smaller document, and for the others string and place of each window that does.
+
+    Of equal strings only one of the smallest document is looked into.
+    """
+    begin = np.cumsum(sizes) - sizes
+    ends = begin + sizes - LENGTH
+    key = window_hashes(data, places=begin)
+    least = _least(mix64(key ^ (window_hashes(data, places=ends) << np.uint64(1))), docs)
+    # First and last window make up the string. What only shares the hash stands for itself.
+    equal = np.logical_and.reduce([sizes == sizes[least], *[v[p] == v[p[least]] for v in _words(data) for p in (begin, ends)]])
+    least = np.where(equal, least, np.arange(len(sizes)))
+    whole = docs > docs[least]
+    own = np.flatnonzero(least == np.arange(len(sizes)))
+    count = sizes[own] - LENGTH + 1
+    before = np.cumsum(count) - count
+    string = np.repeat(own, count)
+    step = np.arange(int(count.sum())) - np.repeat(before, count)
+    place = begin[string] + step
+    found = np.flatnonzero(repeats_in_range([(window_hashes(data, places=place), docs[string], place)], data)[0])
+    # Copies in the same document share what was found.
+    hits = np.bincount(string[found], minlength=len(sizes))
+    first = np.cumsum(hits) - hits
+    of = np.flatnonzero(~whole & (hits[least] > 0))
+    n = hits[least[of]]
+    at = np.repeat(first[least[of]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return whole, np.repeat(of, n), step[found][at]
+
+
 def repeated_windows(hashes: np.ndarray, windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Which windows (hash and bytes of each) also start in a smaller document of those given."""
     # The hash puts equal windows together, the bytes tell those of equal hash apart.
@@ -200,6 +229,15 @@ def repeated_windows(hashes: np.ndarray, windows: np.ndarray, docs: np.ndarray)
     return out
 
 
+def _shrunk(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), "zstd", asbytes=True)
+
+
+def _grown(blob: pa.BinaryScalar, size: int) -> np.ndarray:
+    """The ``size`` bytes behind what ``_shrunk`` gave."""
+    return np.frombuffer(pa.decompress(blob.as_buffer(), size, "zstd"), np.uint8)
+
+
 def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every byte covered by a LENGTH-byte string that also starts in a document with a smaller doc_id.
 
@@ -252,7 +290,7 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
                 shard, hashes, owners = own, [], []
             for piece in slices(iter([batch]), "text", _TEXT_BYTES):
                 data, offsets = utf8(piece.column("text"))
-                value, first, _ = anchors(data, offsets)
+                value, first, _, _ = anchors(data, offsets)
                 hashes.append(value)
                 owners.append(piece.column("order").to_numpy()[np.searchsorted(offsets, first, "right") - 1])
         yield from flush()
@@ -274,7 +312,7 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
     asked = with_notes(None, []).mapInArrow(send_anchors, "part int, shard int, hashes binary, several binary")
     repeated = settle(asked.groupBy("part").applyInArrow(answer, "shard int, hashes binary"), "repeated-anchors")
 
-    # Rows of the next step: spans for a shard, or strings for a range.
+    # Rows of the next step: spans for a shard, or strings for a range. Sizes of strings hold the place of the anchor in their high byte.
     sent_schema = "shard int, part int, blob binary, docs binary, row_ids binary, starts binary, sizes binary"
     sent_names = ["shard", "part", "blob", "docs", "row_ids", "starts", "sizes"]
 
@@ -292,7 +330,7 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
             text = np.concatenate([w[0] for w in waiting])
             # Candidate segments overlap where anchors follow one another: windows are counted once.
             shift = np.cumsum([0, *[len(w[0]) for w in waiting[:-1]]])
-            value, doc, row, start, first, count = (np.concatenate([w[k] + (s if k == 5 else 0) for w, s in zip(waiting, shift, strict=True)]) for k in (1, 2, 3, 4, 5, 6))
+            value, doc, row, start, first, count, place = (np.concatenate([w[k] + (s if k == 5 else 0) for w, s in zip(waiting, shift, strict=True)]) for k in (1, 2, 3, 4, 5, 6, 7))
             begin = np.cumsum(count) - count
             of = np.repeat(np.arange(len(count)), count)
             step = np.arange(int(count.sum())) - begin[of]
@@ -315,8 +353,8 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
                     sizes = count[chosen] + LENGTH - 1
                     at = np.repeat(first[chosen] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([text[at].tobytes()], pa.binary()),
-                        *[pa.array([x.tobytes()], pa.binary()) for x in (doc[chosen], row[chosen], start[chosen].astype("<i8"), sizes.astype("<u2"))],
+                        pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([_shrunk(text[at])], pa.binary()),
+                        *[pa.array([x.tobytes()], pa.binary()) for x in (doc[chosen], row[chosen], start[chosen].astype("<i8"), (sizes | place[chosen] << 8).astype("<u2"))],
                     ], sent_names)
 
         for own, batch in _runs(batches):
@@ -332,27 +370,21 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
                 table = np.unique(np.concatenate(notes)) if notes else np.zeros(0, np.uint64)
             for piece in slices(iter([texts]), "text", _TEXT_BYTES) if len(table) else ():
                 data, offsets = utf8(piece.column("text"))
-                value, first, last = anchors(data, offsets)
+                value, first, last, place = anchors(data, offsets)
                 known = _member(value, table)
-                value, first, last = value[known], first[known], last[known]
+                value, first, last, place = value[known], first[known], last[known], place[known]
                 if not len(value):
                     continue
                 doc_at = np.searchsorted(offsets, first, "right") - 1
                 # Candidate text: the union of all windows, document by document.
-                seg_start, seg_end = [], []
-                for lo in np.flatnonzero(np.concatenate([[True], doc_at[1:] != doc_at[:-1]])):
-                    hi = np.searchsorted(doc_at, doc_at[lo], "right")
-                    s, e = _merged(first[lo:hi], last[lo:hi] + LENGTH)
-                    seg_start.append(s)
-                    seg_end.append(e)
-                seg_start, seg_end = np.concatenate(seg_start), np.concatenate(seg_end)
+                seg_start, seg_end = _merged(first, last + LENGTH, doc_at)
                 sizes = seg_end - seg_start
                 before = np.cumsum(sizes) - sizes
                 text = data[np.repeat(seg_start - before, sizes) + np.arange(int(sizes.sum()))]
                 seg = np.searchsorted(seg_start, first, "right") - 1
                 in_text = first - seg_start[seg] + before[seg]
                 orders, row_ids = piece.column("order").to_numpy(), piece.column("row").to_numpy()
-                one = (text, value, orders[doc_at], row_ids[doc_at], first - offsets[doc_at], in_text, last - first + 1)
+                one = (text, value, orders[doc_at], row_ids[doc_at], first - offsets[doc_at], in_text, last - first + 1, place - first)
                 if waiting and size + len(text) > PIECE:
                     yield from flush()
                     waiting, size = [], 0
@@ -360,56 +392,27 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
                 size += len(text)
         yield from flush()
 
-    found = settle(with_notes(repeated, ["hashes"]).mapInArrow(search, sent_schema), "repeated-strings")
+    sent = with_notes(repeated, ["hashes"]).mapInArrow(search, sent_schema)
+    found = settle(sent.withColumn("kind", F.least("part", F.lit(0))), "repeated-strings", "kind")
+    discard(repeated)
+
+    def spans_of(spans: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Spans (row, start, end) by the shards of their rows."""
+        shard = spans[0] % parts
+        for one in np.unique(shard).tolist():
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([one], pa.int32()), "blob": [spans[:, shard == one].astype("<i8").tobytes()]})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Whole strings first: of equal ones only that of the smallest document is looked into.
-        sent, best = [], {}
+        blobs, sent = [], []
         for batch in batches:
-            for shard, *columns in zip(*(batch.column(c) for c in ("shard", "blob", "docs", "row_ids", "starts", "sizes")), strict=True):
-                blob = columns[0].as_py()
-                doc, row, start, size = (np.frombuffer(v.as_buffer(), kind).astype(np.int64) for v, kind in zip(columns[1:], ("<i8", "<i8", "<i8", "<u2"), strict=True))
-                ends = np.cumsum(size)
-                texts = [blob[lo:hi] for lo, hi in zip((ends - size).tolist(), ends.tolist(), strict=True)]
-                for text, d in zip(texts, doc.tolist(), strict=True):
-                    known = best.get(text)
-                    if known is None or d < known[0]:
-                        best[text] = d, len(sent)
-                sent.append((shard.as_py(), texts, doc, row, start, size))
-        # Distinct strings, listed by the row that sent the smallest document's; places are those in the joined bytes.
-        by_sender: dict[int, list[bytes]] = {}
-        for text, (_, sender) in best.items():
-            by_sender.setdefault(sender, []).append(text)
-        data = np.frombuffer(b"".join(t for texts in by_sender.values() for t in texts), np.uint8)
-        hashes, lists, order_of, base = window_hashes(data), [], [], 0
-        for texts in by_sender.values():
-            size = np.array([len(t) for t in texts], np.int64)
-            count = size - LENGTH + 1
-            before = np.cumsum(count) - count
-            place = np.arange(int(count.sum())) + np.repeat(base + np.cumsum(size) - size - before, count)
-            order = np.argsort(hashes[place])
-            lists.append((hashes[place][order], np.repeat(np.array([best[t][0] for t in texts], np.int64), count)[order], place[order]))
-            order_of.append(order)
-            base += int(size.sum())
-        hits: dict[bytes, np.ndarray] = {}
-        for texts, order, found_sorted in zip(by_sender.values(), order_of, repeats_in_range(lists, data), strict=True):
-            found = np.empty(len(order), bool)
-            found[order] = found_sorted
-            count = np.array([len(t) for t in texts], np.int64) - LENGTH + 1
-            before = np.cumsum(count) - count
-            for k in np.flatnonzero(np.logical_or.reduceat(found, before)):
-                hits[texts[k]] = np.flatnonzero(found[before[k] : before[k] + count[k]])
-        for shard, texts, doc, row, start, size in sent:
-            whole = doc > np.array([best[t][0] for t in texts], np.int64)
-            spans = [(row[whole], start[whole], start[whole] + size[whole])]
-            part = [(k, hits[texts[k]]) for k in np.flatnonzero(~whole) if texts[k] in hits]
-            if part:
-                at = np.array([k for k, _ in part])
-                n = np.array([len(w) for _, w in part])
-                spans.append(_windows_to_spans(np.repeat(row[at], n), np.repeat(start[at], n) + np.concatenate([w for _, w in part])))
-            blob = np.concatenate([np.stack(x) for x in spans], axis=1)
-            if blob.shape[1]:
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "blob": [blob.astype("<i8").tobytes()]})
+            for blob, *columns in zip(*(batch.column(c) for c in sent_names[2:]), strict=True):
+                sent.append([np.frombuffer(v.as_buffer(), kind).astype(np.int64) for v, kind in zip(columns, ("<i8", "<i8", "<i8", "<u2"), strict=True)])
+                blobs.append(_grown(blob, int((sent[-1][3] & 255).sum())))
+        data, (doc, row, start, size) = np.concatenate(blobs), (np.concatenate(c) for c in zip(*sent, strict=True))
+        size &= 255
+        whole, string, step = repeats_of_strings(data, size, doc)
+        spans = [np.stack([row[whole], start[whole], (start + size)[whole]]), np.stack(_windows_to_spans(row[string], start[string] + step))]
+        yield from spans_of(np.concatenate(spans, axis=1))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -417,37 +420,34 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
                 yield pa.RecordBatch.from_pydict({"anchor": np.frombuffer(anchor.as_buffer(), "<i8").copy(), "n": np.frombuffer(n.as_buffer(), "<i8").copy()})
 
     # What pieces do not count are less than COUNTED strings of an anchor per piece.
-    often = found.filter("part = -2").select("blob", "docs").mapInArrow(counted, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
+    often = found.filter("kind = -2").select("blob", "docs").mapInArrow(counted, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
     hot = np.sort(np.array([r["anchor"] for r in often.filter(F.col("n") > HOT).select("anchor").collect()], np.int64).view(np.uint64))
 
     def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """Shard, range, bytes, end of each string in them, docs, rows, starts, sizes, and which strings have a hot anchor."""
         for batch in batches:
             for shard, part, *columns in zip(*(batch.column(c) for c in sent_names), strict=True):
-                data = np.frombuffer(columns[0].as_buffer(), np.uint8)
                 doc, row, start, size = (np.frombuffer(v.as_buffer(), kind).astype(np.int64) for v, kind in zip(columns[1:], ("<i8", "<i8", "<i8", "<u2"), strict=True))
-                ends = np.cumsum(size)
-                value, first, _ = anchors(data, np.append(0, ends))
-                yield shard.as_py(), part.as_py(), data, ends, doc, row, start, size, _member(value[np.searchsorted(first, ends - size)], hot)
+                mixed, size = size, size & 255
+                data, ends = _grown(columns[0], int(size.sum())), np.cumsum(size)
+                yield shard.as_py(), part.as_py(), data, ends, doc, row, start, mixed, _member(scrambled(anchor_hashes(data, ends - size + (mixed >> 8))), hot)
 
-    def cold_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, part, data, _, doc, row, start, size, is_hot in parted(batches):
+    def taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Strings of other anchors as they are; windows of the strings of hot anchors, for ranges of their own."""
+        for shard, part, data, ends, doc, row, start, size, is_hot in parted(batches):
             cold = ~is_hot
             if cold.any():
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([data[np.repeat(cold, size)].tobytes()], pa.binary()),
+                    pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([_shrunk(data[np.repeat(cold, size & 255)])], pa.binary()),
                     *[pa.array([x[cold].tobytes()], pa.binary()) for x in (doc, row, start.astype("<i8"), size.astype("<u2"))],
                 ], sent_names)
-
-    def hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, _, data, ends, doc, row, start, size, is_hot in parted(batches):
             of = np.flatnonzero(is_hot)
             hashes = window_hashes(data)
             for few in np.array_split(of, max(1, len(of) // 4096)) if len(of) else ():
-                count = size[few] - LENGTH + 1
+                count = (size[few] & 255) - LENGTH + 1
                 string = np.repeat(few, count)
                 step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                place = (ends - size)[string] + step
+                place = (ends - (size & 255))[string] + step
                 order = np.argsort(hashes[place])
                 string, step, place = string[order], step[order], place[order]
                 bounds = [0, *np.searchsorted(hashes[place], string_cuts), len(place)]
@@ -455,32 +455,32 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
                     if hi > lo:
                         s, p = string[lo:hi], place[lo:hi]
                         yield pa.RecordBatch.from_arrays([
-                            pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([data[p[:, None] + np.arange(LENGTH)].tobytes()], pa.binary()),
+                            pa.array([shard], pa.int32()), pa.array([-1 - part], pa.int32()), pa.array([_shrunk(data[p[:, None] + np.arange(LENGTH)])], pa.binary()),
                             *[pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (doc[s], row[s], start[s] + step[lo:hi])], pa.nulls(1, pa.binary()),
                         ], sent_names)
 
     def merge_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, columns = [], []
+        columns = []
         for batch in batches:
-            for shard, *blobs in zip(*(batch.column(c) for c in ("shard", "blob", "docs", "row_ids", "starts")), strict=True):
-                shards.append(shard.as_py())
-                columns.append([np.frombuffer(b.as_buffer(), kind).copy() for b, kind in zip(blobs, (f"S{LENGTH}", "<i8", "<i8", "<i8"), strict=True)])
+            for blob, *ids in zip(*(batch.column(c) for c in ("blob", "docs", "row_ids", "starts")), strict=True):
+                ids = [np.frombuffer(b.as_buffer(), "<i8").copy() for b in ids]
+                columns.append([_grown(blob, LENGTH * len(ids[0])).view(f"S{LENGTH}"), *ids])
         windows, doc, row, start = (np.concatenate(c) for c in zip(*columns, strict=True))
         hashes = window_hashes(windows.view(np.uint8), LENGTH)
         gone = repeated_windows(hashes, windows, doc)
-        shard = np.repeat(np.array(shards), [len(c[0]) for c in columns])
-        for one in np.unique(shard[gone]).tolist():
-            at = np.flatnonzero(gone & (shard == one))
-            blob = np.stack(_windows_to_spans(row[at], start[at])).astype("<i8")
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([one], pa.int32()), "blob": [blob.tobytes()]})
+        yield from spans_of(np.stack(_windows_to_spans(row[gone], start[gone])))
+
+    def merge_part(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from (merge if key[0].as_py() >= 0 else merge_windows)(batches)
 
-    strings = found.filter("part >= 0")
+    strings = found.filter("kind = 0").select(*sent_names)
     if len(hot):
-        crossed = strings.mapInArrow(cold_strings, sent_schema).groupBy("part").applyInArrow(merge, "shard int, blob binary")
-        crossed = crossed.union(strings.mapInArrow(hot_windows, sent_schema).groupBy("part").applyInArrow(merge_windows, "shard int, blob binary"))
-    else:
-        crossed = strings.groupBy("part").applyInArrow(merge, "shard int, blob binary")
-    spans = settle(found.filter("part = -1").select("shard", "blob").union(crossed), "repeated-spans")
+        # Only the ranges of hot anchors are taken apart.
+        here = F.col("part").isin(np.unique(np.searchsorted(string_cuts, hot, "right")).tolist())
+        strings = strings.filter(~here).union(strings.filter(here).mapInArrow(taken_apart, sent_schema))
+    crossed = strings.groupBy("part").applyInArrow(merge_part, "shard int, blob binary")
+    spans = settle(found.filter("kind = -1").select("shard", "blob").union(crossed), "repeated-spans")
+    discard(found)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, notes, table = None, [], None

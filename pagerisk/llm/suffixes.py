@@ -15,28 +15,34 @@ def _order(major: np.ndarray, minor: np.ndarray, bits: int) -> np.ndarray:
     return np.lexsort((minor, major))
 
 
-def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of ``text`` in the order of their first ``depth`` bytes at least, and the place of each suffix in that order.
+def suffix_groups(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of ``text`` in the order of their first ``depth`` bytes, and for each suffix the number of its group of equals there.
 
     Only groups that still tie are refined: by the group of the suffix h bytes
-    on, with h doubling. A suffix that ends stands before its extensions.
+    on, with h doubling up to the depth. A suffix that ends stands before its extensions.
     """
     n = len(text)
-    key = np.zeros(n, np.int64)
-    for k in range(_FIRST):
-        key[: n - k] += (text[k:].astype(np.int64) + 1) << (9 * (_FIRST - 1 - k)) if n > k else 0
     wide = max(1, int(n - 1).bit_length()) if n else 1
-    if 9 * _FIRST + wide <= 63:
-        packed = np.sort((key << wide) | np.arange(n))
-        array, same = packed & ((1 << wide) - 1), (packed >> wide)[1:] == (packed >> wide)[:-1]
+    if n and depth >= 8 and text.all():
+        # Without zero bytes, zeros behind the end are like no other suffix: eight bytes sort as one number.
+        h, key = 8, np.ndarray((n,), ">u8", np.append(text, np.zeros(8, np.uint8)), 0, (1,)).astype(np.uint64)
+        array = np.argsort(key)
+        key = key[array]
+        same = key[1:] == key[:-1]
     else:
-        array = np.argsort(key, kind="stable")
-        same = key[array][1:] == key[array][:-1]
+        h, key = _FIRST, np.zeros(n, np.int64)
+        for k in range(_FIRST):
+            key[: n - k] += (text[k:].astype(np.int64) + 1) << (9 * (_FIRST - 1 - k)) if n > k else 0
+        if 9 * _FIRST + wide <= 63:
+            packed = np.sort((key << wide) | np.arange(n))
+            array, same = packed & ((1 << wide) - 1), (packed >> wide)[1:] == (packed >> wide)[:-1]
+        else:
+            array = np.argsort(key, kind="stable")
+            same = key[array][1:] == key[array][:-1]
     group = np.zeros(n + 1, np.int64)  # of each suffix: the place where its group begins, plus one; 0 behind the end
     starts = np.concatenate([[True], ~same]) if n else np.zeros(0, bool)
-    place = np.arange(n)
-    group[array] = np.maximum.accumulate(np.where(starts, place, 0)) + 1
-    h, bits = _FIRST, max(1, int(n + 1).bit_length())
+    group[array] = np.maximum.accumulate(np.where(starts, np.arange(n), 0)) + 1
+    bits = max(1, int(n + 1).bit_length())
     while h < depth:
         tied = np.zeros(n, bool)
         tied[1:] = ~starts[1:]
@@ -44,8 +50,9 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(tied)
         if not len(at):
             break
+        step = min(h, depth - h)
         own = array[at]
-        first, second = group[own], group[np.minimum(own + h, n)]
+        first, second = group[own], group[np.minimum(own + step, n)]
         order = _order(first, second, bits)
         own, first, second = own[order], first[order], second[order]
         array[at] = own
@@ -53,9 +60,15 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
         starts[at] = new
         group[own] = np.maximum.accumulate(np.where(new, at, 0)) + 1
-        h *= 2
-    rank = np.empty(n, np.int64)
-    rank[array] = place
+        h += step
+    return array, group[:n]
+
+
+def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of ``text`` in the order of their first ``depth`` bytes, and the place of each suffix in that order."""
+    array, _ = suffix_groups(text, depth)
+    rank = np.empty(len(text), np.int64)
+    rank[array] = np.arange(len(text))
     return array, rank
 
 

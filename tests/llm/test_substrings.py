@@ -6,9 +6,9 @@ import random
 import numpy as np
 import pytest
 
-from pagerisk.llm import substrings
+from pagerisk.llm import common, substrings
 from pagerisk.llm.substrings import LENGTH, remove_repeats, repeats_in_range, window_hashes
-from pagerisk.llm.suffixes import _order, common_prefixes, suffix_array
+from pagerisk.llm.suffixes import _order, common_prefixes, suffix_array, suffix_groups
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, shard int, kind string, row string"
 
@@ -32,6 +32,39 @@ def test_suffix_array_and_common_prefixes(depth):
             assert common[place] == min(n, depth)
 
 
+@pytest.mark.parametrize("depth", [4, 7, 8, 50])
+def test_suffix_groups_are_those_of_the_depth(depth):
+    for text in [*strings(4), b"abcdefgh" * 9 + b"abcdefghabcdefgx" * 5]:
+        array, group = suffix_groups(np.frombuffer(text, np.uint8), depth)
+        prefixes = [text[i : i + depth] for i in range(len(text))]
+        assert [prefixes[i] for i in array] == sorted(prefixes)
+        assert len(set(zip(prefixes, group.tolist(), strict=True))) == len(set(prefixes)) == len(set(group.tolist()))
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_repeats_of_strings(monkeypatch, alike):
+    """Also where all hashes are the same."""
+    if alike:
+        monkeypatch.setattr(substrings, "window_hashes", lambda data, step=1, places=None: np.zeros(len(places), np.uint64))
+    rng = random.Random(7)
+    base = "".join(rng.choice("abc") for _ in range(120)).encode()
+    texts = [base[at : at + rng.randint(50, 84)] for at in [rng.randint(0, 30) for _ in range(25)]] + [b"a" * 60, b"a" * 51, b"q" * 84]
+    texts += texts[:9]
+    docs = np.array([rng.randint(0, 9) for _ in texts])
+    data, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    whole, string, step = substrings.repeats_of_strings(data, sizes, docs)
+    got = {(k, at) for k in np.flatnonzero(whole) for at in range(sizes[k] - LENGTH + 1)} | set(zip(string.tolist(), step.tolist(), strict=True))
+    windows = [(k, at, t[at : at + LENGTH]) for k, t in enumerate(texts) for at in range(len(t) - LENGTH + 1)]
+    assert got == {(k, at) for k, at, w in windows if any(v == w and docs[j] < docs[k] for j, _, v in windows)}
+
+
+def test_finished_tables_leave_the_disk(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "work_dir", lambda spark, name: f"{tmp_path}/{name}")
+    docs = spark.createDataFrame([(*r, "en", "s", 0, 1, "k", "r") for r in hard_rows(8)], DOCS)
+    assert remove_repeats(docs).filter("n_removed > 0").count()
+    assert {p.relative_to(tmp_path).parts[0] for p in tmp_path.rglob("*.parquet")} == {"repeated-spans"}
+
+
 def test_wide_keys_sort_alike():
     rng = np.random.default_rng(2)
     major, minor = rng.integers(0, 50, 1000), rng.integers(0, 50, 1000)
