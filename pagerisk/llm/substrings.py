@@ -1,6 +1,6 @@
 """Removal of byte strings that occur in documents with a smaller id, by suffix arrays over shards.
 
-Every string of LENGTH bytes has an anchor, the 16-byte string in it with the
+Every string of LENGTH bytes has an anchor, the 24-byte string in it with the
 smallest hash. Equal strings have equal anchors at equal places, so
 
 1. each shard of documents sends the distinct hashes of its anchors, sorted and
@@ -15,7 +15,9 @@ smallest hash. Equal strings have equal anchors at equal places, so
 4. each shard cuts the reported spans out of its documents.
 
 A string reaches a range once per shard piece however often it occurs, so common
-passages and large groups of copies stay small. Anchors with more than HOT strings
+passages and large groups of copies stay small. What a shard sends goes out by
+range when all its pieces are done, so the number of rows between shards and
+ranges does not grow with the pieces. Anchors with more than HOT strings
 around them do not meet as such in step 3: their strings are cut into windows of
 LENGTH bytes, which meet by their own hashes and so spread over all ranges.
 """
@@ -23,7 +25,7 @@ LENGTH bytes, which meet by their own hashes and so spread over all ranges.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,21 +35,26 @@ from pyspark.sql import functions as F
 from pagerisk.llm.common import discard, mix64, settle, shuffle_parts, slices, utf8
 from pagerisk.llm.suffixes import suffix_groups
 
-LENGTH, ANCHOR = 50, 16
+LENGTH, ANCHOR = 50, 24  # shorter anchors meet by chance in large corpora
 #: Candidate bytes in one suffix array, and text handled at once.
 PIECE, _TEXT_BYTES = 1 << 20, 1 << 18
-#: Strings from which on an anchor is hot, and strings of one anchor in a piece from which on the piece counts them.
+#: Strings from which on an anchor is hot, and strings of one anchor in what goes out together from which on they are counted.
 HOT, COUNTED = 20_000, 4
+#: Candidate bytes of a shard, and bytes of windows of hot anchors, that go out together; bytes of one batch that is sent, and of strings merged at once.
+GATHERED, WINDOWS, SENT, MERGED = 16 << 20, 16 << 20, 4 << 20, 8 << 20
 _LAST = (1 << 63) - 1
 
 
 def anchor_hashes(data: np.ndarray, places: np.ndarray | slice = slice(None)) -> np.ndarray:
     """Hash of the ANCHOR bytes from every place of ``data``, or from those given, on."""
     data = np.ascontiguousarray(data)
-    low, high = (np.ndarray((len(data) - ANCHOR + 1,), "<u8", data, k, (1,))[places] for k in (0, 8))
+    low, middle, high = (np.ndarray((len(data) - ANCHOR + 1,), "<u8", data, k, (1,))[places] for k in range(0, ANCHOR, 8))
     with np.errstate(over="ignore"):
         hashes = low * np.uint64(0x9E3779B97F4A7C15)
-        hashes += high * np.uint64(0xC2B2AE3D27D4EB4F)
+        hashes += middle * np.uint64(0xC2B2AE3D27D4EB4F)
+        hashes ^= hashes >> np.uint64(32)
+        hashes *= np.uint64(0xBF58476D1CE4E5B9)
+        hashes += high * np.uint64(0x94D049BB133111EB)
         hashes ^= hashes >> np.uint64(32)
         hashes *= np.uint64(0xD6E8FEB86659FD93)
         hashes ^= hashes >> np.uint64(29)
@@ -229,6 +236,25 @@ def repeated_windows(hashes: np.ndarray, windows: np.ndarray, docs: np.ndarray)
     return out
 
 
+def _batched(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in few batches of about SENT bytes; a batch costs more than its rows."""
+    waiting, size = [], 0
+    for row in rows:
+        waiting.append(row)
+        size += sum(len(v) for v in row if isinstance(v, bytes))
+        if size >= SENT:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*waiting, strict=True), schema, strict=True)], schema=schema)
+            waiting, size = [], 0
+    if waiting:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*waiting, strict=True), schema, strict=True)], schema=schema)
+
+
+def _divided(lists: list[np.ndarray], part: int, parts: int, n: int) -> list[np.ndarray]:
+    """Bounds within ascending lists of hashes of range ``part`` of ``parts``, which cut it into ``n`` ranges."""
+    cuts = np.array([((part * n + i) << 64) // (parts * n) for i in range(1, n)], np.uint64)
+    return [np.array([0, *np.searchsorted(v, cuts), len(v)]) for v in lists]
+
+
 def _shrunk(x: np.ndarray) -> bytes:
     return pa.compress(x.tobytes(), "zstd", asbytes=True)
 
@@ -253,7 +279,10 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
     carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("binary")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), carried.alias("carried"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("shard", F.pmod("row", F.lit(parts)).cast("int"))
-    cuts, string_cuts = range_cuts(parts), range_cuts(4 * parts)
+    cuts = range_cuts(parts)
+    asked_schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("hashes", pa.binary()), ("several", pa.binary())])
+    known_schema = pa.schema([("shard", pa.int32()), ("hashes", pa.binary())])
+    span_schema = pa.schema([("shard", pa.int32()), ("blob", pa.binary())])
 
     def with_notes(notes: DataFrame | None, columns: list[str], more: tuple[str, ...] = ()) -> DataFrame:
         """Text rows of a shard in ascending order of doc_id, behind the notes for the shard."""
@@ -278,11 +307,7 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
             several = np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts)
             value = value[starts]
             bounds = [0, *np.searchsorted(value, cuts), len(value)]
-            for part, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                if hi > lo:
-                    yield pa.RecordBatch.from_pydict({
-                        "part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "hashes": [value[lo:hi].tobytes()], "several": [several[lo:hi].tobytes()],
-                    })
+            yield from _batched(((part, shard, value[lo:hi].tobytes(), several[lo:hi].tobytes()) for part, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)) if hi > lo), asked_schema)
 
         for own, batch in _runs(batches):
             if own != shard:
@@ -304,10 +329,8 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
         every = np.sort(np.concatenate([h for _, h in sent]))
         twice = every[1:][every[1:] == every[:-1]]
         repeated = np.unique(np.concatenate([twice, *several]))
-        for shard, h in sent:
-            known = h[_member(h, repeated)]
-            if len(known):
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "hashes": [known.tobytes()]})
+        known = ((shard, h[_member(h, repeated)].tobytes()) for shard, h in sent)
+        yield from _batched((row for row in known if row[1]), known_schema)
 
     asked = with_notes(None, []).mapInArrow(send_anchors, "part int, shard int, hashes binary, several binary")
     repeated = settle(asked.groupBy("part").applyInArrow(answer, "shard int, hashes binary"), "repeated-anchors")
@@ -315,6 +338,7 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
     # Rows of the next step: spans for a shard, or strings for a range. Sizes of strings hold the place of the anchor in their high byte.
     sent_schema = "shard int, part int, blob binary, docs binary, row_ids binary, starts binary, sizes binary"
     sent_names = ["shard", "part", "blob", "docs", "row_ids", "starts", "sizes"]
+    sent_arrow = pa.schema([(c, pa.int32() if c in ("shard", "part") else pa.binary()) for c in sent_names])
 
     def spans_row(shard: int, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
         blob = np.stack([row, start, end]).astype("<i8").tobytes()
@@ -322,15 +346,18 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, notes, table, waiting, size = None, [], None, [], 0
+        ready, ready_size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            """Suffix array over what waits: lists of (bytes, hash, doc, row, start, windows) by anchor, each with its own bytes."""
+            """Suffix array over what waits; what is left of it is ready to be sent."""
+            nonlocal waiting, size, ready_size
             if not waiting:
                 return
             text = np.concatenate([w[0] for w in waiting])
             # Candidate segments overlap where anchors follow one another: windows are counted once.
             shift = np.cumsum([0, *[len(w[0]) for w in waiting[:-1]]])
             value, doc, row, start, first, count, place = (np.concatenate([w[k] + (s if k == 5 else 0) for w, s in zip(waiting, shift, strict=True)]) for k in (1, 2, 3, 4, 5, 6, 7))
+            waiting, size = [], 0
             begin = np.cumsum(count) - count
             of = np.repeat(np.arange(len(count)), count)
             step = np.arange(int(count.sum())) - begin[of]
@@ -338,29 +365,43 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
             if found.any():
                 yield spans_row(shard, *_windows_to_spans(row[of][found], (start[of] + step)[found]))
             left = np.add.reduceat(~found, begin) > 0 if len(count) else np.zeros(0, bool)
-            order = np.flatnonzero(left)[np.argsort(value[left])]
-            anchor, strings = np.unique(value[left], return_counts=True)
+            ready.append((text, *(x[left] for x in (value, doc, row, start, first, count, place))))
+            ready_size += len(text)
+            if ready_size >= GATHERED:
+                yield from send()
+
+        def send() -> Iterator[pa.RecordBatch]:
+            """Strings of the pieces that are ready, by the range of their anchor and there by anchor, each with its own bytes."""
+            nonlocal ready, ready_size
+            if not ready:
+                return
+            text = np.concatenate([r[0] for r in ready])
+            shift = np.cumsum([0, *[len(r[0]) for r in ready[:-1]]])
+            value, doc, row, start, first, count, place = (np.concatenate([r[k] + (s if k == 5 else 0) for r, s in zip(ready, shift, strict=True)]) for k in range(1, 8))
+            ready, ready_size = [], 0
+            order = np.argsort(value)
+            value = value[order]
+            anchor, strings = np.unique(value, return_counts=True)
             many = strings >= COUNTED
-            if many.any():
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([shard], pa.int32()), pa.array([-2], pa.int32()), pa.array([anchor[many].tobytes()], pa.binary()),
-                    pa.array([strings[many].astype("<i8").tobytes()], pa.binary()), *[pa.nulls(1, pa.binary())] * 3,
-                ], sent_names)
-            bounds = [0, *np.searchsorted(value[order], string_cuts), len(order)]
-            for part, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                if hi > lo:
-                    chosen = order[lo:hi]
-                    sizes = count[chosen] + LENGTH - 1
-                    at = np.repeat(first[chosen] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([_shrunk(text[at])], pa.binary()),
-                        *[pa.array([x.tobytes()], pa.binary()) for x in (doc[chosen], row[chosen], start[chosen].astype("<i8"), (sizes | place[chosen] << 8).astype("<u2"))],
-                    ], sent_names)
+            bounds = [0, *np.searchsorted(value, cuts), len(order)]
+
+            def rows_out() -> Iterator[tuple]:
+                if many.any():
+                    yield shard, -2, anchor[many].tobytes(), strings[many].astype("<i8").tobytes(), None, None, None
+                for part, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                    if hi > lo:
+                        chosen = order[lo:hi]
+                        sizes = count[chosen] + LENGTH - 1
+                        at = np.repeat(first[chosen] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+                        yield shard, part, _shrunk(text[at]), *(x.tobytes() for x in (doc[chosen], row[chosen], start[chosen].astype("<i8"), (sizes | place[chosen] << 8).astype("<u2")))
+
+            yield from _batched(rows_out(), sent_arrow)
 
         for own, batch in _runs(batches):
             if own != shard:
                 yield from flush()
-                shard, notes, table, waiting, size = own, [], None, [], 0
+                yield from send()
+                shard, notes, table = own, [], None
             kinds = batch.column("kind").to_numpy()
             notes += [np.frombuffer(h.as_buffer(), np.uint64).copy() for h in batch.column("hashes").slice(0, int((kinds == 0).sum()))]
             texts = batch.slice(int((kinds == 0).sum()))
@@ -387,10 +428,10 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
                 one = (text, value, orders[doc_at], row_ids[doc_at], first - offsets[doc_at], in_text, last - first + 1, place - first)
                 if waiting and size + len(text) > PIECE:
                     yield from flush()
-                    waiting, size = [], 0
                 waiting.append(one)
                 size += len(text)
         yield from flush()
+        yield from send()
 
     sent = with_notes(repeated, ["hashes"]).mapInArrow(search, sent_schema)
     found = settle(sent.withColumn("kind", F.least("part", F.lit(0))), "repeated-strings", "kind")
@@ -399,19 +440,33 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
     def spans_of(spans: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Spans (row, start, end) by the shards of their rows."""
         shard = spans[0] % parts
-        for one in np.unique(shard).tolist():
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([one], pa.int32()), "blob": [spans[:, shard == one].astype("<i8").tobytes()]})
+        order = np.argsort(shard)
+        spans, shard = spans[:, order], shard[order]
+        bounds = [*np.flatnonzero(np.diff(shard, prepend=-1)), len(shard)]
+        yield from _batched(((int(shard[lo]), spans[:, lo:hi].astype("<i8").tobytes()) for lo, hi in zip(bounds, bounds[1:], strict=False)), span_schema)
+
+    def anchor_of(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return scrambled(anchor_hashes(data, begin + (size >> 8)))
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, sent = [], []
+    def merge(part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = []
         for batch in batches:
             for blob, *columns in zip(*(batch.column(c) for c in sent_names[2:]), strict=True):
-                sent.append([np.frombuffer(v.as_buffer(), kind).astype(np.int64) for v, kind in zip(columns, ("<i8", "<i8", "<i8", "<u2"), strict=True)])
-                blobs.append(_grown(blob, int((sent[-1][3] & 255).sum())))
-        data, (doc, row, start, size) = np.concatenate(blobs), (np.concatenate(c) for c in zip(*sent, strict=True))
-        size &= 255
-        whole, string, step = repeats_of_strings(data, size, doc)
-        spans = [np.stack([row[whole], start[whole], (start + size)[whole]]), np.stack(_windows_to_spans(row[string], start[string] + step))]
+                doc, row, start, mixed = (np.frombuffer(v.as_buffer(), kind).astype(np.int64) for v, kind in zip(columns, ("<i8", "<i8", "<i8", "<u2"), strict=True))
+                size = mixed & 255
+                data, ends = _grown(blob, int(size.sum())), np.cumsum(size)
+                sent.append((anchor_of(data, ends - size, mixed), np.append(0, ends), data, doc, row, start, size))
+        # At least four steps, and as many as keep the strings of one small.
+        n = max(4, -(-sum(len(x[2]) for x in sent) // MERGED))
+        bounds, spans = _divided([x[0] for x in sent], part, parts, n), []
+        for k in range(n):
+            some = [(x, b[k], b[k + 1]) for x, b in zip(sent, bounds, strict=True) if b[k + 1] > b[k]]
+            if not some:
+                continue
+            data = np.concatenate([x[2][x[1][lo] : x[1][hi]] for x, lo, hi in some])
+            doc, row, start, size = (np.concatenate([x[c][lo:hi] for x, lo, hi in some]) for c in range(3, 7))
+            whole, string, step = repeats_of_strings(data, size, doc)
+            spans += [np.stack([row[whole], start[whole], (start + size)[whole]]), np.stack(_windows_to_spans(row[string], start[string] + step))]
         yield from spans_of(np.concatenate(spans, axis=1))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,64 +474,78 @@ def remove_repeats(docs: DataFrame, keep: str | None = None, carry: tuple[str, .
             for anchor, n in zip(batch.column("blob"), batch.column("docs"), strict=True):
                 yield pa.RecordBatch.from_pydict({"anchor": np.frombuffer(anchor.as_buffer(), "<i8").copy(), "n": np.frombuffer(n.as_buffer(), "<i8").copy()})
 
-    # What pieces do not count are less than COUNTED strings of an anchor per piece.
+    # What is not counted are less than COUNTED strings of an anchor each time a shard sends.
     often = found.filter("kind = -2").select("blob", "docs").mapInArrow(counted, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
     hot = np.sort(np.array([r["anchor"] for r in often.filter(F.col("n") > HOT).select("anchor").collect()], np.int64).view(np.uint64))
 
-    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """Shard, range, bytes, end of each string in them, docs, rows, starts, sizes, and which strings have a hot anchor."""
-        for batch in batches:
-            for shard, part, *columns in zip(*(batch.column(c) for c in sent_names), strict=True):
-                doc, row, start, size = (np.frombuffer(v.as_buffer(), kind).astype(np.int64) for v, kind in zip(columns[1:], ("<i8", "<i8", "<i8", "<u2"), strict=True))
-                mixed, size = size, size & 255
-                data, ends = _grown(columns[0], int(size.sum())), np.cumsum(size)
-                yield shard.as_py(), part.as_py(), data, ends, doc, row, start, mixed, _member(scrambled(anchor_hashes(data, ends - size + (mixed >> 8))), hot)
-
     def taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Strings of other anchors as they are; windows of the strings of hot anchors, for ranges of their own."""
-        for shard, part, data, ends, doc, row, start, size, is_hot in parted(batches):
-            cold = ~is_hot
-            if cold.any():
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([_shrunk(data[np.repeat(cold, size & 255)])], pa.binary()),
-                    *[pa.array([x[cold].tobytes()], pa.binary()) for x in (doc, row, start.astype("<i8"), size.astype("<u2"))],
-                ], sent_names)
-            of = np.flatnonzero(is_hot)
-            hashes = window_hashes(data)
-            for few in np.array_split(of, max(1, len(of) // 4096)) if len(of) else ():
-                count = (size[few] & 255) - LENGTH + 1
-                string = np.repeat(few, count)
+        """Strings of other anchors as they are; windows of the strings of hot anchors, for ranges of their own, those of many strings together."""
+        waiting, size = [], 0
+
+        def windows_out() -> Iterator[tuple]:
+            hashes, windows, doc, row, start = (np.concatenate(c) for c in zip(*waiting, strict=True))
+            order = np.argsort(hashes)
+            bounds = [0, *np.searchsorted(hashes[order], cuts), len(order)]
+            for part, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                if hi > lo:
+                    chosen = order[lo:hi]
+                    yield -1, -1 - part, _shrunk(windows[chosen]), *(x[chosen].astype("<i8").tobytes() for x in (doc, row, start)), None
+
+        def others(batch: pa.RecordBatch) -> Iterator[tuple]:
+            nonlocal size
+            for shard, part, *columns in zip(*(batch.column(c) for c in sent_names), strict=True):
+                doc, row, start, mixed = (np.frombuffer(v.as_buffer(), kind).astype(np.int64) for v, kind in zip(columns[1:], ("<i8", "<i8", "<i8", "<u2"), strict=True))
+                sizes = mixed & 255
+                data, ends = _grown(columns[0], int(sizes.sum())), np.cumsum(sizes)
+                is_hot = _member(anchor_of(data, ends - sizes, mixed), hot)
+                cold = ~is_hot
+                if not is_hot.any():
+                    yield shard.as_py(), part.as_py(), *(c.as_py() for c in columns)
+                    continue
+                if cold.any():
+                    yield shard.as_py(), part.as_py(), _shrunk(data[np.repeat(cold, sizes)]), *(x[cold].tobytes() for x in (doc, row, start.astype("<i8"), mixed.astype("<u2")))
+                of = np.flatnonzero(is_hot)
+                hashes = window_hashes(data)
+                count = sizes[of] - LENGTH + 1
+                string = np.repeat(of, count)
                 step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                place = (ends - (size & 255))[string] + step
-                order = np.argsort(hashes[place])
-                string, step, place = string[order], step[order], place[order]
-                bounds = [0, *np.searchsorted(hashes[place], string_cuts), len(place)]
-                for part, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                    if hi > lo:
-                        s, p = string[lo:hi], place[lo:hi]
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array([shard], pa.int32()), pa.array([-1 - part], pa.int32()), pa.array([_shrunk(data[p[:, None] + np.arange(LENGTH)])], pa.binary()),
-                            *[pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (doc[s], row[s], start[s] + step[lo:hi])], pa.nulls(1, pa.binary()),
-                        ], sent_names)
-
-    def merge_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = []
+                place = (ends - sizes)[string] + step
+                waiting.append((hashes[place], data[place[:, None] + np.arange(LENGTH)], doc[string], row[string], start[string] + step))
+                size += len(place) * LENGTH
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                yield from _batched(others(batch.slice(lo, 64)), sent_arrow)
+                if size >= WINDOWS:
+                    yield from _batched(windows_out(), sent_arrow)
+                    waiting, size = [], 0
+        if waiting:
+            yield from _batched(windows_out(), sent_arrow)
+
+    def merge_windows(part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = []
         for batch in batches:
             for blob, *ids in zip(*(batch.column(c) for c in ("blob", "docs", "row_ids", "starts")), strict=True):
                 ids = [np.frombuffer(b.as_buffer(), "<i8").copy() for b in ids]
-                columns.append([_grown(blob, LENGTH * len(ids[0])).view(f"S{LENGTH}"), *ids])
-        windows, doc, row, start = (np.concatenate(c) for c in zip(*columns, strict=True))
-        hashes = window_hashes(windows.view(np.uint8), LENGTH)
-        gone = repeated_windows(hashes, windows, doc)
-        yield from spans_of(np.stack(_windows_to_spans(row[gone], start[gone])))
+                windows = _grown(blob, LENGTH * len(ids[0]))
+                sent.append((window_hashes(windows, LENGTH), windows.view(f"S{LENGTH}"), *ids))
+        n = max(4, -(-sum(LENGTH * len(x[0]) for x in sent) // MERGED))
+        bounds, spans = _divided([x[0] for x in sent], part, parts, n), [np.zeros((3, 0), np.int64)]
+        for k in range(n):
+            some = [[c[b[k] : b[k + 1]] for c in x] for x, b in zip(sent, bounds, strict=True)]
+            hashes, windows, doc, row, start = (np.concatenate(c) for c in zip(*some, strict=True))
+            gone = repeated_windows(hashes, windows, doc) if len(doc) else np.zeros(0, bool)
+            spans.append(np.stack(_windows_to_spans(row[gone], start[gone])))
+        yield from spans_of(np.concatenate(spans, axis=1))
 
     def merge_part(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from (merge if key[0].as_py() >= 0 else merge_windows)(batches)
+        part = key[0].as_py()
+        yield from merge(part, batches) if part >= 0 else merge_windows(-1 - part, batches)
 
     strings = found.filter("kind = 0").select(*sent_names)
     if len(hot):
         # Only the ranges of hot anchors are taken apart.
-        here = F.col("part").isin(np.unique(np.searchsorted(string_cuts, hot, "right")).tolist())
+        here = F.col("part").isin(np.unique(np.searchsorted(cuts, hot, "right")).tolist())
         strings = strings.filter(~here).union(strings.filter(here).mapInArrow(taken_apart, sent_schema))
     crossed = strings.groupBy("part").applyInArrow(merge_part, "shard int, blob binary")
     spans = settle(found.filter("kind = -1").select("shard", "blob").union(crossed), "repeated-spans")

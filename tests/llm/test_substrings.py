@@ -162,3 +162,42 @@ def test_a_common_phrase_in_different_text(spark, monkeypatch, seed):
     docs = spark.createDataFrame([(*r, "en", "s", 0, 1, "k", "r") for r in rows], DOCS)
     got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(docs).collect()), key=str)
     assert got == brute(rows)
+
+
+def test_rows_that_are_sent_do_not_grow_with_the_pieces(spark, monkeypatch):
+    """Between shards and ranges goes one row, however many pieces and hot anchors a shard has."""
+    rng = random.Random(8)
+    passages = ["".join(rng.choice("abcdefghij klmnop") for _ in range(200)) for _ in range(40)]
+    rows = [(i, "".join(rng.choice("abcdefghij klmnop") for _ in range(30)).join(rng.sample(passages, 6))) for i in range(120)]
+    parts, found, whole = int(spark.conf.get("spark.sql.shuffle.partitions")), {}, substrings.settle
+
+    def counted(df, name, *kinds):
+        out = whole(df, name, *kinds)
+        if kinds:
+            found.update({r["kind"]: r["count"] for r in out.groupBy("kind").count().collect()})
+        return out
+
+    monkeypatch.setattr(substrings, "PIECE", 600)
+    monkeypatch.setattr(substrings, "_TEXT_BYTES", 2000)
+    monkeypatch.setattr(substrings, "settle", counted)
+    docs = spark.createDataFrame([(*r, "en", "s", 0, 1, "k", "r") for r in rows], DOCS)
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(docs).collect()), key=str)
+    assert got == brute(rows)
+    assert found[-1] > parts and found[0] <= parts * parts and found[-2] <= parts
+
+
+def test_batches_are_filled():
+    schema = substrings.pa.schema([("shard", substrings.pa.int32()), ("blob", substrings.pa.binary())])
+    batches = list(substrings._batched(((i, b"x" * 100) for i in range(1000)), schema))
+    assert [b.num_rows for b in batches] == [1000]
+    assert list(substrings._batched(iter([]), schema)) == []
+
+
+def test_a_hot_anchor_without_repeats(spark, monkeypatch):
+    """Ranges in which nothing repeats report nothing."""
+    rng = random.Random(9)
+    noise = lambda: "".join(rng.choice("abcdefghij klmnop") for _ in range(60))
+    rows = [(i, noise() + "Licensed under some public license" + noise()) for i in range(200)]
+    monkeypatch.setattr(substrings, "HOT", 50)
+    docs = spark.createDataFrame([(*r, "en", "s", 0, 1, "k", "r") for r in rows], DOCS)
+    assert [r["n_removed"] for r in remove_repeats(docs).collect()] == [0] * 200
