@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagerisk.llm.common import discard, mix64, settle, shuffle_parts, slices, utf8
+from pagerisk.llm.common import batched, discard, mix64, settle, shuffle_parts, slices, utf8
 from pagerisk.llm.suffixes import suffix_groups
 
 LENGTH, ANCHOR = 50, 24  # shorter anchors meet by chance in large corpora
@@ -237,16 +237,7 @@ def repeated_windows(hashes: np.ndarray, windows: np.ndarray, docs: np.ndarray)
 
 
 def _batched(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows in few batches of about SENT bytes; a batch costs more than its rows."""
-    waiting, size = [], 0
-    for row in rows:
-        waiting.append(row)
-        size += sum(len(v) for v in row if isinstance(v, bytes))
-        if size >= SENT:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*waiting, strict=True), schema, strict=True)], schema=schema)
-            waiting, size = [], 0
-    if waiting:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*waiting, strict=True), schema, strict=True)], schema=schema)
+    return batched(rows, schema, SENT)
 
 
 def _divided(lists: list[np.ndarray], part: int, parts: int, n: int) -> list[np.ndarray]:

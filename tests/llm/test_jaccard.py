@@ -127,3 +127,24 @@ def test_components(spark):
     got = connected(spark.createDataFrame(links, "a bigint, b bigint")).collect()
     assert sorted(map(tuple, got)) == sorted((i, root(i)) for i in parent)
     assert connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_rows_of_postings_do_not_grow_with_the_slices(spark, monkeypatch):
+    """A task sends one row to each range, however many slices of text it reads, and light sets are not read from text again."""
+    counts, whole = {}, type(spark.range(0)).mapInArrow
+
+    def counted(self, fn, schema, *rest):
+        out = whole(self, fn, schema, *rest)
+        counts.setdefault(schema, []).append((out.count(), self.columns))
+        return out
+
+    monkeypatch.setattr(jaccard, "_TEXT_BYTES", 1000)
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", counted)
+    rows = hard_rows(4)
+    docs = spark.createDataFrame([(*r, "en", 1, "c", 2, 3) for r in rows], DOCS).repartition(5)
+    got = sorted((tuple(r) for r in similar_groups(docs, 4, 85).collect()), key=str)
+    assert got == plain_groups(rows, 4, 85)
+    (postings, _), = counts["part int, tokens binary, owners binary, places binary, nodes binary"]
+    (subsets, columns), = counts["key bigint, s bigint, n bigint, doc_id bigint"]
+    assert 0 < postings <= 5 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert subsets and "text" not in columns
